@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..session import materialize, read_table
-from . import packing, pieces, sampling, tokens
+from . import looks, packing, pieces, sampling, sentences, tokens
 
 
 def p2_sample(spark, sf_dir):
@@ -11,6 +13,36 @@ def p2_sample(spark, sf_dir):
     return sampling.stable_sample(read_table(spark, sf_dir, "occurrences"))
 
 
+def p3_found(spark, sf_dir):
+    """Pairs of different records of a chapter that look the same but differ in characters."""
+    records = looks.corpus_records(read_table(spark, sf_dir, "segments"), read_table(spark, sf_dir, "ocr_blocks"))
+    return looks.equal_looking_pairs(records, ["rec_table", "book", "lang", "chapter"]).select("rec_table", "id_a", "id_b").distinct()
+
+
+def p3_forms(spark, sf_dir):
+    """Every text of segments and ocr_blocks in its consistent form."""
+    records = looks.corpus_records(read_table(spark, sf_dir, "segments"), read_table(spark, sf_dir, "ocr_blocks"))
+    return looks.normalize_texts(records.select("rec_table", "rec_id", "text").distinct()).drop("text")
+
+
+def _sentence_input(spark, sf_dir):
+    return sentences.corpus_texts(read_table(spark, sf_dir, "paragraphs"), read_table(spark, sf_dir, "segments"))
+
+
+def p7_found(spark, sf_dir):
+    """Ends of sentences that another sentence follows in the same text."""
+    texts = _sentence_input(spark, sf_dir)
+    cut = sentences.sentence_ends(texts, sentences.learn_periods(texts.select("lang", "text")))
+    return cut.select("rec_table", "rec_id", F.explode("ends").alias("end_char")).distinct()
+
+
+def p7_units(spark, sf_dir):
+    """Sentence units of every text."""
+    texts = _sentence_input(spark, sf_dir)
+    units = sentences.sentence_units(texts, sentences.learn_periods(texts.select("lang", "text")))
+    return units.select("rec_table", "rec_id", "sentence", "sentence_text")
+
+
 def p8_ids(spark, sf_dir):
     """Token ids of every document by byte_bpe_50k; empty and null texts have the empty list."""
     return tokens.encode_corpus(read_table(spark, sf_dir, "documents"), tokens.tokenizer_path())
@@ -29,6 +61,10 @@ def p10_pieces(spark, sf_dir):
 
 QUERIES = {
     "p2_sample": p2_sample,
+    "p3_found": p3_found,
+    "p3_forms": p3_forms,
+    "p7_found": p7_found,
+    "p7_units": p7_units,
     "p8_ids": p8_ids,
     "p9_bins": p9_bins,
     "p10_pieces": p10_pieces,
