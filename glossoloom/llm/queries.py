@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import materialize, read_table
-from . import looks, packing, pieces, sampling, sentences, tokens
+from . import bitext, looks, packing, pieces, sampling, sentences, tokens
+
+
+def _bitext(spark, sf_dir):
+    return bitext.align_open_chapters(*[read_table(spark, sf_dir, t) for t in ("segments", "alignments", "anchors")])
+
+
+def p1_found(spark, sf_dir):
+    """Pairs of German and English segments of the open chapters that render the same sentence, wholly or in part."""
+    return _bitext(spark, sf_dir).select("src_id", "tgt_id").distinct()
+
+
+def p1_records(spark, sf_dir):
+    """Alignment records of the open chapters with src, tgt, type and confidence."""
+    return bitext.alignment_records(_bitext(spark, sf_dir))
 
 
 def p2_sample(spark, sf_dir):
@@ -60,6 +74,8 @@ def p10_pieces(spark, sf_dir):
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_records": p1_records,
     "p2_sample": p2_sample,
     "p3_found": p3_found,
     "p3_forms": p3_forms,
