@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import materialize, read_table
-from . import bitext, looks, packing, pieces, sampling, sentences, tokens
+from . import bitext, looks, packing, pieces, sampling, scans, sentences, tokens
 
 
 def _bitext(spark, sf_dir):
@@ -39,6 +39,22 @@ def p3_forms(spark, sf_dir):
     return looks.normalize_texts(records.select("rec_table", "rec_id", "text").distinct()).drop("text")
 
 
+def _scanned(spark, sf_dir):
+    return materialize(scans.scan(scans.corpus_records(read_table(spark, sf_dir, "ocr_blocks"), read_table(spark, sf_dir, "paragraphs"))), "p5-scanned")
+
+
+def p5_found(spark, sf_dir):
+    """Records with running headers, page numbers, broken or misread words."""
+    scanned = _scanned(spark, sf_dir)
+    return scans.defects(scanned, scans.correct(scanned))
+
+
+def p5_paragraphs(spark, sf_dir):
+    """Continuous paragraphs of both tables without the noise."""
+    scanned = _scanned(spark, sf_dir)
+    return scans.reflow(scanned, scans.correct(scanned))
+
+
 def _sentence_input(spark, sf_dir):
     return sentences.corpus_texts(read_table(spark, sf_dir, "paragraphs"), read_table(spark, sf_dir, "segments"))
 
@@ -79,6 +95,8 @@ QUERIES = {
     "p2_sample": p2_sample,
     "p3_found": p3_found,
     "p3_forms": p3_forms,
+    "p5_found": p5_found,
+    "p5_paragraphs": p5_paragraphs,
     "p7_found": p7_found,
     "p7_units": p7_units,
     "p8_ids": p8_ids,
