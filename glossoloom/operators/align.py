@@ -215,9 +215,9 @@ def align_scopes(src: DataFrame, tgt: DataFrame, settings: AlignSettings = PRODU
     """
 
     def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("pos", ignore_index=True), b.sort_values("pos", ignore_index=True)
         rows = []
         if len(a) and len(b):
+            a, b = (x.set_axis(pick, axis=1).sort_values("pos", ignore_index=True) for x in (a, b))
             lengths = tuple(x.text.fillna("").str.len().to_numpy(float) for x in (a, b))
             go = align_two_pass if settings.two_pass else align_vectors
             for n, (s, t, score, margin) in enumerate(go(np.stack(a.vector), np.stack(b.vector), settings, lengths)):
@@ -226,7 +226,9 @@ def align_scopes(src: DataFrame, tgt: DataFrame, settings: AlignSettings = PRODU
         return pd.DataFrame(rows, columns=[x.split()[0] for x in ALIGNED.split(", ")])
 
     pick = ["scope", "pos", "id", "text", "vector"]
-    return src.select(*pick).groupBy("scope").cogroup(tgt.select(*pick).groupBy("scope")).applyInPandas(run, ALIGNED)
+    # sides of one origin share their attributes, so each gets columns of its own
+    left, right = (df.select(*[F.col(c).alias(f"{side}_{c}") for c in pick]).groupBy(f"{side}_scope") for df, side in ((src, "s"), (tgt, "t")))
+    return left.cogroup(right).applyInPandas(run, ALIGNED)
 
 
 def numbered(records: DataFrame) -> DataFrame:
