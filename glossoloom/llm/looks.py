@@ -63,16 +63,15 @@ def mapping() -> dict[str, str]:
 
 @cache
 def _special() -> regex.Pattern:
-    """Clusters that may need work: any with a mapped code point, a mark, or a soft hyphen at a line end."""
+    """Clusters that may need work: any with a mapped code point or a mark."""
     single = "".join(regex.escape(c) for c in mapping())
-    # the soft hyphen before a line break is visible: longest match keeps it
-    return regex.compile(rf"­(?=\n)|(?:(?!\n)[^\p{{M}}{single}])?(?:[{single}]|\p{{M}})+(?:[^\s\p{{M}}{single}](?=\p{{M}}))?\p{{M}}*")
+    # the soft hyphen before a line break shows and is left alone
+    mapped = rf"(?!\xad\n)[{single}]"
+    return regex.compile(rf"(?:(?!\n)[^\p{{M}}{single}])?(?:{mapped}|\p{{M}})+(?:[^\s\p{{M}}{single}](?=\p{{M}}))?\p{{M}}*")
 
 
 @cache
 def _cluster(cluster: str) -> str:
-    if cluster == "­":
-        return cluster
     table = mapping()
     decomposed = unicodedata.normalize("NFD", cluster)
     return unicodedata.normalize("NFC", "".join(table.get(c, c) for c in decomposed))

@@ -23,8 +23,9 @@ from .looks import INVISIBLE, same_look
 MAX_WORDS = 1 << 15
 #: A linked word is misread when it is at most this part as frequent as the word it is linked with.
 RARITY = 0.1
-#: Least cosine of a context with the linked word for a correction.
-CONTEXT = -0.2
+#: A correction needs this much: the cosine of its context with the linked word, plus PRIOR for each power of ten by
+#: which the word is rarer than the linked word. The rarer a form, the less its context has to say.
+CONTEXT, PRIOR = 0.0, 0.35
 #: Size and window of the skip-gram vectors.
 DIMENSIONS, WINDOW = 24, 3
 #: A line or phrase on so many pages of a book is a running title.
@@ -33,7 +34,7 @@ TITLE_PAGES = 2
 MAX_OFFSET = 40
 
 #: Marks that break words at line ends.
-HYPHENS = "-‐¬­"
+HYPHENS = "-‐¬\xad"
 #: Words before which a hyphen may stand for the rest of a compound.
 LINKED = {"de": ("und", "oder", "bis")}
 #: Glyphs that scanning confuses, wrong form and right form: pairs of glyphs, then single ones.
@@ -72,13 +73,13 @@ def number(text: str) -> int:
 @cache
 def _clean_pattern() -> re.Pattern:
     """Invisible characters but the soft hyphen at a line end or text end, which shows as a hyphen."""
-    return re.compile("[" + "".join(re.escape(chr(i)) for i in INVISIBLE if i != 0xAD) + "]|­(?!\n|$)")
+    return re.compile("[" + "".join(re.escape(chr(i)) for i in INVISIBLE if i != 0xAD) + "]|\xad(?!\n|$)")
 
 
 def readable(text: str | None) -> str:
     """The look-alike form of a scanned text, with the marks that break words kept as hyphens."""
     t = _clean_pattern().sub("", text or "")
-    t = same_look(t.replace("­", "¬")) or ""
+    t = same_look(t.replace("\xad", "¬")) or ""
     return re.sub(f"[{HYPHENS}]", "-", t) if re.search(f"[{HYPHENS}]", t) else t
 
 
@@ -341,7 +342,7 @@ def learn_furniture(records: DataFrame) -> DataFrame:
 def learn_compounds(records: DataFrame, max_words: int = MAX_WORDS) -> set[str]:
     """Hyphenated words within lines that are more frequent than the same letters joined; bounded by their share."""
     letters = r"\p{L}+"
-    text = F.lower(F.regexp_replace("text", "[­‐¬]", "-"))
+    text = F.lower(F.regexp_replace("text", "[\xad‐¬]", "-"))
     inline = records.select(F.explode(F.regexp_extract_all(text, F.lit(rf"(?<![\p{{L}}-])({letters}-{letters})(?![\p{{L}}-])"), F.lit(1))).alias("w"))
     counts = inline.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("t"))
@@ -388,10 +389,10 @@ def frequent_words(counts: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
 
 
 def link_words(counts: DataFrame, frequent: dict[str, dict[str, int]]) -> DataFrame:
-    """(lang, word, candidates) for words that are rare against a frequent word of the same fold or with two letters swapped."""
+    """(lang, word, candidates array<struct<word, prior>>) for words that are rare against a frequent word of the same fold or with two letters swapped."""
     shared = counts.sparkSession.sparkContext.broadcast(frequent)
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<struct<word:string,prior:double>>")
     def link(langs: pd.Series, words: pd.Series, n: pd.Series) -> pd.Series:
         by_fold: dict[tuple[str, str], list[str]] = {}
         for lang, known in shared.value.items():
@@ -404,14 +405,15 @@ def link_words(counts: DataFrame, frequent: dict[str, dict[str, int]]) -> DataFr
             found = {v for key in folds(w) for v in by_fold.get((lang, key), ()) if v != w}
             found |= {v for i in range(len(w) - 1) if w[i] != w[i + 1] and (v := w[:i] + w[i + 1] + w[i] + w[i + 2 :]) in known}
             dots = len(re.findall("[äöüÄÖÜ]", w))  # scanning loses dots but adds none
-            out.append(sorted((v for v in found if k <= RARITY * known[v] and dots <= len(re.findall("[äöüÄÖÜ]", v))), key=lambda v: (-known[v], v)))
+            fit = sorted((v for v in found if k <= RARITY * known[v] and dots <= len(re.findall("[äöüÄÖÜ]", v))), key=lambda v: (-known[v], v))
+            out.append([{"word": v, "prior": PRIOR * float(np.log10(known[v] / k))} for v in fit])
         return pd.Series(out)
 
     return counts.filter(F.length("word") > 2).withColumn("candidates", link("lang", "word", "n")).filter(F.size("candidates") > 0).select("lang", "word", "candidates")
 
 
 def learn_vectors(texts: DataFrame, minimum: int) -> dict[str, np.ndarray]:
-    """Unit skip-gram vectors of the frequent words ('lang:word'), trained on the words of all texts."""
+    """Unit skip-gram vectors of the frequent words ('lang:word'), trained on the words of all texts, without what all words share."""
     from pyspark.ml.feature import Word2Vec
 
     tagged = texts.select(F.transform("words", lambda w: F.concat_ws(":", "lang", w)).alias("words"))
@@ -419,6 +421,8 @@ def learn_vectors(texts: DataFrame, minimum: int) -> dict[str, np.ndarray]:
     rows = model.getVectors().collect()
     m = np.array([r.vector.toArray() for r in rows], np.float32)
     m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+    m -= m.mean(axis=0)
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
     return {r.word: v for r, v in zip(rows, m)}
 
 
@@ -443,11 +447,11 @@ def correct(scanned: DataFrame) -> DataFrame:
         for lang, w, context, options in zip(langs, words, contexts, candidates):
             near = [v for x in context if x != w and (v := known.get(f"{lang}:{x}")) is not None]
             if not near:
-                out.append(options[0])
+                out.append(options[0]["word"])
                 continue
             mean = np.mean(near, axis=0)
             mean /= max(float(np.linalg.norm(mean)), 1e-9)
-            scored = [(float(mean @ known[f"{lang}:{v}"]) if f"{lang}:{v}" in known else 0.0, v) for v in options]
+            scored = [(o["prior"] + (float(mean @ v) if (v := known.get(f"{lang}:{o['word']}")) is not None else 0.0), o["word"]) for o in options]
             best = max(scored)
             out.append(best[1] if best[0] >= CONTEXT else None)
         return pd.Series(out)
