@@ -67,7 +67,7 @@ def orphan_references(
         if match == "full" and not all(mask):
             found.append(part)
             continue
-        names = [f"_k{i}" for i in range(len(kept))]
+        names = [f"__orphan_k{i}" for i in range(len(kept))]
         probe = part.select("*", *[F.col(r).alias(n) for (r, _), n in zip(kept, names)])
         alive = (
             targets.select(
@@ -77,10 +77,10 @@ def orphan_references(
             )
             .filter(F.col("_from").isNotNull() & reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names]))
             .groupBy(*names)
-            .agg(F.collect_set(F.struct("_from", "_until")).alias("_spans"))
+            .agg(F.collect_set(F.struct("_from", "_until")).alias("__orphan_spans"))
         )
         joined = skew_safe_left_join(probe, alive, names)
-        exists = F.exists("_spans", lambda s: (s["_from"] <= at) & ((s["_until"] > at) | (s["_until"] == 2**31 - 1)))
+        exists = F.exists("__orphan_spans", lambda s: (s["_from"] <= at) & ((s["_until"] > at) | (s["_until"] == 2**31 - 1)))
         found.append(joined.filter(~F.coalesce(exists, F.lit(False))).select(*[F.col(c) for c in refs.columns]))
     if not found:
         return refs.limit(0)

@@ -32,7 +32,7 @@ def skew_safe_left_join(left: DataFrame, right: DataFrame, keys: list[str], shar
     any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     hot = hot_keys(left, keys, share)
     hot_right = right.join(F.broadcast(hot), keys, "left_semi")
-    flagged = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
-    stay = flagged.filter(any_null | F.col("_hot")).drop("_hot")
-    move = flagged.filter(~any_null & F.col("_hot").isNull()).drop("_hot")
+    flagged = left.join(F.broadcast(hot.withColumn("__skew_hot", F.lit(True))), keys, "left")
+    stay = flagged.filter(any_null | F.col("__skew_hot")).drop("__skew_hot")
+    move = flagged.filter(~any_null & F.col("__skew_hot").isNull()).drop("__skew_hot")
     return stay.join(F.broadcast(hot_right), keys, "left").unionByName(move.join(right, keys, "left"))

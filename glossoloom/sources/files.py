@@ -35,7 +35,7 @@ def read_table_text(spark: SparkSession, path: str, schema: str, sep: str = "\t"
 def read_returned_csv(spark: SparkSession, path: str) -> DataFrame:
     """A returned CSV as text columns: byte order mark, CRLF and line breaks in quotes are fine."""
     rows = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path)
-    return rows.withColumnsRenamed({c: c.lstrip("﻿").strip('"') for c in rows.columns if c != c.lstrip("﻿").strip('"')})
+    return rows.withColumnsRenamed({c: c.lstrip("\ufeff").strip('"') for c in rows.columns if c != c.lstrip("\ufeff").strip('"')})
 
 
 def read_conllu(spark: SparkSession, path: str) -> DataFrame:

@@ -59,7 +59,7 @@ def write_annotation_csv(df: DataFrame, path: str, overwrite: bool = False) -> N
     if Path(path).exists() and not overwrite:
         raise FileExistsError(path)
     with open(path, "w", encoding="utf-8", newline="") as f:
-        f.write("﻿" + ",".join(df.columns) + "\r\n")
+        f.write("\ufeff" + ",".join(df.columns) + "\r\n")
         for r in annotation_lines(df).toLocalIterator():
             f.write(r.line + "\r\n")
 
