@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 TOKENIZER_DIR = "/opt/tokenizers"
 TOKENIZER = "byte_bpe_50k.tiktoken"
 #: A word enters the table when it makes up more than 1 / TABLE_SIZE of all occurrences: fewer than TABLE_SIZE words.
@@ -126,7 +128,7 @@ def build_word_table(df: DataFrame, path: str, text: str = "text", table_size: i
     A word is taken when its count times ``table_size`` exceeds the number of all occurrences, so there are fewer
     than ``table_size`` rows of at most TABLE_WORD_CHARS characters whatever the corpus; counts cover all texts.
     """
-    counts = word_counts(df, text)
+    counts = materialize(word_counts(df, text), "word-counts")  # read twice, counted once
     total = counts.agg(F.sum("n").alias("total"))
     frequent = counts.join(F.broadcast(total), F.col("n") * table_size > F.col("total")).filter(F.length("word") <= TABLE_WORD_CHARS)
     rows = encode_table(frequent.select("word").coalesce(4), path).collect()
@@ -152,6 +154,7 @@ def encode_corpus(df: DataFrame, path: str, *, key: str = "doc_id", text: str =
 def count_tokens(df: DataFrame, path: str, *, text: str = "text", out: str = "n_tokens", table_size: int = TABLE_SIZE) -> DataFrame:
     """Replace ``text`` by its number of tokens in ``out``; all other columns stay. Empty and null texts have 0."""
     table = build_word_table(df, path, text, table_size)
+    words = "_words" + "_" * max(map(len, df.columns))  # clashes with no column
     keep = [f for f in df.schema.fields if f.name not in (text, out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +164,7 @@ def count_tokens(df: DataFrame, path: str, *, text: str = "text", out: str = "n_
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(np.diff(sums), pa.int64())], [*[f.name for f in keep], out])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in keep], f"`{out}` bigint"])
-    return df.select(*[F.col(f.name) for f in keep], words_of(F.col(text)).alias("_words")).mapInArrow(run, schema)
+    return df.select(*[F.col(f.name) for f in keep], words_of(F.col(text)).alias(words)).mapInArrow(run, schema)
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
