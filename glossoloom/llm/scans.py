@@ -54,6 +54,8 @@ _COUNTED = re.compile(r"(?:\b(?:mit|with|seit|ca\.|approx\.|Nr\.|No\.|S\.|p\.|Am
 _COUNTING = re.compile(r"\s*(?:Jahre\w*|years|p\.\s?m|a\.\s?m|Uhr|Taler|thalers|Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)\b")
 _SPACED = re.compile(r"(?<!\w)(?:[A-ZÄÖÜ]\s+){3,}[A-ZÄÖÜ](?!\w)")
 _CAPITALS = re.compile(r"(?<!\w)[A-ZÄÖÜẞ]{2,}(?:\s+[A-ZÄÖÜẞ]{2,})+(?!\w)")
+#: A run of Han characters between blanks in the midst of Han text.
+_HAN_ISLAND = re.compile(r"(?<=[^\s.!?…。！？”」]) ([㐀-鿿]{3,20}) (?=\S)")
 _ARTICLE = re.compile(r"(?<=[a-zäöüß,;\d])\s+((?:Der|Die|Das|The)\s+[a-zäöüß]+\s+\w+)")
 
 
@@ -238,7 +240,7 @@ def _scan_paragraphs(records: list[Record], book: Book) -> None:
                 if p in (_SPACED, _CAPITALS) or _inside(t, m.start(), m.end()):
                     r.header = True
                     take(m.start(), m.end())
-        for m in _ARTICLE.finditer(t, head):
+        for m in [*_ARTICLE.finditer(t, head), *(_HAN_ISLAND.finditer(t, head) if r.row.lang == "zh" else ())]:
             if not any(a <= m.start(1) < b for a, b in cut):
                 r.header = True
                 take(m.start(1), m.end(1))
