@@ -45,7 +45,7 @@ _TERMINAL = ".!?…。！？:：\"”“’‘«»」』)）"
 _LETTER = r"[^\W\d_]"
 _PUNCT = re.compile(r"[.!?,;:…。！？，；：、“”„»«「」‘()（）]")
 _ROMAN = r"[ivxlcdm]{1,9}"
-_CHAPTER = re.compile(r"\s*·\s*(?:Kapitel|Chapter|第)\s*\d+\s*章?\s*$")
+_CHAPTER = re.compile(r"\s*·\s*(?:[^\W\d_]{3,9}|第)\s*\d+\s*章?\s*$")
 _NUMBER_LINE = re.compile(rf"^[\s\x80-\x9f]*(?:[-–—·\[(]\s*)?(?:Seite|Page|第)?\s*(\d{{1,4}}|{_ROMAN})\s*页?(?:\s*[-–—·\])])?[\s\x80-\x9f]*$")
 _DECORATED = re.compile(r"[\x80-\x9f]\s*(\d{1,4})\s*[\x80-\x9f]|\[(\d{1,4})\]|[—–-]\s(\d{1,4})\s[—–-]|·\s*(\d{1,4})\s*·|(?<!\w)(?:Seite|Page)\s(\d{1,4})(?=\s|$)|第(\d{1,4})页")
 _BARE = re.compile(r"(?:(?<=\s)|^)(\d{1,4})(?=\s|$)")
