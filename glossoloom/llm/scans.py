@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .looks import INVISIBLE, same_look
 
 #: A word is frequent when it makes up more than 1 / MAX_WORDS of its language's words: fewer than MAX_WORDS words.
@@ -376,7 +377,8 @@ def scan(records: DataFrame) -> DataFrame:
             out.append((r.row.rec_table, r.row.book, r.row.lang, r.row.chapter, r.row.rec_id, r.row.page, r.row.ord, r.header, r.page_number, r.hyphen, r.joined, r.starts_broken, r.ends_broken, w))
         return pd.DataFrame(out, columns=names)
 
-    return rows.groupBy("rec_table", "book", "lang", "chapter").applyInPandas(run, SCANNED)
+    group = ["rec_table", "book", "lang", "chapter"]
+    return spread(rows, *group).groupBy(*group).applyInPandas(run, SCANNED)
 
 
 def word_counts(texts: DataFrame, words: str = "words") -> DataFrame:
