@@ -9,6 +9,7 @@ from ..functions import columns as C
 from ..functions import lexicons as X
 from ..operators import align, audit, candidates, checks, context, eligibility, mapping
 from ..session import read_table, ship
+from .cleaning import WS
 
 #: Vectors stand for sentences; a scope is a run of 500 vector ids of one label, so it keeps its size as vectors grow.
 SCOPE = "concat(label, '_', vec_id div 500)"
@@ -404,6 +405,11 @@ SELECT chapter, en, zh, count(*) AS n FROM s GROUP BY GROUPING SETS ((chapter, e
     "context_regression": f"""WITH {_CONTEXT}, cases AS (SELECT datapoint_id, arg_min(coalesce(en_sentence_ids, []), (loaded_at, mapping_id, en_sentence_ids)) AS expected FROM pp_mappings GROUP BY datapoint_id), o AS (SELECT datapoint_id, min(source_segment_id) AS segment_id FROM occurrences GROUP BY datapoint_id),
 m AS (SELECT c.datapoint_id AS key, list_filter(expected, lambda x: NOT list_contains(coalesce(context_ids, []), x)) AS missing, provenance FROM cases c JOIN o USING (datapoint_id) LEFT JOIN side USING (segment_id))
 SELECT key, array_to_string(list_filter(missing, lambda x: x IS NOT NULL), ',') AS missing FROM m WHERE len(missing) > 0 AND coalesce(provenance, '') <> 'manual_review'""",
+    "qc_issues": f"""WITH r AS (SELECT DISTINCT * FROM segments), x AS (SELECT *, coalesce(regexp_matches(id, '{X.SEGMENT_ID}'), false) AS ok, try_cast(regexp_extract(id, '_p(\\d{{4}})_', 1) AS INT) * 1000 + try_cast(regexp_extract(id, '_s(\\d{{3}})$', 1) AS INT) AS place,
+  try_cast(regexp_extract(id, '_ch(\\d{{2}})_', 1) AS INT) AS ch, regexp_extract(id, '^(.+?)_ch', 1) AS b, length(regexp_replace(coalesce(text, ''), '^{WS}+|{WS}+$', '', 'g')) AS n, row_number() OVER (PARTITION BY id ORDER BY loaded_at) AS k FROM r),
+y AS (SELECT *, lag(CASE WHEN ok THEN place END) OVER (PARTITION BY b, chapter ORDER BY loaded_at, id) AS q FROM x),
+i AS (SELECT unnest([CASE WHEN k > 1 THEN 'duplicate_id' END, CASE WHEN n = 0 THEN 'empty_text' END, CASE WHEN n > 0 AND n < 3 THEN 'short_fragment' END, CASE WHEN length(text) > 1000 THEN 'abnormally_long' END, CASE WHEN NOT ok THEN 'malformed_id' END,
+  CASE WHEN ok AND ch <> chapter THEN 'mixed_chapter' END, CASE WHEN ok AND place < q THEN 'non_monotonic_id' END]) AS issue FROM y) SELECT issue, count(*) AS n FROM i WHERE issue IS NOT NULL GROUP BY issue""",
     "page_gaps": r"""WITH p AS (SELECT DISTINCT nullif(regexp_extract(id, '^([a-z0-9]+_[a-z]+_ch\d{2})_', 1), '') AS scope, unnest(source_pages) AS page FROM segments), l AS (SELECT scope, page AS "before", lead(page) OVER (PARTITION BY scope ORDER BY page) AS "after" FROM p) SELECT * FROM l WHERE "after" - "before" > 1""",
     "id_impact": """WITH f AS (SELECT id, arg_min({'l': loaded_at, 't': coalesce(text, ''), 'd': deleted_at}, (loaded_at, text, deleted_at)) AS x FROM (SELECT DISTINCT id, loaded_at, text, deleted_at FROM segments) GROUP BY id), o AS (SELECT id, x.t AS a FROM f WHERE x.l < '2023-07-01'), n AS (SELECT id, x.t AS b FROM f WHERE x.d IS NULL)
 SELECT CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'removed' WHEN a = b THEN 'kept' ELSE 'changed' END AS impact, count(*) AS n FROM o FULL JOIN n USING (id) GROUP BY ALL""",
