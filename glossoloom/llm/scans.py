@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import materialize, spread
 from .looks import INVISIBLE, same_look
 
 #: A word is frequent when it makes up more than 1 / MAX_WORDS of its language's words: fewer than MAX_WORDS words.
@@ -392,32 +392,32 @@ def frequent_words(counts: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
     return counts.join(F.broadcast(total), "lang").filter(F.col("n") * max_words > F.col("total")).drop("total")
 
 
-def link_words(counts: DataFrame, frequent: dict[str, dict[str, int]]) -> DataFrame:
-    """(lang, word, candidates array<struct<word, prior>>) for words that are rare against a frequent word of the same fold or with two letters swapped."""
-    shared = counts.sparkSession.sparkContext.broadcast(frequent)
+def link_words(counts: DataFrame) -> DataFrame:
+    """(lang, word, candidates array<struct<word, prior>>) for words that are rare against a word of the same fold or with two letters swapped.
 
-    @F.pandas_udf("array<struct<word:string,prior:double>>")
-    def link(langs: pd.Series, words: pd.Series, n: pd.Series) -> pd.Series:
-        by_fold: dict[tuple[str, str], list[str]] = {}
-        for lang, known in shared.value.items():
-            for w in known:
-                for k in folds(w):
-                    by_fold.setdefault((lang, k), []).append(w)
-        out = []
-        for lang, w, k in zip(langs, words, n):
-            known = shared.value.get(lang, {})
-            found = {v for key in folds(w) for v in by_fold.get((lang, key), ()) if v != w}
-            found |= {v for i in range(len(w) - 1) if w[i] != w[i + 1] and (v := w[:i] + w[i + 1] + w[i] + w[i + 2 :]) in known}
-            dots = len(re.findall("[äöüÄÖÜ]", w))  # scanning loses dots but adds none
-            fit = sorted((v for v in found if k <= RARITY * known[v] and dots <= len(re.findall("[äöüÄÖÜ]", v))), key=lambda v: (-known[v], v))
-            out.append([{"word": v, "prior": PRIOR * float(np.log10(known[v] / k))} for v in fit])
-        return pd.Series(out)
+    A word can only be rare against one that occurs 1 / RARITY times or more; words meet by equal keys, so no size of
+    the corpus takes a word out and no word list is held in memory.
+    """
+
+    def keys_of(last):
+        @F.pandas_udf("array<string>")
+        def run(words: pd.Series) -> pd.Series:
+            return pd.Series([sorted({*folds(w), *("=" + v for v in last(w))}) for w in words], dtype=object)
+
+        return run
 
-    return counts.filter(F.length("word") > 2).withColumn("candidates", link("lang", "word", "n")).filter(F.size("candidates") > 0).select("lang", "word", "candidates")
+    swapped = keys_of(lambda w: [w[:i] + w[i + 1] + w[i] + w[i + 2 :] for i in range(len(w) - 1) if w[i] != w[i + 1]])
+    itself = keys_of(lambda w: [w])
+    dots = F.length(F.regexp_replace("word", "[^äöüÄÖÜ]", ""))  # scanning loses dots but adds none
+    rare = counts.filter(F.length("word") > 2).select("lang", "word", "n", dots.alias("dots"), F.explode(swapped("word")).alias("key"))
+    known = counts.filter(F.col("n") * RARITY >= 1).select("lang", F.explode(itself("word")).alias("key"), F.col("word").alias("known"), F.col("n").alias("m"), dots.alias("known_dots"))
+    fit = rare.join(known, ["lang", "key"]).filter((F.col("word") != F.col("known")) & (F.col("n") <= RARITY * F.col("m")) & (F.col("dots") <= F.col("known_dots")))
+    best = F.array_sort(F.collect_set(F.struct((-F.col("m")).alias("m"), F.col("known").alias("word"), (PRIOR * F.log10(F.col("m") / F.col("n"))).alias("prior"))))
+    return fit.groupBy("lang", "word").agg(F.transform(best, lambda c: F.struct(c["word"].alias("word"), c["prior"].alias("prior"))).alias("candidates"))
 
 
 def learn_vectors(texts: DataFrame, minimum: int) -> dict[str, np.ndarray]:
-    """Unit skip-gram vectors of the frequent words ('lang:word'), trained on the words of all texts, without what all words share."""
+    """Unit skip-gram vectors of the words seen ``minimum`` times ('lang:word'), trained on the words of all texts, without what all words share."""
     from pyspark.ml.feature import Word2Vec
 
     tagged = texts.select(F.transform("words", lambda w: F.concat_ws(":", "lang", w)).alias("words"))
@@ -433,15 +433,13 @@ def learn_vectors(texts: DataFrame, minimum: int) -> dict[str, np.ndarray]:
 def correct(scanned: DataFrame) -> DataFrame:
     """Corrections in context: (rec_table, rec_id, page, ord, at, word, correct) for each misread word of the bodies."""
     texts = scanned.filter(F.size("words") > 0)
-    counts = word_counts(texts).filter("lang IS NOT NULL")
-    frequent: dict[str, dict[str, int]] = {}
-    for r in frequent_words(counts).collect():
-        frequent.setdefault(r.lang, {})[r.word] = r.n
-    if not frequent:
+    counts = materialize(word_counts(texts).filter("lang IS NOT NULL"), "p5-words")
+    least = frequent_words(counts).agg(F.min("n")).first()[0]
+    if least is None:
         return scanned.limit(0).select("rec_table", "rec_id", "page", "ord", F.lit(0).alias("at"), F.lit("").alias("word"), F.lit("").alias("correct"))
-    least = max(2, min(min(v.values()) for v in frequent.values()))
-    vectors = scanned.sparkSession.sparkContext.broadcast(learn_vectors(texts, least))
-    links = link_words(counts, frequent)
+    # every word that may be linked with has a vector
+    vectors = scanned.sparkSession.sparkContext.broadcast(learn_vectors(texts, max(2, min(least, round(1 / RARITY)))))
+    links = link_words(counts)
     around = F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word"), F.slice("words", F.greatest(i + 1 - WINDOW, F.lit(1)), F.lit(2 * WINDOW + 1)).alias("context")))
     tokens = texts.select("rec_table", "rec_id", "page", "ord", "lang", F.explode(around).alias("t")).select("rec_table", "rec_id", "page", "ord", "lang", "t.at", "t.word", "t.context")
 

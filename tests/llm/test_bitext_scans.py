@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -94,6 +95,22 @@ def test_defects(spark, scanned):
     assert {i for i, k in found if k == "misread"} == {"aa_pg0020_b01", "aa_pg0021_b02"}
 
 
+def test_links_do_not_depend_on_the_size_of_the_corpus(spark):
+    rows = [("de", "Krauvhagen", 60), ("de", "Kranvhagen", 1), ("de", "Plaunstein", 30), ("de", "Plaunstien", 1), ("de", "Brücke", 40), ("de", "Brucke", 2), ("de", "Mühle", 9), ("de", "Mnhle", 1)]
+    links = {}
+    for total in (1_000, 10_000_000):  # a plain share would drop the rare names of the large corpus
+        counts = spark.createDataFrame([*rows, ("de", "der", total), ("en", "Krauvhagen", total)], "lang string, word string, n bigint")
+        links[total] = {r.word: [(c.word, round(c.prior, 6)) for c in r.candidates] for r in N.link_words(counts).collect()}
+    assert links[1_000] == links[10_000_000] == {w: [(v, round(N.PRIOR * math.log10(m / n), 6))] for w, v, m, n in [("Kranvhagen", "Krauvhagen", 60, 1), ("Plaunstien", "Plaunstein", 30, 1), ("Brucke", "Brücke", 40, 2)]}
+
+
+def test_misread_rare_word_in_a_large_corpus(spark):
+    fill = [("block", "aa", "de", 1, f"f{i:05d}", 1, i, ["und"] * 2_000) for i in range(1_000)]
+    said = [("block", "aa", "de", 1, f"r{i:03d}", 2, i, ["Merlo", "sah", "Krauvhagen" if i else "Kranvhagen", "im", "Tal"]) for i in range(61)]
+    texts = spark.createDataFrame(fill + said, "rec_table string, book string, lang string, chapter int, rec_id string, page int, ord int, words array<string>")
+    assert [(r.rec_id, r.word, r.correct) for r in N.correct(texts).collect()] == [("r000", "Kranvhagen", "Krauvhagen")]
+
+
 def test_reflow(spark, scanned):
     texts = [r.text for r in N.reflow(scanned, N.correct(scanned)).filter("book = 'aa'").orderBy("paragraph").collect()]
     whole = "\n".join(texts)
