@@ -32,6 +32,8 @@ class AlignSettings:
     wall_margin: float = 0.15
     two_pass: bool = False
     review_below: float = 0.5
+    anchor_weight: float = 0.3
+    anchor_cap: float = 0.15
 
 
 #: The settings of full runs.
@@ -204,14 +206,26 @@ def align_two_pass(src: np.ndarray, tgt: np.ndarray, settings: AlignSettings, le
     return out
 
 
+def bonus_matrix(src: list[set[str]], tgt: list[set[str]], settings: AlignSettings) -> np.ndarray:
+    """The bonus of all pairs of a scope, as ``anchor_bonus`` gives it: anchors weigh by inverse frequency over both sides."""
+    n = max(2, len(src) + len(tgt))
+    out = np.zeros((len(src), len(tgt)))
+    for anchor in sorted(set().union(*src) & set().union(*tgt)):
+        rows, cols = ([i for i, x in enumerate(side) if anchor in x] for side in (src, tgt))
+        df = len(rows) + len(cols)
+        out[np.ix_(rows, cols)] += min(1.0, np.log(n / df) / np.log(n)) if df < n else 0.0
+    return np.minimum(settings.anchor_cap, settings.anchor_weight * out)
+
+
 ALIGNED = "scope string, ord int, src array<string>, tgt array<string>, type string, confidence double, margin double, needs_review boolean"
 
 
 def align_scopes(src: DataFrame, tgt: DataFrame, settings: AlignSettings = PRODUCTION) -> DataFrame:
-    """Alignment records of every scope: ``src`` and ``tgt`` hold (scope, pos, id, text, vector).
+    """Alignment records of every scope: ``src`` and ``tgt`` hold (scope, pos, id, text, vector) and may hold anchors.
 
     A scope, such as a chapter, is one task on each side; scopes run in parallel. A scope with one side only gives no
-    records. Gap records have confidence 0 and always need review.
+    records. Gap records have confidence 0 and always need review. Where both sides have anchors, pairs that share some
+    get their bonus in each run of the program; null anchors are like none.
     """
 
     def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -220,12 +234,14 @@ def align_scopes(src: DataFrame, tgt: DataFrame, settings: AlignSettings = PRODU
             a, b = (x.set_axis(pick, axis=1).sort_values("pos", ignore_index=True) for x in (a, b))
             lengths = tuple(x.text.fillna("").str.len().to_numpy(float) for x in (a, b))
             go = align_two_pass if settings.two_pass else align_vectors
-            for n, (s, t, score, margin) in enumerate(go(np.stack(a.vector), np.stack(b.vector), settings, lengths)):
+            bonus = bonus_matrix(*([set() if v is None else set(v) for v in x.anchors] for x in (a, b)), settings) if anchored else None
+            for n, (s, t, score, margin) in enumerate(go(np.stack(a.vector), np.stack(b.vector), settings, lengths, bonus)):
                 confidence = max(0.0, min(1.0, score))
                 rows.append((key[0], n + 1, [a.id[i] for i in s], [b.id[j] for j in t], f"{len(s)}:{len(t)}", confidence, margin, confidence < settings.review_below))
         return pd.DataFrame(rows, columns=[x.split()[0] for x in ALIGNED.split(", ")])
 
-    pick = ["scope", "pos", "id", "text", "vector"]
+    anchored = "anchors" in src.columns and "anchors" in tgt.columns
+    pick = ["scope", "pos", "id", "text", "vector", *["anchors"] * anchored]
     # sides of one origin share their attributes, so each gets columns of its own
     left, right = (df.select(*[F.col(c).alias(f"{side}_{c}") for c in pick]).groupBy(f"{side}_scope") for df, side in ((src, "s"), (tgt, "t")))
     return left.cogroup(right).applyInPandas(run, ALIGNED)

@@ -78,6 +78,42 @@ def test_scopes(spark):
     assert A.align_scopes(src.limit(0), src.limit(0)).count() == 0
 
 
+def test_scopes_use_anchors(spark):
+    schema = "scope string, pos int, id string, text string, vector array<double>, anchors array<string>"
+    v = [[1.0, 0.0], [1.0, 0.0], [0.0, 1.0]]
+    src = spark.createDataFrame([("a", i, f"s{i}", "text", v[i], [["Krug"], ["1743"], None][i]) for i in range(3)], schema)
+    # the first sentence is left out on the other side, which only the number shows
+    tgt = spark.createDataFrame([("a", i, f"t{i}", "text", v[i + 1], [["1743"], None][i]) for i in range(2)], schema)
+    run = lambda a, b: {tuple(r.src): tuple(r.tgt) for r in A.align_scopes(a, b, A.AlignSettings(band=1.0, max_group=1, two_pass=True)).collect()}
+    assert run(src, tgt) == {("s0",): (), ("s1",): ("t0",), ("s2",): ("t1",)}
+    assert A.align_scopes(src, tgt.drop("anchors")).count() == A.align_scopes(src.drop("anchors"), tgt).count()
+
+
+def test_bonus_matrix_is_the_join(spark):
+    src, tgt = [{"Krug", "12"}, set(), {"Krug"}, {"77"}], [{"12"}, {"Krug", "12", "77"}, {"Ring"}]
+    df = lambda side, name: spark.createDataFrame([("a", f"{name}{i}", sorted(x)) for i, x in enumerate(side)], "scope string, id string, anchors array<string>")
+    want = {(r.src_id, r.tgt_id): r.bonus for r in A.anchor_bonus(df(src, "s"), df(tgt, "t")).collect()}
+    got = A.bonus_matrix(src, tgt, A.PRODUCTION)
+    assert {(f"s{i}", f"t{j}"): pytest.approx(got[i, j]) for i, j in zip(*got.nonzero())} == want
+
+
+def test_two_pass_align_takes_anchors(spark, tmp_path):
+    from glossoloom.plans import corpus
+
+    texts = {"de": ["Merlo lief davon.", "Merlo sah 1743 hinaus."], "en": ["Out of it, in 1743, looked someone."]}
+    rows = [(f"aa_{lang}_ch01_p0001_s{i + 1:03d}", 1, 1, i + 1, t) for lang, side in texts.items() for i, t in enumerate(side)]
+    spark.createDataFrame(rows, "id string, chapter int, paragraph int, sentence int, text string").selectExpr("*", "timestamp'2023-01-01' AS loaded_at", "cast(null AS timestamp) AS deleted_at").write.parquet(f"{tmp_path}/segments.parquet")
+    spark.createDataFrame([("Merlo", "Merlo", None, "name")], "de_form string, en_form string, zh_form string, kind string").write.parquet(f"{tmp_path}/anchors.parquet")
+    seen = []
+    original = A.align_scopes
+    try:
+        A.align_scopes = lambda a, b, *rest: seen.extend(({r.id[-4:]: list(r.anchors) for r in a.collect()}, [list(r.anchors) for r in b.collect()])) or original(a, b, *rest)
+        corpus.two_pass_align(spark, str(tmp_path)).collect()
+    finally:
+        A.align_scopes = original
+    assert seen == [{"s001": ["Merlo"], "s002": ["1743", "Merlo"]}, [["1743"]]]
+
+
 def test_encoder_is_deterministic_and_unit():
     e = A.HashEncoder()
     v = e.encode(["ein Haus", "ein Haus", "", "other"])
