@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import lexicons as X
+from . import trees
 
 
 def score_candidates(pairs: DataFrame, side: str) -> DataFrame:
@@ -34,6 +35,50 @@ def best_candidates(scored: DataFrame, keys: list[str], ordinal: str = "cand", k
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep).withColumn("status", C.match_status("score"))
 
 
+def blocks_of_ids(rows: DataFrame, blocks: DataFrame, ids: str) -> DataFrame:
+    """Rows (key, ``ids``) with all parse blocks of each id: (key, pos, segment_id, blocks array<struct<ord, sent_id, tokens>>).
+
+    ``blocks`` hold (source_segment_id, ord, sent_id, tokens), ord giving their order in the document. An id without
+    blocks has null ``blocks``, and an id named twice has its blocks twice.
+    """
+    index = blocks.filter("source_segment_id IS NOT NULL").groupBy("source_segment_id").agg(F.array_sort(F.collect_set(F.struct("ord", "sent_id", "tokens"))).alias("blocks"))
+    named = rows.select("key", F.posexplode(ids).alias("pos", "segment_id"))
+    return named.join(index.withColumnRenamed("source_segment_id", "segment_id"), "segment_id", "left")
+
+
+def mapping_records(candidates: DataFrame, blocks: dict[str, DataFrame]) -> DataFrame:
+    """One record per distinct candidate: the best counterpart of its phrase on each side, and the next three.
+
+    ``candidates`` hold (datapoint_id, de_prep, de_surface, de_lemma) and per side {side}_ids, {side}_context_ids and
+    {side}_confidence; ``blocks`` hold the parse blocks by side. The context ids are searched, or the ids where there
+    are none. {side}_best_in_anchor tells if the best stands in a block of the ids; {side}_unresolved counts ids
+    without blocks, not context ids.
+    """
+    out = candidates.dropDuplicates().withColumn("key", F.sha2(F.to_json(F.struct(*candidates.columns), {"ignoreNullFields": "false"}), 256))
+    for side, parsed in blocks.items():
+        none = F.array().cast("array<string>")
+        rows = out.select("key", "de_prep", "de_surface", "de_lemma", F.coalesce(f"{side}_ids", none).alias("anchor"), F.coalesce(f"{side}_context_ids", none).alias("near"), F.col(f"{side}_confidence").alias("confidence"))
+        rows = rows.withColumn("search", F.when(F.size("near") > 0, F.col("near")).otherwise(F.col("anchor")))
+        missing = blocks_of_ids(rows, parsed, "anchor").groupBy("key").agg(F.count_if(F.col("blocks").isNull()).alias(f"{side}_unresolved"))
+        searched = blocks_of_ids(rows, parsed, "search")
+        seen = searched.groupBy("key").agg(F.sum(F.coalesce(F.size("blocks"), F.lit(0))).alias(f"{side}_seen"))
+        each = searched.select("key", "pos", "segment_id", F.posexplode("blocks").alias("block", "b"))
+        each = each.select("key", "pos", "segment_id", "block", F.col("b.sent_id").alias("sent_id"), F.col("b.tokens").alias("tokens"))
+        phrases = each.select("key", "segment_id", "sent_id", "pos", "block", F.posexplode(trees.case_phrases("tokens")).alias("i", "p"))
+        pairs = phrases.join(rows.drop("search", "near"), "key").select("*", "p.*", F.struct("pos", "block", "i").alias("cand"))
+        scored = score_candidates(pairs, side).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key")))
+        found = F.struct("rank", "score", "status", "signals", "segment_id", F.array_contains("anchor", F.col("segment_id")).alias("in_anchor"), "sent_id", F.col("p").alias("phrase"))
+        best = best_candidates(scored, ["key"]).groupBy("key").agg(F.array_sort(F.collect_list(found)).alias("_found"), F.max("n").alias(f"{side}_candidates"))
+        for part in (missing, seen, best):
+            out = out.join(part, "key", "left")
+        first = F.get("_found", F.lit(0))
+        status = F.coalesce(first["status"], F.lit("unmappable"))
+        reason = F.when(F.col("_found").isNull(), "no_pp_in_target_sentence").when(status == "unmappable", "best_score_below_threshold")
+        out = out.withColumns({f"{side}_status": status, f"{side}_best_score": F.coalesce(first["score"], F.lit(0.0)), f"{side}_best": first, f"{side}_best_in_anchor": first["in_anchor"], f"{side}_alternatives": F.slice("_found", 2, 3), f"{side}_reason": reason}).drop("_found")
+        out = out.fillna(0, [f"{side}_{c}" for c in ("unresolved", "seen", "candidates")])
+    return out.drop("key")
+
+
 def signal_counts(scored: DataFrame) -> DataFrame:
     return scored.select(F.explode("signals").alias("s")).groupBy(F.col("s.name").alias("signal")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -196,7 +196,7 @@ def datapoint_ids(spark, d):
 
 
 def mapping_crosstab(spark, d):
-    """AGG-08, PRC-19, SNK-20: presence of counterparts per chapter and in total."""
+    """AGG-08, SNK-20: presence of counterparts per chapter and in total."""
     return mapping.status_table(read_table(spark, d, "pp_mappings"))
 
 
