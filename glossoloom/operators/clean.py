@@ -31,6 +31,12 @@ def span_notes(blocks: DataFrame, marker_max: float, note_max: float) -> DataFra
     return blocks.withColumn("notes", F.when(has, notes).otherwise(F.array().cast("array<string>"))).withColumn("text", F.when(has, body).otherwise(F.col("text")))
 
 
+def marker_count(marker_max: float) -> Column:
+    """Spans of a block that are markers of notes."""
+    spans = F.flatten(F.transform("lines", lambda x: F.coalesce(x["spans"], F.array().cast("array<struct<text:string,size:double,flags:int>>"))))
+    return F.coalesce(F.size(F.filter(spans, lambda s: (s["size"] < marker_max) & F.trim(s["text"]).rlike(r"^\d{1,2}$"))), F.lit(0))
+
+
 def valid_box() -> Column:
     return (F.size("bbox") >= 4) & (F.get("bbox", F.lit(2)) > F.get("bbox", F.lit(0))) & (F.get("bbox", F.lit(0)) > 0)
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import lexicons as X
-from ..operators import align, audit, candidates, checks, context, eligibility, mapping
+from ..operators import align, audit, candidates, checks, clean, context, eligibility, mapping
 from ..session import read_table, ship
-from .cleaning import WS
+from .cleaning import HEADERS, NOTE_SIZES, OPENING, WS, _blocks
 
 #: Vectors stand for sentences; a scope is a run of 500 vector ids of one label, so it keeps its size as vectors grow.
 SCOPE = "concat(label, '_', vec_id div 500)"
@@ -291,13 +291,13 @@ def paragraph_at_offset(spark, d):
 
 
 def source_statistics(spark, d):
-    """AGG-23, AGG-27, SNK-16, SNK-17, SRT-07: blocks and paragraphs of chapters."""
+    """AGG-27, SNK-16, SNK-17: blocks and paragraphs of chapters; the rest of AGG-27 is in source_counts."""
     count = lambda t, n: read_table(spark, d, t).groupBy("book", "lang", "chapter").agg(F.count(F.lit(1)).alias(n), F.sum(F.length("text")).alias(f"{n}_chars"))
     return count("ocr_blocks", "blocks").join(count("paragraphs", "paragraphs"), ["book", "lang", "chapter"], "full")
 
 
 def stream_similarity(spark, d):
-    """FN-17, FN-18, FN-39, PRC-20, FLT-33: how far texts of the same id differ between deliveries of blocks and neighbours."""
+    """FN-17, FN-18, FN-39: how far Chinese segments differ from the next one of their chapter."""
     rows = _orders(spark, d).filter("lang = 'zh'")
     after = F.lead("text").over(W.partitionBy("book", "chapter").orderBy("pos"))
     pairs = rows.withColumn("next", after).filter("next IS NOT NULL").select("id", audit.stream_form("text").alias("a"), audit.stream_form("next").alias("b"))
@@ -305,9 +305,32 @@ def stream_similarity(spark, d):
     return out.select("id", "ratio", C.verdict("ratio").alias("verdict"))
 
 
+def source_counts(spark, d):
+    """AGG-27: segments, notes and markers of chapters, each segment and block counted once."""
+    blocks = clean.span_notes(_blocks(spark, d).withColumn("_markers", clean.marker_count(NOTE_SIZES[0])), *NOTE_SIZES)
+    small = blocks.groupBy("book", "lang", "chapter").agg(F.sum(F.size("notes")).alias("notes"), F.sum("_markers").alias("markers"))
+    segments = _orders(spark, d).groupBy("book", "lang", "chapter").agg(F.count(F.lit(1)).alias("segments"), F.sum(F.length("text")).alias("segments_chars"))
+    return segments.join(small, ["book", "lang", "chapter"], "full").fillna(0, ["segments", "segments_chars", "notes", "markers"])
+
+
+def chapter_regions(spark, d):
+    """PRC-20, FLT-33: regions of the scanned blocks of a chapter that its cleaned paragraphs lack."""
+    blocks = _blocks(spark, d)
+    key = ["book", "lang", "chapter"]
+
+    def stream(rows, order):
+        parts = F.array_sort(F.collect_list(F.struct(*order, F.coalesce("text", F.lit("")).alias("text"))))
+        return rows.groupBy(*key).agg(audit.stream_form(F.array_join(F.transform(parts, lambda x: x["text"]), "")).alias("stream"))
+
+    raw = stream(blocks, ["page", "block_idx", "block_id"]).withColumnRenamed("stream", "raw")
+    old = stream(clean.clean(blocks, headers=HEADERS, opening_quotes=OPENING), ["paragraph"]).withColumnRenamed("stream", "old")
+    chapters = raw.join(old, key, "left").select(F.format_string("%s_%s_ch%02d", *key).alias("key"), "old", "raw", F.col("raw").alias("new"))
+    return audit.chapter_regions(chapters).withColumns({c: F.round(c, 3) for c in ("ratio_old", "ratio_raw")})
+
+
 NAMES = """cosine_pairs ratio_margin dp_align two_pass_align align_summary align_types align_sources_twice align_unknown_ids agreement legacy_normalize anchor_idf anchor_bonus side_context ordered_texts
 candidate_rows candidate_summary unresolved_segments minimal_pairs canonical_prep form_distribution structural_gate dedup_identity identity_conflicts eligible_pool pool_funnel pilot_quota row_hash datapoint_ids
-mapping_crosstab score_candidates set_equality manifest_gate segment_faults alignment_faults context_regression qc_issues page_gaps id_impact common_prefix ordered_digest paragraph_at_offset source_statistics stream_similarity""".split()
+mapping_crosstab score_candidates set_equality manifest_gate segment_faults alignment_faults context_regression qc_issues page_gaps id_impact common_prefix ordered_digest paragraph_at_offset source_statistics stream_similarity source_counts chapter_regions""".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 _LIST = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)

@@ -162,6 +162,26 @@ def test_differences(spark):
     assert [(r.key, r.op, len(r.old_text)) for r in audit.chapter_differences(df).collect()] == [("c", "delete", 30)]
 
 
+def test_regions(spark):
+    body, lost, gone = "abcdefghijklmnopqrstuvwxyz" * 20, "0123456789" * 3, "ÄÖÜäöüß€§$" * 3
+    df = spark.createDataFrame([("c", body, lost + body, body[:260] + lost + body[260:] + gone), ("d", None, None, "short"), ("e", body, body, body)], "key string, old string, raw string, new string")
+    got = sorted((r.key, r.op, r.at, r.new_text, r.verdict) for r in audit.chapter_regions(df).collect())
+    assert got == [("c", "insert", 260, lost, "absent"), ("c", "insert", 550, gone, "absent")]
+    moved = spark.createDataFrame([("c", body, body + lost * 10, body[:260] + lost * 10 + body[260:])], "key string, old string, raw string, new string")
+    assert [(r.op, r.verdict) for r in audit.chapter_regions(moved).collect()] == [("insert", "dropped_in_cleaning")]
+
+
+def test_source_counts(spark, sf_dir):
+    from glossoloom.plans import corpus
+    from glossoloom.session import read_table
+
+    rows = corpus.source_counts(spark, sf_dir).collect()
+    assert sum(r.segments for r in rows) == read_table(spark, sf_dir, "segments").select("id").distinct().filter("id IS NOT NULL").count()
+    spans = "array(struct(array(struct('1' AS text, 6D AS size, 0 AS flags), struct('a note' AS text, 8D AS size, 0 AS flags)) AS spans), struct(array(struct('body' AS text, 12D AS size, 0 AS flags)) AS spans))"
+    df = spark.sql(f"SELECT {spans} AS lines UNION ALL SELECT NULL")
+    assert sorted(r[0] for r in df.select(clean.marker_count(9.0)).collect()) == [0, 1]
+
+
 def test_small_functions(spark):
     r = spark.sql("SELECT array(array(3D, 1D), array(2D, 5D)) AS p, array(30, 60, 600) AS l, '=x' AS e").select(C.bbox_of("p"), C.extra_penalty("l"), C.excel_safe("e"), C.length_prior(F.lit(345), F.lit(100), 3.45, 1.1, 0.05), C.length_prior(F.lit(0), F.lit(1), 1.0, 0.0, 1.0)).collect()[0]
     assert list(r) == [[2.0, 1.0, 3.0, 5.0], 2.0, " =x", 0.0, 0.0]
