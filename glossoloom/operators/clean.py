@@ -143,18 +143,43 @@ def wordlist(texts: DataFrame, text: str = "text", minimum: int = 2) -> DataFram
     return kept.select(F.explode(F.array("word", F.lower("word"))).alias("word")).distinct()
 
 
-def split_stuck_words(df: DataFrame, known: set[str], text: str = "text", out: str = "split") -> DataFrame:
-    """Separate words that scanning stuck together, token by token; ``known`` is a bounded word list.
+def split_stuck_words(df: DataFrame, known: DataFrame, text: str = "text", out: str = "split") -> DataFrame:
+    """Separate words that scanning stuck together, token by token; ``known`` holds the known words (word), of any number.
 
     A token is cut where both parts are plausible: a known word, or a capitalized word of three letters or more.
     Function words at its ends are tried first, longest first, then a capital inside, then the most balanced cut.
+    The parts of each distinct token are looked up by a join; a token is decided by those of them that are known.
     """
-    words = df.sparkSession.sparkContext.broadcast(frozenset(known))
+
+    @F.pandas_udf("array<string>")
+    def tokens(texts: pd.Series) -> pd.Series:
+        from ..functions.stuck import tokens_of
+
+        return pd.Series([sorted(tokens_of(t)) if t else [] for t in texts], dtype=object)
+
+    def parts(batches):
+        from ..functions.stuck import parts_of
+
+        for pdf in batches:
+            for i in range(0, len(pdf), 500):
+                yield pd.DataFrame([(t, p) for t in pdf.token[i : i + 500] for p in parts_of(t)], columns=["token", "word"])
 
     @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        from ..functions.stuck import split_text
+    def separate(names: pd.Series, words: pd.Series) -> pd.Series:
+        from ..functions.stuck import split_token
 
-        return texts.map(lambda t: None if t is None else split_text(t, words.value))
+        return pd.Series([" ".join(split_token(t, frozenset(() if w is None else w))) for t, w in zip(names, words)], dtype=object)
 
-    return df.withColumn(out, run(F.col(text)))
+    @F.pandas_udf("string")
+    def replaced(texts: pd.Series, changes: pd.Series) -> pd.Series:
+        from ..functions.stuck import replace_tokens
+
+        known_changes = [{} if c is None else {x["token"]: x["parts"] for x in c} for c in changes]
+        return pd.Series([t if not c else replace_tokens(t, lambda w, c=c: c.get(w, w)) for t, c in zip(texts, known_changes)], dtype=object)
+
+    named = df.select(F.col(text).alias("_text")).distinct().select("_text", F.explode(tokens("_text")).alias("token"))
+    distinct = named.select("token").distinct()
+    found = distinct.mapInPandas(parts, "token string, word string").join(known.select("word").distinct(), "word").groupBy("token").agg(F.collect_set("word").alias("words"))
+    cut = distinct.join(found, "token", "left").select("token", separate("token", "words").alias("parts")).filter("parts <> token")
+    changes = named.join(cut, "token").groupBy("_text").agg(F.collect_list(F.struct("token", "parts")).alias("_changes"))
+    return df.join(changes, F.col(text) == F.col("_text"), "left").withColumn(out, replaced(F.col(text), "_changes")).drop("_text", "_changes")

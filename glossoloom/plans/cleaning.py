@@ -69,11 +69,7 @@ def wordlist(spark, d):
 def stuck_words(spark, d):
     """FN-09..11, JOIN-29, SRT-08: words stuck together, separated by the words of the corpus."""
     texts = read_table(spark, d, "paragraphs").filter("lang = 'de'").select("paragraph_id", "text").distinct()
-    counts = texts.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-zÄÖÜäöüß]+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("t"))
-    # a share of all words bounds the list
-    known = {r.word for r in counts.join(F.broadcast(total), F.col("n") * 32768 > F.col("t")).filter("n > 1").select("word").collect()}
-    return clean.split_stuck_words(texts, known).filter("split <> text").select("paragraph_id", "split")
+    return clean.split_stuck_words(texts, clean.wordlist(texts)).filter("split <> text").select("paragraph_id", "split")
 
 
 def text_layer(spark, d):

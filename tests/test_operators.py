@@ -162,6 +162,24 @@ def test_differences(spark):
     assert [(r.key, r.op, len(r.old_text)) for r in audit.chapter_differences(df).collect()] == [("c", "delete", 30)]
 
 
+def test_stuck_words_with_every_word_that_occurs_twice(spark, tmp_path):
+    from glossoloom.plans import cleaning
+
+    # 120 000 words: a share of them would drop the rare names
+    fill = [("f", "und " * 60_000), ("g", "und " * 60_000)]
+    rows = [*fill, ("a", "sie sah plaunstein und trellweg,"), ("b", "in plaunstein am trellweg"), ("c", "bei plaunsteintrellweg! Ende"), ("d", None), ("e", "")]
+    spark.createDataFrame([("de", *r) for r in rows], "lang string, paragraph_id string, text string").write.parquet(f"{tmp_path}/paragraphs.parquet")
+    assert [tuple(r) for r in cleaning.stuck_words(spark, str(tmp_path)).collect()] == [("c", "bei plaunstein trellweg! Ende")]
+
+
+def test_stuck_words_by_join_are_those_of_the_whole_list(spark):
+    texts = ["„beimersten“ Apfelbaum, Endeder", "Einhaus imgarten", "der Apfelbaum steht imHaus", "", None]
+    known = ["apfel", "baum", "haus", "ersten", "Ende", "garten"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.text: r.split for r in clean.split_stuck_words(df, spark.createDataFrame([(w,) for w in known], "word string")).collect()}
+    assert got == {t: None if t is None else stuck.split_text(t, frozenset(known)) for t in texts}
+
+
 def test_regions(spark):
     body, lost, gone = "abcdefghijklmnopqrstuvwxyz" * 20, "0123456789" * 3, "ÄÖÜäöüß€§$" * 3
     df = spark.createDataFrame([("c", body, lost + body, body[:260] + lost + body[260:] + gone), ("d", None, None, "short"), ("e", body, body, body)], "key string, old string, raw string, new string")
