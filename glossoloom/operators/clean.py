@@ -89,6 +89,33 @@ def classify_blocks(blocks: DataFrame, headers: list[str] = (), min_confidence:
     return ready.withColumn("reason", block_reason(list(headers), min_confidence, footnote_markers))
 
 
+def title_letters(c) -> Column:
+    """Letters of a line without case, blanks, numbers and marks: equal for a title, its capitals and its letter-spaced form."""
+    return F.lower(F.regexp_replace(C.col(c), r"[^\p{L}]", ""))
+
+
+def running_titles(blocks: DataFrame, pages: int = 2) -> DataFrame:
+    """(book, lang, title): title_letters of single lines that stand on ``pages`` pages or more of a book.
+
+    A title begins with a capital or a Han letter, has three letters or more, at most 110 characters and no sentence
+    mark, and no digit but a number beside it.
+    """
+    line = C.strip("text")
+    bare = F.regexp_replace(line, r"^\d{1,4}\s{2,}|\s{2,}\d{1,4}$", "")
+    plain = ~line.contains("\n") & (F.length(line) <= 110) & bare.rlike(r"^[\p{Lu}\p{IsHan}]") & ~bare.rlike(r"[.!?,;:…。！？，；：、“”„»«「」()（）\d-]")
+    rows = blocks.filter(plain).select("book", "lang", "chapter", "page", title_letters("text").alias("title")).filter(F.length("title") >= 3)
+    return rows.groupBy("book", "lang", "title").agg(F.count_distinct("chapter", "page").alias("n")).filter(F.col("n") >= pages).drop("n")
+
+
+def mark_titles(classified: DataFrame, titles: DataFrame) -> DataFrame:
+    """Kept single-line blocks that are a running title of their book get the reason ``header``; see :func:`running_titles`."""
+    known = titles.select(*[F.col(c).alias(f"_{c}") for c in ("book", "lang", "title")])
+    same = F.col("book").eqNullSafe(F.col("_book")) & F.col("lang").eqNullSafe(F.col("_lang")) & (title_letters("text") == F.col("_title"))
+    rows = classified.join(known, same, "left")
+    hit = F.col("_title").isNotNull() & ~C.strip("text").contains("\n")
+    return rows.withColumn("reason", F.when(F.col("reason").isNull() & hit, "header").otherwise(F.col("reason"))).drop("_book", "_lang", "_title")
+
+
 def chapter_titles(classified: DataFrame) -> DataFrame:
     """First header of each chapter in reading order."""
     return classified.filter("reason = 'header'").groupBy(*CHAPTER).agg(F.min_by("norm", F.struct("page", "block_idx")).alias("chapter_title"))

@@ -33,6 +33,17 @@ def block_reasons(spark, d):
     return rows.groupBy("book", "lang", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _classified(spark, d):
+    blocks = _blocks(spark, d)
+    return clean.mark_titles(clean.classify_blocks(blocks), clean.running_titles(blocks))
+
+
+def block_reasons_learned(spark, d):
+    """FLT-05 and the others of block_reasons, with the running titles of each book learned from its pages."""
+    rows = _classified(spark, d)
+    return rows.groupBy("book", "lang", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def bbox_outliers(spark, d):
     """FLT-09, FLT-10, JOIN-28: recognised blocks far right of their page."""
     return clean.mark_outliers(_blocks(spark, d)).filter("outlier").select("block_id")
@@ -49,6 +60,12 @@ def paragraph_assembly(spark, d):
     return rows.select("book", "lang", "chapter", "paragraph", "text", "page", "source_pages")
 
 
+def paragraph_assembly_learned(spark, d):
+    """PRC-01 as in paragraph_assembly, with the running titles of each book learned from its pages."""
+    rows = clean.assemble_paragraphs(_classified(spark, d).filter("reason IS NULL"), OPENING)
+    return rows.select("book", "lang", "chapter", "paragraph", "text", "page", "source_pages")
+
+
 def span_notes(spark, d):
     """PRC-02, FLT-11, FLT-12, FN-03: notes and markers by font size."""
     rows = clean.span_notes(_blocks(spark, d), *NOTE_SIZES)
@@ -183,7 +200,7 @@ def page_runs(spark, d):
 
 
 NAMES = """normalize_block block_reasons bbox_outliers indent_thresholds paragraph_assembly span_notes confidence_summary wordlist stuck_words text_layer sentence_split zh_split
-contracted_plain uncontracted_plain conllu_blocks block_ordinals provenance_counts pp_state_machine ud_phrases mwt_collapse char_offsets id_parts page_runs""".split()
+contracted_plain uncontracted_plain conllu_blocks block_ordinals provenance_counts pp_state_machine ud_phrases mwt_collapse char_offsets id_parts page_runs block_reasons_learned paragraph_assembly_learned""".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 _B = "(SELECT DISTINCT ON (block_id) * FROM ocr_blocks)"

@@ -180,6 +180,20 @@ def test_stuck_words_by_join_are_those_of_the_whole_list(spark):
     assert got == {t: None if t is None else stuck.split_text(t, frozenset(known)) for t in texts}
 
 
+def test_running_titles_of_any_book(spark, tmp_path):
+    from glossoloom.plans import cleaning
+
+    head = {1: "Der kalte Ofen", 2: "DER KALTE OFEN  2", 3: "D E R  K A L T E  O F E N", 4: "4  Der kalte Ofen"}
+    rows = [("aa", "de", 1, f"b{p}", p, 0, t) for p, t in head.items()] + [("aa", "de", 1, f"c{p}", p, 1, t) for p, t in enumerate(["Er ging.", "Er kam.", "Er ging.", "Ein Satz ohne Titel"], 1)]
+    rows += [("bb", "de", 1, "d1", 1, 0, "Der kalte Ofen"), ("aa", "de", 1, "e1", 5, 0, "Der kalte Ofen\nwar aus."), ("aa", "zh", 1, "f1", 1, 0, "冷炉子"), ("aa", "zh", 1, "f2", 2, 0, "冷炉子"), ("aa", "de", 1, "g1", 5, 1, None)]
+    df = spark.createDataFrame(rows, "book string, lang string, chapter int, block_id string, page int, block_idx int, text string")
+    df.selectExpr("*", "cast(NULL AS array<double>) AS bbox", "1D AS confidence", "'pymupdf' AS engine").write.parquet(f"{tmp_path}/ocr_blocks.parquet")
+    got = {(r.book, r.lang, r.reason): r.n for r in cleaning.block_reasons_learned(spark, str(tmp_path)).collect()}
+    assert got == {("aa", "de", "header"): 4, ("aa", "de", "kept"): 5, ("aa", "de", "empty"): 1, ("bb", "de", "kept"): 1, ("aa", "zh", "header"): 2}
+    whole = " ".join(r.text for r in cleaning.paragraph_assembly_learned(spark, str(tmp_path)).filter("book = 'aa'").collect())
+    assert "KALTE" not in whole and "Der kalte Ofen war aus." in whole
+
+
 def test_regions(spark):
     body, lost, gone = "abcdefghijklmnopqrstuvwxyz" * 20, "0123456789" * 3, "ÄÖÜäöüß€§$" * 3
     df = spark.createDataFrame([("c", body, lost + body, body[:260] + lost + body[260:] + gone), ("d", None, None, "short"), ("e", body, body, body)], "key string, old string, raw string, new string")
