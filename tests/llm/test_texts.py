@@ -36,6 +36,23 @@ def test_pairs(spark):
     assert L.equal_looking_pairs(df.limit(0), ["rec_table"]).count() == 0
 
 
+def test_malformed_ids(spark):
+    segments = spark.createDataFrame([("bad-id", "Κrug"), ("xx_de_chX_p0001_s001", "Krug"), ("a_de_ch99999999999_p1_s1", "Krug"), (None, "Krug"), ("a_de_ch01_p0001_s001", "Krug"), ("a_de_ch01_p0001_s002", "Κrug")], "id string, text string")
+    blocks = spark.createDataFrame([], "book string, lang string, chapter int, block_id string, text string")
+    got = L.equal_looking_pairs(L.corpus_records(segments, blocks), ["rec_table", "book", "lang", "chapter"]).collect()
+    assert {(r.id_a, r.id_b) for r in got} == {("bad-id", "xx_de_chX_p0001_s001"), ("a_de_ch01_p0001_s001", "a_de_ch01_p0001_s002")}
+
+
+def test_mapping_is_checked_and_read_longest_first():
+    table = {}
+    L.add_entry(table, "а", "a")
+    with pytest.raises(L.MappingConflict):
+        L.add_entry(table, "а", "o")
+    read = L.Transducer({"a": "1", "ab": "2", "abcd": "3"}).read
+    assert read("abcab") == [("ab", "2"), ("c", "c"), ("ab", "2")] and read("abcd") == [("abcd", "3")] and read("") == []
+    assert L.same_look("а\u0308") == "ä" and L.same_look("\U0001d670ＢС") == "ABC" and L.same_look("ѐ\u0323") == unicodedata.normalize("NFC", "è\u0323")
+
+
 def test_sample_keeps_its_members(spark):
     df = spark.range(3000).selectExpr("concat('dp', id) AS datapoint_id", "CASE WHEN id % 3 = 0 THEN 'contracted' WHEN id % 3 = 1 THEN 'uncontracted' END AS form", "id AS loaded_at", "'x' AS stratum")
     small = df.filter("loaded_at < 1500")
