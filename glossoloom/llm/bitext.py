@@ -23,11 +23,12 @@ from .looks import form_of
 
 #: Words associate from this Dice coefficient on.
 MIN_DICE = 0.12
-#: Cells of a chain share more than NOISE of their weight, and no rival in their row or column shares RIVAL more.
-NOISE, RIVAL = 0.2, 0.15
-#: What a chain must be worth: the sum of what its cells share above NOISE, less what it bends. Inversions have no corner to
-#: start from, so their cells must also share ALONE of both sentences and CONTAINED of the shorter one.
-WORTH, ALONE, CONTAINED = 0.25, 0.35, 0.5
+#: Cells of a chain share more than NOISE of the mean weight of both sentences and CONTAINED of the lighter one. By as much as a
+#: rival in their row or column shares more, they count RIVAL of it less, as the rival may be a copy.
+NOISE, CONTAINED, RIVAL = 0.2, 0.4, 0.5
+#: What a chain must be worth: the sum of what its cells count above NOISE, less what it bends. Inversions have no corner to
+#: start from, so each of their cells must share ALONE, and SURE of the lighter sentence.
+WORTH, ALONE, SURE = 0.25, 0.35, 0.5
 #: A link between two cells may leave the slope by SLACK sentences and this part of its length; a chain by DISPERSAL sentences
 #: (root mean square), or that part of the rectangle.
 SLACK, ANGLE, DISPERSAL = 2.0, 0.35, 1.5
@@ -169,22 +170,23 @@ class Plane:
 Cell = tuple[int, int]
 
 
-def cells_of(plane: Plane) -> dict[Cell, tuple[float, float]]:
-    """Cells that are not noise: (share of the mean weight of both sentences, share of the lighter one)."""
+def cells_of(plane: Plane) -> dict[Cell, tuple[float, float, float]]:
+    """Cells that are not noise: (what they count, share of the lighter sentence, share of the mean weight of both)."""
     mean, least = np.add.outer(plane.total_s, plane.total_t) / 2, np.minimum.outer(plane.total_s, plane.total_t)
     out = {}
     for s, t in np.argwhere(plane.bounds() > NOISE * mean).tolist():
         weight = plane.match(s, t)[0]
-        if weight > NOISE * mean[s, t]:
+        if weight > NOISE * mean[s, t] and weight >= CONTAINED * least[s, t]:
             out[s, t] = float(weight / mean[s, t]), float(weight / least[s, t])
-    row, col = {}, {}
+    row: dict[int, float] = {}
+    col: dict[int, float] = {}
     for (s, t), (share, _) in out.items():
-        row.setdefault(s, []).append(share)
-        col.setdefault(t, []).append(share)
-    return {c: v for c, v in out.items() if max(*row[c[0]], *col[c[1]]) < v[0] + RIVAL}
+        row[s], col[t] = max(share, row.get(s, 0)), max(share, col.get(t, 0))
+    counted = {c: (share - NOISE - RIVAL * (max(row[c[0]], col[c[1]]) - share), lighter, share) for c, (share, lighter) in out.items()}
+    return {c: v for c, v in counted.items() if v[0] > 0}
 
 
-def best_chain(plane: Plane, cells: dict[Cell, tuple[float, float]], corner: tuple[float, float] | None) -> tuple[float, list[Cell]]:
+def best_chain(plane: Plane, cells: dict[Cell, tuple[float, float, float]], corner: tuple[float, float] | None) -> tuple[float, list[Cell]]:
     """The chain of greatest worth of the given cells: ascending in both texts, each link along the slope, little dispersal.
 
     With a corner, the first cell is linked to it. Cells that disperse the chain are taken out, the worst first.
@@ -202,7 +204,7 @@ def best_chain(plane: Plane, cells: dict[Cell, tuple[float, float]], corner: tup
                 b = plane.bend(x - plane.xs[p[0]], y - plane.ys[p[1]])
                 if b <= 1 and worth[m] - 0.1 * b > best:
                     best, link = worth[m] - 0.1 * b, m
-        worth.append(best + cells[c][0] - NOISE)
+        worth.append(best + cells[c][0])
         before.append(link)
     if not order or max(worth) == -np.inf:
         return 0.0, []
@@ -218,7 +220,7 @@ def best_chain(plane: Plane, cells: dict[Cell, tuple[float, float]], corner: tup
         reach = max(DISPERSAL * plane.unit, ANGLE / 2 * (plane.xs[chain[-1][0]] - plane.xs[chain[0][0]]))
         if float(np.sqrt(np.mean(off**2))) <= reach:
             break
-        value -= cells[chain.pop(int(np.argmax(off)))][0] - NOISE
+        value -= cells[chain.pop(int(np.argmax(off)))][0]
     return value, chain
 
 
@@ -245,7 +247,7 @@ def chains(plane: Plane) -> tuple[list[Cell], list[Cell], dict[Cell, float]]:
         x0, y0 = plane.xs[s0], plane.ys[t0]
         ahead = {c: v for c, v in ahead.items() if c[0] > s0 and c[1] > t0}
     rows, cols = {s for s, _ in main}, {t for _, t in main}
-    left = {c: v for c, v in cells.items() if c[0] not in rows and c[1] not in cols and v[0] >= ALONE and v[1] >= CONTAINED}
+    left = {c: v for c, v in cells.items() if c[0] not in rows and c[1] not in cols and v[2] >= ALONE and v[1] >= SURE}
     moved: list[Cell] = []
     while left:
         value, chain = best_chain(plane, left, None)
@@ -254,7 +256,7 @@ def chains(plane: Plane) -> tuple[list[Cell], list[Cell], dict[Cell, float]]:
         moved += chain
         rows, cols = {s for s, _ in chain}, {t for _, t in chain}
         left = {c: v for c, v in left.items() if c[0] not in rows and c[1] not in cols}
-    return main, moved, {c: v[0] for c, v in cells.items()}
+    return main, moved, {c: v[2] for c, v in cells.items()}
 
 
 def grow_blocks(plane: Plane, main: list[Cell], taken: list[Cell]) -> list[tuple[int, int, float]]:

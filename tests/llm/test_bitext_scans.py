@@ -65,6 +65,24 @@ def test_nothing_to_align(spark, corpus):
     assert B.open_chapters(s, a).collect()[0].chapter == 8
 
 
+def test_chains_decide_between_equal_sentences():
+    said = [["turm", f"wort{i}", f"haus{i}", "krug"] if i % 4 else ["merlo", "fand", "den", "ring"] for i in range(16)]
+    heard = [said[1], *said[3:]]  # the first refrain and one sentence are left out
+    got = B.align_chapter(said, heard, B.Lexicon())
+    assert [(s, t) for s, t, *_ in got] == [(1, 0), *[(i, i - 2) for i in range(3, 16)]] and {k for *_, k in got} == {"main"}
+    moved = [*said[:3], *said[9:12], *said[3:9], *said[12:]]
+    kinds = {(s, t): k for s, t, _, k in B.align_chapter(said, moved, B.Lexicon())}
+    assert {c for c, k in kinds.items() if k == "inversion"} == {(9, 3), (10, 4), (11, 5)} and len(kinds) == 16
+
+
+def test_cells_off_the_slope_are_noise():
+    plane = B.Plane([[f"wort{i}", f"haus{i}"] for i in range(10)], [[f"wort{i}", f"haus{i}"] for i in range(10)], B.Lexicon())
+    cells = {(i, i): (0.5, 1.0, 0.7) for i in range(10)} | {(1, 8): (0.7, 1.0, 0.9)}
+    assert B.best_chain(plane, cells, (0.0, 0.0))[1] == [(i, i) for i in range(10)]
+    assert B.best_chain(plane, {(1, 8): (0.7, 1.0, 0.9)}, (0.0, 0.0))[1] == []
+    assert B.align_chapter([[], ["a"]], [[]], B.Lexicon()) == [] and B.align_chapter([], [["a"]], B.Lexicon()) == []
+
+
 def page(book, p, blocks):
     return [("block", book, "de", 1, f"{book}_pg{p:04d}_b{i:02d}", p, i, t, [p]) for i, t in enumerate(blocks)]
 
