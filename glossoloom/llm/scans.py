@@ -8,27 +8,36 @@ Furniture is then removed, broken words are joined, and blocks are reflowed to p
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from functools import cache, reduce
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, spread
 from .looks import INVISIBLE, same_look
 
-#: A word is frequent when it makes up more than 1 / MAX_WORDS of its language's words: fewer than MAX_WORDS words.
+#: A word has a vector of its own when it makes up more than 1 / MAX_WORDS of its language's words: fewer than MAX_WORDS words.
 MAX_WORDS = 1 << 15
-#: A linked word is misread when it is at most this part as frequent as the word it is linked with.
+#: A linked word can be misread when it is at most this part as frequent as the word it is linked with.
 RARITY = 0.1
-#: A correction needs this much: the cosine of its context with the linked word, plus PRIOR for each power of ten by
-#: which the word is rarer than the linked word. The rarer a form, the less its context has to say.
-CONTEXT, PRIOR = 0.0, 0.35
-#: Size and window of the skip-gram vectors.
-DIMENSIONS, WINDOW = 24, 3
+#: A correction needs CERTAIN: the score of the edit, PRIOR for each power of ten by which the word is rarer than the linked
+#: word, less STRANGE times the logarithm of how far the word's contexts are from those of the linked word, in units of what
+#: chance explains. Of several words the context at hand decides with weight HERE.
+CERTAIN, PRIOR, STRANGE, HERE = 1.0, 0.35, 0.5, 0.05
+#: Links of an edit that are taken for granted: as misreadings, and as words that are merely alike.
+GRANTED = (0.5, 1.5)
+#: Size and window of the skip-gram vectors, and the words that one partition trains on.
+DIMENSIONS, WINDOW, TRAINED = 16, 3, 250_000
+#: Bits of the filter of linked words.
+BITS = 1 << 22
 #: A line or phrase on so many pages of a book is a running title.
 TITLE_PAGES = 2
 #: Largest distance of printed and physical page number.
@@ -386,80 +395,177 @@ def word_counts(texts: DataFrame, words: str = "words") -> DataFrame:
     return texts.select("lang", F.explode(words).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def frequent_words(counts: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
-    """Words above a share of their language: at most ``max_words`` per language."""
-    total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(total), "lang").filter(F.col("n") * max_words > F.col("total")).drop("total")
+#: The letters of a word without one or two neighbouring ones, and those.
+_WINDOWS = "flatten(transform(array(1, 2), k -> transform(sequence(1, greatest(length(word) - k + 1, 1)), i -> named_struct('key', concat(left(word, i - 1), '\\u0001', substr(word, i + k)), 'part', substr(word, i, k)))))"
+
+
+def word_pairs(counts: DataFrame) -> DataFrame:
+    """(lang, word, n, known, m, seen, meant, rare): words of three letters or more that differ in one place, by one or two
+    letters for one or two others: ``seen`` in the word, ``meant`` in the known one.
+
+    A known word occurs 1 / RARITY times or more. ``rare`` tells the words that occur at most RARITY as often as the
+    known one from those that are as common. Words meet by the letters they share, at least two: a key holds fewer
+    words than there are pairs of letters, whatever the size of the corpus. Runs of scripts without upper and lower
+    case are no words here, and a difference of case is none.
+    """
+    cased = counts.filter((F.length("word") > 2) & (F.upper("word") != F.lower("word")))
+    spread_out = cased.withColumn("x", F.explode(F.filter(F.expr(_WINDOWS), lambda x: F.length(x["key"]) > 2))).select("lang", "word", "n", F.col("x.key").alias("key"), F.col("x.part").alias("seen"))
+    known = spread_out.filter(F.col("n") * RARITY >= 1).select("lang", "key", F.col("word").alias("known"), F.col("n").alias("m"), F.col("seen").alias("meant"))
+    differ = lambda f: f("seen") != f("meant")
+    rare, common = F.col("n") <= RARITY * F.col("m"), (F.col("n") * RARITY >= 1) & (F.col("m") > RARITY * F.col("n"))
+    return spread_out.join(known, ["lang", "key"]).filter(differ(lambda c: F.left(F.col(c), F.lit(1))) & differ(lambda c: F.right(F.col(c), F.lit(1))) & differ(lambda c: F.lower(c)) & (rare | common)).select("lang", "word", "n", "known", "m", "seen", "meant", rare.alias("rare"))
 
 
 def link_words(counts: DataFrame) -> DataFrame:
-    """(lang, word, candidates array<struct<word, prior>>) for words that are rare against a word of the same fold or with two letters swapped.
+    """(lang, word, known, score): words linked to known ones ten times as frequent, by edits that are glyph confusions.
 
-    A word can only be rare against one that occurs 1 / RARITY times or more; words meet by equal keys, so no size of
-    the corpus takes a word out and no word list is held in memory.
+    Which edits those are is learned: a confusion turns many words into rare ones, while words that are merely alike
+    are as often alike when both are common. The score is the logarithm of the links of an edit of the one kind
+    against the other, less what there are more of the one in all, plus PRIOR for each power of ten by which the word
+    is rarer. Links of any score come out; the contexts decide.
     """
+    pairs = materialize(word_pairs(counts), "p5-pairs")
+    links, alike = F.count(F.when(F.col("rare"), F.lit(1))), F.count(F.when(~F.col("rare"), F.lit(1)))
+    edits = materialize(pairs.groupBy("seen", "meant").agg(links.alias("r"), alike.alias("c")), "p5-edits")
+    total = edits.agg(F.sum("r").alias("r"), F.sum("c").alias("c")).first()
+    more = max(0.0, math.log(((total.r or 0) + 1) / ((total.c or 0) + 1)))
+    edits = edits.filter("r > 0").select("seen", "meant", (F.log((F.col("r") + GRANTED[0]) / (F.col("c") + GRANTED[1])) - more).alias("edit"))
+    linked = pairs.filter("rare").join(edits, ["seen", "meant"])
+    return linked.groupBy("lang", "word", "known").agg(F.max(F.col("edit") + PRIOR * F.log10(F.col("m") / F.col("n"))).alias("score"))
+
+
+class Vectors:
+    """Unit skip-gram vectors of the words of a bounded vocabulary, and of the classes of all other words."""
 
-    def keys_of(last):
-        @F.pandas_udf("array<string>")
-        def run(words: pd.Series) -> pd.Series:
-            return pd.Series([sorted({*folds(w), *("=" + v for v in last(w))}) for w in words], dtype=object)
+    def __init__(self, keys: list[str], matrix: np.ndarray):
+        self.keys = pa.array(keys, pa.string())
+        # what all words share tells nothing; the last row stands for what was never seen in training
+        m = matrix - matrix.mean(axis=0) if len(matrix) else matrix
+        self.matrix = np.vstack([m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9), np.zeros((1, DIMENSIONS))])
 
-        return run
+    def rows(self, keys: pa.Array) -> np.ndarray:
+        return pc.fill_null(pc.index_in(keys, value_set=self.keys), len(self.keys)).to_numpy(zero_copy_only=False)
 
-    swapped = keys_of(lambda w: [w[:i] + w[i + 1] + w[i] + w[i + 2 :] for i in range(len(w) - 1) if w[i] != w[i + 1]])
-    itself = keys_of(lambda w: [w])
-    dots = F.length(F.regexp_replace("word", "[^äöüÄÖÜ]", ""))  # scanning loses dots but adds none
-    rare = counts.filter(F.length("word") > 2).select("lang", "word", "n", dots.alias("dots"), F.explode(swapped("word")).alias("key"))
-    known = counts.filter(F.col("n") * RARITY >= 1).select("lang", F.explode(itself("word")).alias("key"), F.col("word").alias("known"), F.col("n").alias("m"), dots.alias("known_dots"))
-    fit = rare.join(known, ["lang", "key"]).filter((F.col("word") != F.col("known")) & (F.col("n") <= RARITY * F.col("m")) & (F.col("dots") <= F.col("known_dots")))
-    best = F.array_sort(F.collect_set(F.struct((-F.col("m")).alias("m"), F.col("known").alias("word"), (PRIOR * F.log10(F.col("m") / F.col("n"))).alias("prior"))))
-    return fit.groupBy("lang", "word").agg(F.transform(best, lambda c: F.struct(c["word"].alias("word"), c["prior"].alias("prior"))).alias("candidates"))
 
+def _tagged(langs: pa.Array, words: pa.ListArray, vocabulary: pa.Array) -> pa.Array:
+    """Every word of a batch with its language, words outside the vocabulary as their class: number, capital or small."""
+    of = pc.take(langs, pc.list_parent_indices(words))
+    flat = words.flatten()
+    key = pc.binary_join_element_wise(of, flat, ":")
+    first = pc.utf8_slice_codeunits(flat, 0, 1)
+    kind = pc.if_else(pc.match_substring_regex(flat, r"\p{Nd}"), "#", pc.if_else(pc.not_equal(first, pc.utf8_lower(first)), "A", "a"))
+    return pc.if_else(pc.is_valid(pc.index_in(key, value_set=vocabulary)), key, pc.binary_join_element_wise(of, kind, "::"))
 
-def learn_vectors(texts: DataFrame, minimum: int) -> dict[str, np.ndarray]:
-    """Unit skip-gram vectors of the words seen ``minimum`` times ('lang:word'), trained on the words of all texts, without what all words share."""
+
+def learn_vectors(texts: DataFrame, counts: DataFrame, max_words: int = MAX_WORDS, part: int = TRAINED) -> Vectors:
+    """Skip-gram vectors trained on the words of all texts, in one partition for each ``part`` words.
+
+    The model has a bound: words that make up more than 1 / ``max_words`` of their language have a vector of their own,
+    so at most that many a language; every other word takes part, as one of its class.
+    """
     from pyspark.ml.feature import Word2Vec
 
-    tagged = texts.select(F.transform("words", lambda w: F.concat_ws(":", "lang", w)).alias("words"))
-    model = Word2Vec(vectorSize=DIMENSIONS, windowSize=WINDOW, minCount=max(minimum, 2), maxIter=1, seed=7, numPartitions=4, inputCol="words", outputCol="v").fit(tagged)
-    rows = model.getVectors().collect()
-    m = np.array([r.vector.toArray() for r in rows], np.float32)
-    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
-    m -= m.mean(axis=0)
-    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
-    return {r.word: v for r, v in zip(rows, m)}
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    frequent = counts.join(F.broadcast(totals), "lang").filter(F.col("n") * max_words > F.col("total"))
+    rows = frequent.select(F.concat_ws(":", "lang", "word").alias("key")).collect()
+    shared = texts.sparkSession.sparkContext.broadcast(sorted(r.key for r in rows))
+    size = totals.agg(F.sum("total").alias("n")).first().n or 0
+
+    def run(batches):
+        vocabulary = pa.array(shared.value, pa.string())
+        for b in batches:
+            words = b.column(1)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(list_bounds(words).astype(np.int32)), _tagged(b.column(0), words, vocabulary))], ["words"])
+
+    tagged = texts.select("lang", "words").mapInArrow(run, "words array<string>")
+    model = Word2Vec(vectorSize=DIMENSIONS, windowSize=WINDOW, minCount=1, maxIter=1, seed=7, numPartitions=max(1, round(size / part)), inputCol="words", outputCol="v").fit(tagged)
+    found = sorted(model.getVectors().collect(), key=lambda r: r.word)
+    return Vectors([r.word for r in found], np.array([r.vector.toArray() for r in found]).reshape(-1, DIMENSIONS))
+
+
+def list_bounds(lists: pa.ListArray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+
+
+def word_contexts(texts: DataFrame, vectors: Vectors, wanted: np.ndarray) -> DataFrame:
+    """Contexts, the mean vectors of the words around: summed up by word (``at`` null), and of every occurrence of a word
+    whose bit in ``wanted`` is set: (rec_table, rec_id, page, ord, at, lang, word, n, context)."""
+    shared = texts.sparkSession.sparkContext.broadcast((vectors, wanted))
+    keep = ["rec_table", "rec_id", "page", "ord"]
+
+    def run(batches):
+        vectors, bits = shared.value
+        for b in batches:
+            words, langs = b.column(5), b.column(4)
+            bounds = list_bounds(words)
+            n = np.diff(bounds)
+            own = vectors.matrix[vectors.rows(_tagged(langs, words, vectors.keys))]
+            sums = np.vstack([np.zeros((1, DIMENSIONS)), np.cumsum(own, axis=0)])
+            i = np.arange(bounds[-1])
+            context = sums[np.minimum(i + WINDOW + 1, np.repeat(bounds[1:], n))] - sums[np.maximum(i - WINDOW, np.repeat(bounds[:-1], n))] - own
+            context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
+            text = pc.list_parent_indices(words)
+            key = pc.dictionary_encode(pc.binary_join_element_wise(pc.take(langs, text), words.flatten(), ":"))
+            code = key.indices.to_numpy(zero_copy_only=False)
+            names = key.dictionary.to_pylist()
+            summed = np.zeros((len(names), DIMENSIONS))
+            np.add.at(summed, code, context)
+            hit = np.array([bits[bit_of(k)] for k in names], bool)[code] if names else np.zeros(0, bool)
+            at = pa.array(np.flatnonzero(hit))
+            vec = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, DIMENSIONS, dtype=np.int32)), pa.array(m.astype(np.float32).ravel()))
+            lang, word = [k.split(":", 1)[0] for k in names], [k.split(":", 1)[1] for k in names]
+            none = [pa.nulls(len(names), b.column(c).type) for c in range(4)]
+            yield pa.RecordBatch.from_arrays([*none, pa.nulls(len(names), pa.int32()), pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(np.bincount(code, minlength=len(names))), vec(summed)], out)
+            of = pc.take(text, at)
+            rows = [pc.take(b.column(c), of) for c in range(5)]
+            place = (i - np.repeat(bounds[:-1], n))[hit].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*rows[:4], pa.array(place), rows[4], pc.take(words.flatten(), at), pa.array(np.ones(len(place), np.int64)), vec(context[hit])], out)
+
+    out = [*keep, "at", "lang", "word", "n", "context"]
+    return texts.select(*keep, "lang", "words").mapInArrow(run, "rec_table string, rec_id string, page int, ord int, at int, lang string, word string, n bigint, context array<float>")
+
+
+def bit_of(key: str) -> int:
+    return crc32(key.encode()) % BITS
 
 
 def correct(scanned: DataFrame) -> DataFrame:
-    """Corrections in context: (rec_table, rec_id, page, ord, at, word, correct) for each misread word of the bodies."""
-    texts = scanned.filter(F.size("words") > 0)
-    counts = materialize(word_counts(texts).filter("lang IS NOT NULL"), "p5-words")
-    least = frequent_words(counts).agg(F.min("n")).first()[0]
-    if least is None:
-        return scanned.limit(0).select("rec_table", "rec_id", "page", "ord", F.lit(0).alias("at"), F.lit("").alias("word"), F.lit("").alias("correct"))
-    # every word that may be linked with has a vector
-    vectors = scanned.sparkSession.sparkContext.broadcast(learn_vectors(texts, max(2, min(least, round(1 / RARITY)))))
-    links = link_words(counts)
-    around = F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word"), F.slice("words", F.greatest(i + 1 - WINDOW, F.lit(1)), F.lit(2 * WINDOW + 1)).alias("context")))
-    tokens = texts.select("rec_table", "rec_id", "page", "ord", "lang", F.explode(around).alias("t")).select("rec_table", "rec_id", "page", "ord", "lang", "t.at", "t.word", "t.context")
-
-    @F.pandas_udf("string")
-    def choose(langs: pd.Series, words: pd.Series, contexts: pd.Series, candidates: pd.Series) -> pd.Series:
-        known, out = vectors.value, []
-        for lang, w, context, options in zip(langs, words, contexts, candidates):
-            near = [v for x in context if x != w and (v := known.get(f"{lang}:{x}")) is not None]
-            if not near:
-                out.append(options[0]["word"])
-                continue
-            mean = np.mean(near, axis=0)
-            mean /= max(float(np.linalg.norm(mean)), 1e-9)
-            scored = [(o["prior"] + (float(mean @ v) if (v := known.get(f"{lang}:{o['word']}")) is not None else 0.0), o["word"]) for o in options]
-            best = max(scored)
-            out.append(best[1] if best[0] >= CONTEXT else None)
-        return pd.Series(out)
-
-    linked = tokens.join(links, ["lang", "word"])
-    return linked.withColumn("correct", choose("lang", "word", "context", "candidates")).filter("correct IS NOT NULL").select("rec_table", "rec_id", "page", "ord", "at", "word", "correct")
+    """Corrections in context: (rec_table, rec_id, page, ord, at, word, correct) for each misread word of the bodies.
+
+    A misread word stands where the word that was meant stands. So the mean of its contexts must be no further from the
+    known word's mean than chance explains for so many occurrences: the more they are apart, the less the link counts.
+    Where it stands, its context must be nearer to that of the known word than to the mean of all, and decides between
+    several known words. Words without neighbours have no context to object. Records without words or language are
+    left as they are.
+    """
+    texts = scanned.filter((F.size("words") > 0) & F.col("lang").isNotNull())
+    counts = materialize(word_counts(texts), "p5-words")
+    links = materialize(link_words(counts), "p5-links")
+    # a bit for every linked word: a bounded filter that spares the other occurrences the joins below
+    set_bits = links.select((F.crc32(F.concat_ws(":", "lang", "word").cast("binary")) % BITS).cast("int").alias("b")).distinct().collect()
+    wanted = np.zeros(BITS, bool)
+    wanted[[r.b for r in set_bits]] = True
+    contexts = materialize(word_contexts(texts, learn_vectors(texts, counts), wanted), "p5-contexts")
+    sums = contexts.filter("at IS NULL")
+    total = lambda: [F.sum(F.col("context")[i]).alias(f"c{i}") for i in range(DIMENSIONS)]
+    middle = sums.agg(F.sum("n").alias("n"), *total()).first()
+    common = F.array(*[F.lit((middle[f"c{i}"] or 0.0) / max(middle.n or 0, 1)) for i in range(DIMENSIONS)])
+    linked = links.select("lang", F.explode(F.array("word", "known")).alias("word")).distinct()
+    profiles = sums.join(linked, ["lang", "word"], "left_semi").groupBy("lang", "word").agg(F.sum("n").alias("m"), *total())
+    profiles = materialize(profiles.select("lang", "word", "m", F.array(*[F.col(f"c{i}") / F.col("m") for i in range(DIMENSIONS)]).alias("profile")), "p5-profiles")
+    apart = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    norm = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)
+    both = links.join(profiles.withColumnRenamed("profile", "own"), ["lang", "word"]).join(profiles.select("lang", F.col("word").alias("known"), "profile"), ["lang", "known"])
+    # contexts are unit vectors: what their mean lacks in length is how much they scatter
+    scatter = F.greatest(1 - norm(F.col("profile")), F.lit(0.05))
+    strange = F.log(F.greatest(F.col("m") * apart(F.col("own"), F.col("profile")) / scatter, F.lit(1.0)))
+    both = both.withColumn("score", F.col("score") - STRANGE * strange).filter(F.col("score") >= CERTAIN)
+    u = F.col("context").cast("array<double>")
+    here = F.when(norm(u) > 0, (apart(u, common) - apart(u, F.col("profile"))) / scatter).otherwise(0.0)
+    judged = contexts.filter("at IS NOT NULL").drop("n").join(both, ["lang", "word"]).withColumn("here", here).filter("here >= 0")
+    place = ["rec_table", "rec_id", "page", "ord", "at", "word"]
+    best = F.max(F.struct(F.round(F.col("score") + HERE * F.col("here"), 3).alias("score"), "known"))
+    return judged.groupBy(*place).agg(best.alias("best")).select(*place, F.col("best.known").alias("correct"))
 
 
 def defects(scanned: DataFrame, corrections: DataFrame) -> DataFrame:
