@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from functools import cache, reduce
+from functools import cache, cached_property, lru_cache, reduce
 from zlib import crc32
 
 import numpy as np
@@ -20,9 +20,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize, spread
-from .looks import INVISIBLE, same_look
+from .looks import INVISIBLE, PLAIN, same_look
 
 #: A word has a vector of its own when it makes up more than 1 / MAX_WORDS of its language's words: fewer than MAX_WORDS words.
 MAX_WORDS = 1 << 15
@@ -32,25 +33,22 @@ RARITY = 0.1
 #: word, less STRANGE times the logarithm of how far the word's contexts are from those of the linked word, in units of what
 #: chance explains. Of several words the context at hand decides with weight HERE.
 CERTAIN, PRIOR, STRANGE, HERE = 1.0, 0.35, 0.5, 0.05
-#: Links of an edit that are taken for granted: as misreadings, and as words that are merely alike.
-GRANTED = (0.5, 1.5)
+#: Links that are taken for granted: of an edit as misreading, of an edit as words that are merely alike, and of all edits of a kind.
+GRANTED, FEW = (0.5, 1.5), 100
 #: Size and window of the skip-gram vectors, and the words that one partition trains on.
 DIMENSIONS, WINDOW, TRAINED = 16, 3, 250_000
 #: Bits of the filter of linked words.
 BITS = 1 << 22
-#: A line or phrase on so many pages of a book is a running title.
-TITLE_PAGES = 2
-#: Largest distance of printed and physical page number.
-MAX_OFFSET = 40
+#: A line or phrase on so many pages of a book is a running title; one that nothing else tells is taken to have so many words.
+TITLE_PAGES, TITLE_WORDS = 2, 3
+#: A word counts by numbers when it stands beside one so often and in this part of its occurrences. A capital in the midst of a
+#: sentence is foreign to it when the word is small there so often, and capital in at most this part.
+COUNTS, COUNTING, SMALL, CAPITAL = 3, 0.2, 10, 0.1
 
 #: Marks that break words at line ends.
 HYPHENS = "-‐¬\xad"
 #: Words before which a hyphen may stand for the rest of a compound.
 LINKED = {"de": ("und", "oder", "bis")}
-#: Glyphs that scanning confuses, wrong form and right form: pairs of glyphs, then single ones.
-GLYPH_PAIRS = (("ii", "ü"), ("rn", "m"), ("cl", "d"), ("li", "h"), ("in", "m"), ("vv", "w"), ("fl", "st"), ("dk", "ck"), ("U", "ll"))
-GLYPHS = (("B", "ß"), ("c", "e"), ("f", "t"), ("u", "n"), ("ü", "n"), ("b", "h"), ("0", "o"), ("a", "o"), ("ä", "o"), ("ö", "o"), ("5", "s"), ("q", "g"), ("1", "l"))
-
 _TERMINAL = ".!?…。！？:：\"”“’‘«»」』)）"
 _LETTER = r"[^\W\d_]"
 _PUNCT = re.compile(r"[.!?,;:…。！？，；：、“”„»«「」‘()（）]")
@@ -58,18 +56,16 @@ _ROMAN = r"[ivxlcdm]{1,9}"
 _CHAPTER = re.compile(r"\s*·\s*(?:[^\W\d_]{3,9}|第)\s*\d+\s*章?\s*$")
 _NUMBER_LINE = re.compile(rf"^[\s\x80-\x9f]*(?:[-–—·\[(]\s*)?(?:Seite|Page|第)?\s*(\d{{1,4}}|{_ROMAN})\s*页?(?:\s*[-–—·\])])?[\s\x80-\x9f]*$")
 _DECORATED = re.compile(r"[\x80-\x9f]\s*(\d{1,4})\s*[\x80-\x9f]|\[(\d{1,4})\]|[—–-]\s(\d{1,4})\s[—–-]|·\s*(\d{1,4})\s*·|(?<!\w)(?:Seite|Page)\s(\d{1,4})(?=\s|$)|第(\d{1,4})页")
-_BARE = re.compile(r"(?:(?<=\s)|^)(\d{1,4})(?=\s|$)")
-#: Words that make the number after or before them part of the text.
-_COUNTED = re.compile(r"(?:\b(?:mit|with|seit|ca\.|approx\.|Nr\.|No\.|S\.|p\.|Am|Um|At|at|for|wi[ft][bh]|kostete|was|paid|zahlte)|带着)\s*$")
-_COUNTING = re.compile(r"\s*(?:Jahre\w*|years|p\.\s?m|a\.\s?m|Uhr|Taler|thalers|Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)\b")
+_BARE = re.compile(r"[0-9]{1,4}")
+#: Tokens; a line break is one of its own.
+_TOKEN = re.compile(r"[^ \t\n]+|\n")
 _SPACED = re.compile(r"(?<!\w)(?:[A-ZÄÖÜ]\s+){3,}[A-ZÄÖÜ](?!\w)")
 _CAPITALS = re.compile(r"(?<!\w)[A-ZÄÖÜẞ]{2,}(?:\s+[A-ZÄÖÜẞ]{2,})+(?!\w)")
 #: A run of Han characters between blanks in the midst of Han text.
-_HAN_ISLAND = re.compile(r"(?<=[^\s.!?…。！？”」]) ([㐀-鿿]{3,20}) (?=\S)")
-_ARTICLE = re.compile(r"(?<=[a-zäöüß,;\d])\s+((?:Der|Die|Das|The)\s+[a-zäöüß]+\s+\w+)")
+_HAN_ISLAND = re.compile(r"(?<=[^\s.!?…。！？”」]) ([㐀-鿿]{3,}) (?=\S)")
 
 
-@cache
+@lru_cache(10_000)
 def roman(text: str) -> int:
     values = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
     total = 0
@@ -95,24 +91,21 @@ def readable(text: str | None) -> str:
     return re.sub(f"[{HYPHENS}]", "-", t) if re.search(f"[{HYPHENS}]", t) else t
 
 
-@cache
-def folds(word: str) -> tuple[str, ...]:
-    """Words that glyph confusions turn into each other share a fold: pairs of glyphs first, or single ones first."""
-    def run(w: str, rules) -> str:
-        for x, y in rules:
-            w = w.replace(x, y)
-        return w.replace("i", "r")
-
-    return "1" + run(word, (*GLYPH_PAIRS, *GLYPHS)), "2" + run(word, (*GLYPHS, *[p for p in GLYPH_PAIRS if p[0] in ("rn", "li", "in", "vv")])), "3" + run(word, (*GLYPHS, ("in", "m"), ("rn", "m")))
-
-
-def fold(word: str) -> str:
-    return folds(word)[1]
+def title_key(text: str) -> str:
+    """Letters of a title, without case, spaces, numbers and chapter mark."""
+    return "".join(re.findall(_LETTER, _CHAPTER.sub("", text))).lower()
 
 
-def title_key(text: str) -> str:
-    """Letters of a title, folded, without case, spaces, numbers and chapter mark."""
-    return fold("".join(re.findall(_LETTER, _CHAPTER.sub("", text))).lower())
+def misread(a: str, b: str) -> bool:
+    """Do two different keys differ by at most two letters for each ten, or in one stretch of that length?"""
+    n = min(len(a), len(b))
+    if len(a) == len(b):
+        return n >= 6 and sum(x != y for x, y in zip(a, b)) <= max(2, n // 5)
+    if abs(len(a) - len(b)) > n // 10 + 1:
+        return False
+    i = next((k for k in range(n) if a[k] != b[k]), n)
+    j = next((k for k in range(n - i) if a[-1 - k] != b[-1 - k]), n - i)
+    return n >= 6 and max(len(a), len(b)) - i - j <= max(2, n // 5)
 
 
 def title_core(line: str) -> tuple[str, int | None, bool] | None:
@@ -123,36 +116,37 @@ def title_core(line: str) -> tuple[str, int | None, bool] | None:
     m = re.match(rf"^(?:(\d{{1,4}}|{_ROMAN})\s{{2,}})?(.*?)(?:\s{{2,}}(\d{{1,4}}|{_ROMAN}))?$", bare)
     core = m.group(2).strip()
     printed = m.group(1) or m.group(3)
-    if not core or len(core) > 110 or _PUNCT.search(core) or len(title_key(core)) < 3 or re.search(r"[-\d]", core):
+    if not core or _PUNCT.search(core) or len(title_key(core)) < 3 or re.search(r"[-\d]", core):
         return None
     if not (core[0].isupper() or "㐀" <= core[0] <= "鿿"):
         return None
     return core, number(printed) if printed else None, marked
 
 
-def hints(table: str, text: str | None, pages: list[int]) -> list[tuple[str, str]]:
-    """What one record says about the furniture of its book: ('title', key), ('offset', distance)."""
-    t = readable(text)
+def numbers_in(text: str, counted: set[int]) -> list[tuple[int, int, int, bool]]:
+    """(start, end, number, decorated) of what may be page numbers: decorated ones, and bare ones that no neighbour counts by."""
+    out = [(m.start(), m.end(), int(next(g for g in m.groups() if g)), True) for m in _DECORATED.finditer(text)]
+    bare = [(m.start(), m.end(), int(m.group()), False) for i, m in enumerate(_TOKEN.finditer(text)) if i not in counted and _BARE.fullmatch(m.group())]
+    return out + bare
+
+
+def hints(table: str, text: str, pages: list[int], counted: set[int]) -> list[tuple[str, str]]:
+    """What one record says about the furniture of its book: ('title', key), ('head', key|form), ('offset', distance)."""
     out = []
     if table == "block":
-        lines = [x for x in t.split("\n") if x.strip()]
+        lines = [x for x in text.split("\n") if x.strip()]
         for line in {lines[0], lines[-1]} if lines else ():
             core = title_core(line)
             if core and (len(lines) == 1 or len(core[0]) >= 4):
                 out.append(("title", title_key(core[0])))
         return out
-    if "\n" in t:
-        core = title_core(t.split("\n", 1)[0])
+    if "\n" in text:
+        core = title_core(text.split("\n", 1)[0])
         if core:
             out.append(("head", title_key(core[0]) + "|" + core[0]))
-    for m in [*_SPACED.finditer(t), *_CAPITALS.finditer(t)]:
+    for m in [*_SPACED.finditer(text), *_CAPITALS.finditer(text)]:
         out.append(("head", title_key(m.group()) + "|" + re.sub(r"(?<=\w)\s(?=\w(?:\s|$))", "", m.group())))
-    for m in _DECORATED.finditer(t):
-        out += [("offset", str(p - int(next(g for g in m.groups() if g)))) for p in pages]
-    for m in _BARE.finditer(t):
-        if not _COUNTED.search(t[: m.start()]) and not _COUNTING.match(t[m.end() :]):
-            out += [("offset", str(p - int(m.group(1)))) for p in pages]
-    return [(k, v) for k, v in out if k != "offset" or abs(int(v)) <= MAX_OFFSET]
+    return out + [("offset", str(p - n)) for *_, n, _ in numbers_in(text, counted) for p in pages]
 
 
 class Book:
@@ -160,11 +154,14 @@ class Book:
 
     def __init__(self, titles: list[str], heads: list[str], offset: int | None):
         self.titles = set(titles)
-        self.heads = {h.split("|", 1)[0]: h.split("|", 1)[1] for h in heads}
+        self.heads = dict(h.split("|", 1) for h in sorted(heads))
         self.offset = offset
 
-    @property
-    @cache
+    def is_title(self, key: str) -> bool:
+        """A title of the book, or one misread."""
+        return key in self.titles or any(misread(key, t) for t in self.titles)
+
+    @cached_property
     def patterns(self) -> list[re.Pattern]:
         """Known titles as they may stand inside other text; all-capital and spaced forms are found without being known."""
         out = []
@@ -179,6 +176,7 @@ class Record:
 
     def __init__(self, row):
         self.row = row
+        self.counted, self.foreign = (set() if x is None else set(map(int, x)) for x in (row.counted, row.foreign))
         self.header = self.page_number = self.hyphen = False
         self.body: list[str] = []  # lines without furniture
         self.joined = ""  # text of the record with its own breaks healed
@@ -203,17 +201,17 @@ def _scan_blocks(records: list[Record], book: Book) -> None:
     offsets: Counter[int] = Counter()
     parsed = []
     for r in records:
-        lines = readable(r.row.text).split("\n")
+        lines = r.row.clean.split("\n")
         full = [i for i, x in enumerate(lines) if x.strip()]
         found = {}
         for i in {full[0], full[-1]} if full else ():
             core = title_core(lines[i])
-            if core and title_key(core[0]) in book.titles:
+            if core and book.is_title(title_key(core[0])):
                 found[i] = ("header", core)
                 if core[1] is not None:
                     offsets[r.row.page - core[1]] += 1
             elif m := _NUMBER_LINE.match(lines[i]):
-                found[i] = ("number", number(m.group(1)), "sure" if m.group(1) != lines[i].strip() or not m.group(1).isdigit() else "")
+                found[i] = ("number", number(m.group(1)), m.group(1).isdigit() and m.group(1) != lines[i].strip())
                 offsets[r.row.page - number(m.group(1))] += 1
         parsed.append((r, lines, found))
     offset = max(offsets, key=lambda k: (offsets[k], -abs(k))) if offsets else 0
@@ -226,7 +224,7 @@ def _scan_blocks(records: list[Record], book: Book) -> None:
                 opening = not title_seen and r.row.page == first_page and printed is None and not marked and not core.isupper()
                 title_seen |= opening
                 r.header |= not opening
-            elif kind and kind[0] == "number" and (r.row.page - kind[1] == offset or kind[2] == "sure" and abs(r.row.page - kind[1]) <= MAX_OFFSET):
+            elif kind and kind[0] == "number" and (r.row.page - kind[1] == offset or kind[2]):
                 r.page_number = True
             elif line.strip() and (len(lines) > 1 or re.search(rf"{_LETTER}.*{_LETTER}", line)):
                 r.body.append(line)
@@ -236,7 +234,7 @@ def _scan_blocks(records: list[Record], book: Book) -> None:
 
 def _scan_paragraphs(records: list[Record], book: Book) -> None:
     for r in records:
-        t = readable(r.row.text)
+        t = r.row.clean
         head = 0
         if "\n" in t and title_core(t.split("\n", 1)[0]):
             head = t.index("\n") + 1
@@ -250,21 +248,22 @@ def _scan_paragraphs(records: list[Record], book: Book) -> None:
                 if p in (_SPACED, _CAPITALS) or _inside(t, m.start(), m.end()):
                     r.header = True
                     take(m.start(), m.end())
-        for m in [*_ARTICLE.finditer(t, head), *(_HAN_ISLAND.finditer(t, head) if r.row.lang == "zh" else ())]:
-            if not any(a <= m.start(1) < b for a, b in cut):
+        tokens = list(_TOKEN.finditer(t))
+        starts = [(tokens[i].start(), tokens[min(i + TITLE_WORDS, len(tokens)) - 1].end()) for i in sorted(r.foreign) if i < len(tokens)]
+        for x, y in [*starts, *((m.start(1), m.end(1)) for m in (_HAN_ISLAND.finditer(t) if r.row.lang == "zh" else ()))]:
+            if x >= head and not any(a <= x < b for a, b in cut):
                 r.header = True
-                take(m.start(1), m.end(1))
-        beside = lambda a, b: any(0 <= a - y <= 3 or 0 <= x - b <= 3 for x, y in list(cut))
+                take(x, y)
         pages = r.row.source_pages if r.row.source_pages is not None and len(r.row.source_pages) else [r.row.page]
-        spans = [(m.start(), m.end(), int(next(g for g in m.groups() if g)), True) for m in _DECORATED.finditer(t, head)]
-        spans += [(m.start(), m.end(), int(m.group(1)), False) for m in _BARE.finditer(t, head)]
+        spans = [x for x in numbers_in(t, set()) if x[0] >= head]
+        plain = {x[:2] for x in numbers_in(t, r.counted)}
         titles = list(cut)
         for a, b, n, decorated in spans:
             if any(x <= a and b <= y for x, y in cut):
                 continue
             near = any(0 <= a - y <= 3 or 0 <= x - b <= 3 for x, y in titles)
             off = min((abs(p - n - (book.offset or 0)) for p in pages), default=99)
-            if decorated or (book.offset is not None and off == 0 or near and off <= 3) and (near or not _COUNTED.search(t[:a]) and not _COUNTING.match(t[b:])):
+            if decorated or (book.offset is not None and off == 0 or near and off <= 3) and (near or (a, b) in plain):
                 cut.append((a, b))
                 r.page_number |= not near
         for a, b in sorted(cut, reverse=True):
@@ -327,6 +326,11 @@ def words_of(text: str) -> list[str]:
     return re.findall(rf"[^\W_]*{_LETTER}[^\W_]*", text)
 
 
+@F.pandas_udf(T.StringType())
+def _readable(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else readable(t))
+
+
 def corpus_records(ocr_blocks: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """Distinct records of both tables in one form; null and empty texts are kept, as records without a body."""
     blocks = ocr_blocks.select(F.lit("block").alias("rec_table"), "book", "lang", "chapter", F.col("block_id").alias("rec_id"), "page", F.col("block_idx").alias("ord"), "text", F.array("page").alias("source_pages"))
@@ -335,14 +339,51 @@ def corpus_records(ocr_blocks: DataFrame, paragraphs: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def clean_records(records: DataFrame) -> DataFrame:
+    """The records with ``clean``, their text in its readable form, and ``row``, a number; written once."""
+    clean = F.coalesce(_readable(F.when(F.col("text").rlike(f"[^{PLAIN}]"), F.col("text"))), F.regexp_replace("text", "¬", "-"), F.lit(""))
+    return materialize(records.withColumn("clean", clean).drop("text").withColumn("row", F.monotonically_increasing_id()), "p5-clean")
+
+
+def token_facts(records: DataFrame) -> DataFrame:
+    """(row, counted, foreign) of paragraphs: places of numbers that a neighbour counts by, and of capitals foreign to their sentence.
+
+    Both are learned from all records: words that stand beside numbers again and again, and words that are small within
+    sentences. Places and words meet in a join, so no word list has to be held.
+    """
+    bare = lambda x: F.lower(F.regexp_replace(x, r"^\P{L}+|\P{L}+$", ""))
+    t = F.regexp_extract_all("clean", F.lit(_TOKEN.pattern), F.lit(0))
+    near = lambda i: F.try_element_at(F.col("t"), i)
+    facts = F.transform("t", lambda x, i: F.struct(
+        i.alias("i"), x.alias("t"), F.when(i > 0, near(i)).alias("p"), near(i + 2).alias("n")
+    ))
+    tokens = records.filter("lang IS NOT NULL").select("row", "rec_table", "lang", t.alias("t")).select("row", "rec_table", "lang", F.explode(facts).alias("x")).select("row", "rec_table", "lang", "x.*")
+    is_number = lambda c: F.coalesce(F.col(c).rlike(r"^[0-9]{1,4}$"), F.lit(False))
+    inside = F.coalesce(F.col("p").rlike(r"[\p{L}\p{N},;]$") & F.col("t").rlike(r"^\p{Lu}\p{Ll}*$"), F.lit(False))
+    count = lambda on: F.count(F.when(on, F.lit(1)))
+    words = tokens.withColumn("word", bare(F.col("t"))).filter("word <> ''").groupBy("lang", "word").agg(
+        F.count(F.lit(1)).alias("all"), count(F.col("t").rlike(r"^\P{L}*\p{Ll}")).alias("small"), count(inside).alias("capital"), count(is_number("n")).alias("before"), count(is_number("p")).alias("after")
+    )
+    often = lambda c: (F.col(c) >= COUNTS) & (F.col(c) >= COUNTING * F.col("all"))
+    kinds = F.array(F.when(often("before"), F.lit("p")), F.when(often("after"), F.lit("n")), F.when((F.col("small") >= SMALL) & (F.col("capital") <= CAPITAL * F.col("small")), F.lit("t")))
+    known = materialize(words.select("lang", "word", F.explode(F.array_compact(kinds)).alias("kind")), "p5-facts")
+    number = is_number("t")
+    asked = F.array(*[F.when(on, F.struct(F.lit(k).alias("kind"), bare(F.col(k)).alias("word"))) for k, on in (("p", number), ("n", number), ("t", inside))])
+    places = tokens.filter("rec_table = 'paragraph'").filter(number | inside).select("row", "lang", "i", F.explode(F.array_compact(asked)).alias("x")).select("row", "lang", "i", "x.*")
+    found = places.join(known, ["lang", "word", "kind"], "left_semi")
+    gather = lambda on: F.collect_set(F.when(on, F.col("i")))
+    return found.groupBy("row").agg(gather(F.col("kind") != "t").alias("counted"), gather(F.col("kind") == "t").alias("foreign"))
+
+
 def learn_furniture(records: DataFrame) -> DataFrame:
     """Per (rec_table, book, lang): titles, heads and the offset of page numbers, from all records of the book."""
 
     @F.pandas_udf("array<struct<kind:string,value:string>>")
-    def said(table: pd.Series, text: pd.Series, pages: pd.Series) -> pd.Series:
-        return pd.Series([[{"kind": k, "value": v} for k, v in hints(a, t, [] if p is None else list(p))] for a, t, p in zip(table, text, pages)])
+    def said(table: pd.Series, text: pd.Series, pages: pd.Series, counted: pd.Series) -> pd.Series:
+        lists = lambda x: [] if x is None else list(x)
+        return pd.Series([[{"kind": k, "value": v} for k, v in hints(a, t, lists(p), set(lists(c)))] for a, t, p, c in zip(table, text, pages, counted)])
 
-    told = records.select("rec_table", "book", "lang", "chapter", "page", F.explode(said("rec_table", "text", "source_pages")).alias("h"))
+    told = records.select("rec_table", "book", "lang", "chapter", "page", F.explode(said("rec_table", "clean", "source_pages", "counted")).alias("h"))
     keys = ["rec_table", "book", "lang"]
     counted = told.groupBy(*keys, "h").agg(F.countDistinct("chapter", "page").alias("n"))
     kept = counted.filter((F.col("h.kind") != "title") | (F.col("n") >= TITLE_PAGES))
@@ -351,43 +392,59 @@ def learn_furniture(records: DataFrame) -> DataFrame:
     return kept.groupBy(*keys).agg(pick("title").alias("titles"), pick("head").alias("heads"), offset["offset"].alias("offset"))
 
 
-def learn_compounds(records: DataFrame, max_words: int = MAX_WORDS) -> set[str]:
-    """Hyphenated words within lines that are more frequent than the same letters joined; bounded by their share."""
+def compounds_of(records: DataFrame) -> DataFrame:
+    """(word) hyphenated within lines more often than the same letters stand joined, twice at least."""
     letters = r"\p{L}+"
-    text = F.lower(F.regexp_replace("text", "[\xad‐¬]", "-"))
-    inline = records.select(F.explode(F.regexp_extract_all(text, F.lit(rf"(?<![\p{{L}}-])({letters}-{letters})(?![\p{{L}}-])"), F.lit(1))).alias("w"))
-    counts = inline.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("t"))
-    frequent = counts.join(F.broadcast(total), F.col("n") * max_words > F.col("t")).filter("n > 1").withColumn("joined", F.regexp_replace("w", "-", ""))
+    text = F.lower("clean")
+    inline = records.select(F.explode(F.regexp_extract_all(text, F.lit(rf"(?<![\p{{L}}-])({letters}-{letters})(?![\p{{L}}-])"), F.lit(1))).alias("word"))
+    counts = inline.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("joined", F.regexp_replace("word", "-", ""))
     plain = records.select(F.explode(F.regexp_extract_all(text, F.lit(letters), F.lit(0))).alias("joined")).groupBy("joined").agg(F.count(F.lit(1)).alias("m"))
-    return {r.w for r in frequent.join(plain, "joined", "left").filter("m IS NULL OR m < n").select("w").collect()}
+    return counts.join(plain, "joined", "left").filter("m IS NULL OR m < n").select("word")
 
 
 SCANNED = "rec_table string, book string, lang string, chapter int, rec_id string, page int, ord int, header boolean, page_number boolean, hyphen boolean, body string, starts_broken boolean, ends_broken boolean, words array<string>"
 
 
 def scan(records: DataFrame) -> DataFrame:
-    """Furniture and broken words of all records, with the body text and words that are left; one row per distinct record."""
-    compounds = records.sparkSession.sparkContext.broadcast(learn_compounds(records))
-    keys = ["rec_table", "book", "lang"]
-    known = learn_furniture(records).withColumnsRenamed({k: f"_{k}" for k in keys})
-    rows = records.join(known, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left").drop(*[f"_{k}" for k in keys])
+    """Furniture and broken words of all records, with the body text and words that are left; one row per distinct record.
+
+    A chapter is one task, with what is known of its book beside it: its titles, and of the compounds those that its
+    own broken words may be.
+    """
+    records = clean_records(records)
+    records = records.join(token_facts(records), "row", "left")
+    group = ["rec_table", "book", "lang", "chapter"]
+    same = lambda a, b, keys: reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[f"of_{k}"]) for k in keys])
+    chapters = records.select(*group).distinct()
+    books = learn_furniture(records).withColumnsRenamed({k: f"of_{k}" for k in group[:3]})
+    told = chapters.join(books, same(chapters, books, group[:3]), "left").select(*group, "titles", "heads", "offset", F.lit(None).cast("string").alias("word"))
+    # words broken at the end of a line or text, with the beginning of the next record of the chapter
+    nothing = F.array().cast("array<string>")
+    broken = records.filter(F.col("clean").rlike(r"\p{L}-\s")).select(*group, F.explode(F.regexp_extract_all(F.lower("clean"), F.lit(r"\p{L}+-\s+\p{L}+"), F.lit(0))).alias("w")).select(*group, F.regexp_replace("w", r"\s+", "").alias("word"))
+    over = records.filter(F.col("clean").rlike(r"\p{L}-\s*$")).select(*group, F.lower(F.regexp_extract("clean", r"(\p{L}+)-\s*$", 1)).alias("left"))
+    compounds = materialize(compounds_of(records), "p5-compounds")
+    across = over.join(compounds.select("word", F.substring_index("word", "-", 1).alias("left")), "left").select(*group, "word")
+    mine = broken.join(compounds, "word", "left_semi").unionByName(across, allowMissingColumns=True).select(*group, "word").distinct()
+    told = told.unionByName(mine.select(*group, nothing.alias("titles"), nothing.alias("heads"), F.lit(None).cast("int").alias("offset"), "word"))
     names = [x.split(" ", 1)[0] for x in SCANNED.split(", ")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page", "ord", "rec_id"], ignore_index=True)
-        first = pdf.iloc[0]
-        lists = [[] if first[c] is None else list(first[c]) for c in ("titles", "heads")]
-        offset = None if pd.isna(first.offset) else int(first.offset)
+    def run(key, pdf: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["page", "ord", "rec_id", "row"], ignore_index=True)
+        if pdf.empty:
+            return pd.DataFrame([], columns=names)
+        compounds = {w for w in facts.word if w is not None}
+        known = facts[facts.word.isna()]
+        lists = [[] if not len(known) or known[c].iloc[0] is None else list(known[c].iloc[0]) for c in ("titles", "heads")]
+        offset = None if not len(known) or pd.isna(known.offset.iloc[0]) else int(known.offset.iloc[0])
         out = []
-        for r in scan_chapter(list(pdf.itertuples()), first.rec_table, Book(*lists, offset), compounds.value):
+        for r in scan_chapter(list(pdf.itertuples()), pdf.rec_table.iloc[0], Book(*lists, offset), compounds):
             w = words_of(r.joined)
             w = w[int(r.starts_broken) : len(w) - int(r.ends_broken)]
             out.append((r.row.rec_table, r.row.book, r.row.lang, r.row.chapter, r.row.rec_id, r.row.page, r.row.ord, r.header, r.page_number, r.hyphen, r.joined, r.starts_broken, r.ends_broken, w))
         return pd.DataFrame(out, columns=names)
 
-    group = ["rec_table", "book", "lang", "chapter"]
-    return spread(rows, *group).groupBy(*group).applyInPandas(run, SCANNED)
+    facts = spread(told.withColumnsRenamed({k: f"of_{k}" for k in group}), *[f"of_{k}" for k in group]).groupBy(*[f"of_{k}" for k in group])
+    return spread(records, *group).groupBy(*group).cogroup(facts).applyInPandas(run, SCANNED)
 
 
 def word_counts(texts: DataFrame, words: str = "words") -> DataFrame:
@@ -428,7 +485,7 @@ def link_words(counts: DataFrame) -> DataFrame:
     links, alike = F.count(F.when(F.col("rare"), F.lit(1))), F.count(F.when(~F.col("rare"), F.lit(1)))
     edits = materialize(pairs.groupBy("seen", "meant").agg(links.alias("r"), alike.alias("c")), "p5-edits")
     total = edits.agg(F.sum("r").alias("r"), F.sum("c").alias("c")).first()
-    more = max(0.0, math.log(((total.r or 0) + 1) / ((total.c or 0) + 1)))
+    more = max(0.0, math.log(((total.r or 0) + FEW) / ((total.c or 0) + FEW)))
     edits = edits.filter("r > 0").select("seen", "meant", (F.log((F.col("r") + GRANTED[0]) / (F.col("c") + GRANTED[1])) - more).alias("edit"))
     linked = pairs.filter("rare").join(edits, ["seen", "meant"])
     return linked.groupBy("lang", "word", "known").agg(F.max(F.col("edit") + PRIOR * F.log10(F.col("m") / F.col("n"))).alias("score"))
@@ -470,6 +527,8 @@ def learn_vectors(texts: DataFrame, counts: DataFrame, max_words: int = MAX_WORD
     rows = frequent.select(F.concat_ws(":", "lang", "word").alias("key")).collect()
     shared = texts.sparkSession.sparkContext.broadcast(sorted(r.key for r in rows))
     size = totals.agg(F.sum("total").alias("n")).first().n or 0
+    if not size:
+        return Vectors([], np.zeros((0, DIMENSIONS)))
 
     def run(batches):
         vocabulary = pa.array(shared.value, pa.string())

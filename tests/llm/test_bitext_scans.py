@@ -98,7 +98,11 @@ def scanned(spark):
         body = [" ".join(sentence(rng)[0] for _ in range(3)) for _ in range(4)]
         head = "Der alte Krug" if p == 10 else ("DER ALTE KRUG" if p % 2 else "Der alte Krug  %d" % (p - 3))
         rows += page("aa", p, [head, *body, "— %d —" % (p - 3) if p % 3 else "1743"])
-    bad = {"aa_pg0020_b01": "Merlo fand den Kr-\nug im Haus. Tavik verlor den Rmg im Turm.", "aa_pg0021_b02": "Die Nord- und Südmauer stand da. Hasko holte den Brief mit 12 Kisten im Hau5."}
+    bad = {
+        "aa_pg0020_b01": "Merlo fand den Kr-\nug im Haus. Tavik vcrlor den Ring mit 30 Kisten im Turm.",
+        "aa_pg0021_b02": "Die Nord- und Südmauer stand da. Hasko holte den Brief mit 12 Kistcn im Haus.",
+        "aa_pg0022_b03": "Merlo fand den Ring mit 31 Kisten im Gartcn. Sanne verlor die Kcrze mit 40 Kisten im Haus.",
+    }
     rows = [(*r[:7], bad.get(r[4], r[7]), r[8]) for r in rows]
     rows += [("block", None, None, None, "n1", None, None, None, None), ("block", "aa", "de", 1, "aa_pg0059_b09", 59, 9, "", [59]), rows[0]]
     return N.scan(spark.createDataFrame(rows, RECORD).distinct()).cache()
@@ -110,29 +114,45 @@ def test_defects(spark, scanned):
     assert headers == {f"aa_pg{p:04d}_b00" for p in range(11, 60)}
     assert {i for i, k in found if k == "page_number"} == {f"aa_pg{p:04d}_b05" for p in range(10, 60) if p % 3}
     assert {i for i, k in found if k == "hyphen"} == {"aa_pg0020_b01"}
-    assert {i for i, k in found if k == "misread"} == {"aa_pg0020_b01", "aa_pg0021_b02"}
+    assert {i for i, k in found if k == "misread"} == {"aa_pg0020_b01", "aa_pg0021_b02", "aa_pg0022_b03"}
 
 
-def test_links_do_not_depend_on_the_size_of_the_corpus(spark):
-    rows = [("de", "Krauvhagen", 60), ("de", "Kranvhagen", 1), ("de", "Plaunstein", 30), ("de", "Plaunstien", 1), ("de", "Brücke", 40), ("de", "Brucke", 2), ("de", "Mühle", 9), ("de", "Mnhle", 1)]
+def test_edits_are_learned(spark):
+    rows = [("de", "Krauvhagen", 60), ("de", "Kranvhagen", 1), ("de", "Plaunstein", 30), ("de", "Planustein", 1), ("de", "Braunau", 40), ("de", "Brannau", 2), ("de", "Mühle", 9), ("de", "Mnhle", 1)]
+    rows += [("de", "Haus", 50), ("de", "Maus", 4), ("de", "Haut", 30), ("de", "Hut", 30), ("de", "梅罗哈斯科", 40), ("de", "梅罗哈斯料", 1), ("de", "HAUS", 2)]
     links = {}
     for total in (1_000, 10_000_000):  # a plain share would drop the rare names of the large corpus
         counts = spark.createDataFrame([*rows, ("de", "der", total), ("en", "Krauvhagen", total)], "lang string, word string, n bigint")
-        links[total] = {r.word: [(c.word, round(c.prior, 6)) for c in r.candidates] for r in N.link_words(counts).collect()}
-    assert links[1_000] == links[10_000_000] == {w: [(v, round(N.PRIOR * math.log10(m / n), 6))] for w, v, m, n in [("Kranvhagen", "Krauvhagen", 60, 1), ("Plaunstien", "Plaunstein", 30, 1), ("Brucke", "Brücke", 40, 2)]}
+        links[total] = {(r.word, r.known): round(r.score, 6) for r in N.link_words(counts).collect()}
+    assert links[1_000] == links[10_000_000] and set(links[1_000]) == {("Kranvhagen", "Krauvhagen"), ("Planustein", "Plaunstein"), ("Brannau", "Braunau"), ("Maus", "Haus")}
+    # u read as n twice, once with its neighbour, against one link of H and M
+    assert links[1_000]["Brannau", "Braunau"] > links[1_000]["Maus", "Haus"] + 0.5
+    assert links[1_000]["Maus", "Haus"] == pytest.approx(N.PRIOR * math.log10(12.5) - math.log(104 / 102), abs=1e-5)
 
 
-def test_misread_rare_word_in_a_large_corpus(spark):
+def test_contexts_reject_words_that_stand_elsewhere(spark):
+    rng = random.Random(9)
+    names, things = ["Merlo", "Tavik", "Zirbel", "Dorle", "Hasko", "Sanne"], ["Haus", "Turm", "Krug", "Ring", "Wald", "Brief"]
+    texts = [[rng.choice(names), "suchte", "den", rng.choice(things), "im", "Garten"] for _ in range(1500)]
+    for i, (right, wrong) in enumerate([("Merlo", "Mcrlo"), ("Zirbel", "Zirbcl"), ("Dorle", "Dorlc"), ("Tavik", "Tavlk")]):
+        texts[i][0] = wrong
+    texts += [["nahm", "Dorlc", "und", "Salz"]] * 6  # a thing, in other company than Dorle
+    df = spark.createDataFrame([("block", "aa", "de", 1, f"r{i:05d}", 1, i, t) for i, t in enumerate(texts)], "rec_table string, book string, lang string, chapter int, rec_id string, page int, ord int, words array<string>")
+    assert {(r.rec_id, r.word, r.correct) for r in N.correct(df).collect()} == {("r00000", "Mcrlo", "Merlo"), ("r00001", "Zirbcl", "Zirbel")}
+
+
+def test_misread_rare_words_in_a_large_corpus(spark):
     fill = [("block", "aa", "de", 1, f"f{i:05d}", 1, i, ["und"] * 2_000) for i in range(1_000)]
-    said = [("block", "aa", "de", 1, f"r{i:03d}", 2, i, ["Merlo", "sah", "Krauvhagen" if i else "Kranvhagen", "im", "Tal"]) for i in range(61)]
+    names = {"Krauvhagen": "Kranvhagen", "Plaustein": "Planstein", "Braunau": "Brannau", "Taubheim": "Tanbheim"}
+    said = [("block", "aa", "de", 1, f"{v[0]}{i:03d}", 2, i, ["Merlo", "sah", v if i else w, "im", "Tal"]) for i in range(61) for v, w in names.items()]
     texts = spark.createDataFrame(fill + said, "rec_table string, book string, lang string, chapter int, rec_id string, page int, ord int, words array<string>")
-    assert [(r.rec_id, r.word, r.correct) for r in N.correct(texts).collect()] == [("r000", "Kranvhagen", "Krauvhagen")]
+    assert {(r.rec_id, r.word, r.correct) for r in N.correct(texts).collect()} == {(f"{v[0]}000", w, v) for v, w in names.items()}
 
 
 def test_reflow(spark, scanned):
     texts = [r.text for r in N.reflow(scanned, N.correct(scanned)).filter("book = 'aa'").orderBy("paragraph").collect()]
     whole = "\n".join(texts)
-    assert "Merlo fand den Krug im Haus. Tavik verlor den Ring im Turm." in whole and "im Haus." in whole and "Nord- und Südmauer" in whole
+    assert "Merlo fand den Krug im Haus. Tavik verlor den Ring mit 30 Kisten im Turm." in whole and "holte den Brief mit 12 Kisten im Haus." in whole and "Nord- und Südmauer" in whole
     assert "KRUG" not in whole and "— " not in whole
 
 
@@ -144,9 +164,9 @@ def test_empty_tables(spark):
 def test_paragraph_noise():
     from collections import namedtuple
 
-    Row = namedtuple("Row", "rec_table book lang chapter rec_id page ord text source_pages")
+    Row = namedtuple("Row", "rec_table book lang chapter rec_id page ord clean source_pages counted foreign")
     texts = ["Der rote Turm\nMerlo trug den Krug im - 24 - Haus.", "Sanne fand D E R   R O T E   T U R M den Ring mit 27 Kisten.", "Hasko holte den Br- ief und das Buch.", "Tavik lief Der rote Turm zum Wald.", "Die Wein- oder Obstkammer."]
-    rows = [Row("paragraph", "aa", "de", 1, f"p{i}", 27, i, t, [27]) for i, t in enumerate(texts)]
+    rows = [Row("paragraph", "aa", "de", 1, f"p{i}", 27, i, t, [27], [12] if i == 1 else None, None) for i, t in enumerate(texts)]
     got = N.scan_chapter(rows, "paragraph", N.Book([], [N.title_key("Der rote Turm") + "|Der rote Turm"], 3))
     assert [(r.header, r.page_number, r.hyphen) for r in got] == [(False, True, False), (True, False, False), (False, False, True), (True, False, False), (False, False, False)]
     assert got[2].joined == "Hasko holte den Brief und das Buch." and "Tavik lief zum Wald." == got[3].joined
