@@ -1,9 +1,9 @@
 """Splitting oversized texts at natural boundaries by structure-tree packing.
 
-A text is a tree: pages and headed sections, blocks, lines that are units (headings, list items, rows), sentences,
-clauses, words, characters. Only nodes over the limit are opened; sibling subtrees are merged bottom-up as long as
-they fit. Token counts of any span are exact: the words of the tokenizer inside it plus the re-encoded parts of words
-that its ends cut.
+A text is parsed into a tree: pages, sections nested by the depth of their headings, blocks, list items nested by their
+indent, table rows and lines. Sibling subtrees are merged bottom-up as long as they fit; only nodes over the limit are
+opened, and only a node without structure is cut into sentences, clauses, words and at last characters. Token counts of
+any span are exact: the words of the tokenizer inside it plus the words that its ends cut, split and encoded anew.
 """
 
 from __future__ import annotations
@@ -11,29 +11,36 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as K
 
 LIMIT, OVERLAP = 512, 64
+#: A fragment of an opened node is merged with what stands beside the node when either holds less than this part of the room.
+CRUMB = 0.25
+#: Levels of the tree, coarse to fine: the whole text, pages, six depths of sections, blocks, list items by nesting (deeper ones
+#: count as the deepest), lines that are units, then what a node without structure is cut into.
+TEXT, PAGE, SECTION, BLOCK, ITEM, LINE, SENTENCE, CLAUSE, WORD, SYMBOL, CHARACTER = 0, 1, 2, 8, 9, 25, 26, 27, 28, 29, 30
 
-_MARK = r"(?:[-*•–→‣·+]|\(?\[?\d{1,4}[\])]|\d{1,3}\.|[a-z]\)|\#{1,6}|[\U0001F300-\U0001FAFF])[ \t]"
 _END = r"[.!?…。！？][\"'”’“»«›‹」』）)\]]*"
-#: Boundaries by level, coarse to fine: a new child starts at the end of a match.
-LEVELS: tuple[re.Pattern, ...] = (
-    re.compile(r"\f|\n(?=\#{1,6} )"),
-    re.compile(r"\n[ \t　]*\n\s*"),
-    re.compile(rf"(?:(?<=[.!?…。！？:：])|(?<=[\"'”’“»«」』）)\]])|(?<=\t_))\n|\n(?=[ \t]*{_MARK}|\d+\t|[^\n\t]*\t)|(?<=\t)[^\n\t]*\n|^[^\n]{{1,80}}\n"),
-    re.compile(rf"{_END}(?=\s)|[。！？…][”’」』）)]*(?=\S)"),
-    re.compile(r"[,;:，；：、](?=\s)|[，；：、](?=\S)|[–—](?=\s)"),
-    re.compile(r"\n|(?<=\S)(?=[ \t])|(?<=[㐀-鿿])(?=[㐀-鿿])"),
-    re.compile(r"(?<=[_\W])(?=\w)"),
-)
+_LINE = re.compile(r"[^\n\f]*[\n\f]|[^\n\f]+")
+_HEADING = re.compile(r"(\#{1,6})[ \t]+\S")
+_MARK = re.compile(r"([ \t　]*)(?:[-*•–→‣·+]|\(?\[?\d{1,4}[\])]|\d{1,3}\.|[a-z]\)|[A-Z]{2,8} [-–—]|[\U0001F300-\U0001FAFF])[ \t]")
+_CLOSED = re.compile(rf"(?:{_END}|[:：])[ \t　]*$")
+_CUTS = {
+    SENTENCE: re.compile(rf"{_END}(?=\s)|[。！？…][”’」』）)]*(?=\S)"),
+    CLAUSE: re.compile(r"[,;:，；：、](?=\s)|[，；：、](?=\S)|[–—](?=\s)"),
+    WORD: re.compile(r"\n|(?<=\S)(?=[ \t])|(?<=[㐀-鿿])(?=[㐀-鿿])"),
+    SYMBOL: re.compile(r"(?<=[_\W])(?=\w)"),
+}
+_WORD = regex.compile(K.PYTHON_PATTERN)
 
 
 class Counter:
@@ -45,29 +52,111 @@ class Counter:
         self.tokens = tokens  # tokens before each word, then all
 
     def __call__(self, a: int, b: int) -> int:
+        """Tokens of text[a:b] by itself. Its words are those of the text but at its ends: a first word that is cut is split
+        anew up to the next common boundary, and so are the last word that is cut and the blanks at the end, which
+        make one word there."""
         if a >= b:
             return 0
-        i = bisect_right(self.chars, a) - 1
-        j = bisect_left(self.chars, b)
-        if self.chars[i] == a and self.chars[j] == b:
-            return self.tokens[j] - self.tokens[i]
-        if j == i + 1:
-            return self.encode(self.text[a:b])
-        n = 0
-        if self.chars[i] != a:
-            n += self.encode(self.text[a : self.chars[i + 1]])
-            i += 1
-        if self.chars[j] != b:
+        text, chars = self.text, self.chars
+        n, i = 0, bisect_left(chars, a)
+        while chars[i] != a:
+            end = _WORD.match(text, a, b).end()
+            n += self.encode(text[a:end])
+            a = end
+            if a >= b:
+                return n
+            i = bisect_left(chars, a, i)
+        j = bisect_right(chars, b) - 1
+        while j > i and text[chars[j] - 1].isspace() and text[chars[j - 1] : chars[j]].isspace():
             j -= 1
-            n += self.encode(self.text[self.chars[j] : b])
-        return n + self.tokens[j] - self.tokens[i]
+        n += self.tokens[j] - self.tokens[i]
+        at = chars[j]
+        while at < b:
+            end = _WORD.match(text, at, b).end()
+            n += self.encode(text[at:end])
+            at = end
+        return n
+
+
+@dataclass
+class Node:
+    """A span of the text with its parts; ``level`` is that of the boundary it begins with."""
+
+    start: int
+    end: int
+    level: int
+    children: list[Node] = field(default_factory=list)
+
+
+def boundaries(text: str) -> list[tuple[int, int]]:
+    """(place, level) of the starts of all structural parts, in order; the first is that of the text."""
+    out = [(0, TEXT)]
+    indents: list[int] = []  # of the list items that are open
+    blank, closed, table, page, title = False, True, False, False, False
+    for m in _LINE.finditer(text):
+        line = m.group()
+        body = line.strip(" \t　\n\f")
+        level = None
+        if not body:
+            blank = blank or line.endswith("\n")
+        else:
+            heading, item = _HEADING.match(line), _MARK.match(line)
+            row = "\t" in line.strip("\n\f") or body.startswith("|")
+            if heading:
+                level, indents = SECTION + len(heading.group(1)) - 1, []
+            elif item and not (row and table):
+                indent = len(item.group(1).expandtabs(4))
+                while indents and indents[-1] >= indent:
+                    indents.pop()
+                indents.append(indent)
+                level = min(ITEM + len(indents) - 1, LINE - 1)
+            elif blank:
+                inside = len(line) - len(line.lstrip(" \t　")) > 0 and indents
+                level = LINE if inside else BLOCK
+                if not inside:
+                    indents = []
+            elif row or table or closed or title:
+                level = LINE
+            if page:
+                level = PAGE
+            title = heading is not None or not out[1:] and level is None and not _CLOSED.search(body)
+            blank, page, table, closed = False, False, row, bool(_CLOSED.search(body)) or heading is not None
+        if level is not None and m.start() > 0:
+            out.append((m.start(), level))
+        page = page or line.endswith("\f")
+    return out
+
+
+def parse(text: str) -> Node:
+    """The tree of a text. A part belongs to the last part before it that begins with a coarser boundary; what a part says
+    before its own parts is its first child."""
+    root = Node(0, len(text), TEXT)
+    open_nodes = [root]
+    parts = boundaries(text)[1:]
+    if any(level == PAGE for _, level in parts):
+        parts = [(0, PAGE), *parts]
+    for at, level in parts:
+        while len(open_nodes) > 1 and open_nodes[-1].level >= level:
+            open_nodes.pop().end = at
+        parent = open_nodes[-1]
+        if not parent.children and at > parent.start:
+            parent.children.append(Node(parent.start, at, CHARACTER))
+        node = Node(at, parent.end, level)
+        parent.children.append(node)
+        open_nodes.append(node)
+    for node in open_nodes:
+        node.end = len(text)
+    return root
 
 
 def _characters(text: str, a: int, b: int, limit: int, count: Counter) -> list[int]:
     """Ends of parts of a span without any boundary: as many characters as fit, never before a combining mark or joiner."""
     ends = []
     while count(a, b) > limit:
-        lo, hi = a + 1, min(b - 1, a + 8 * limit)
+        step = 4 * limit
+        while a + step < b and count(a, a + step) <= limit:
+            step *= 2
+        lo, hi = a + 1, min(b - 1, a + step)
         while lo < hi:  # longest prefix that fits; counts grow with length up to a token or two
             mid = (lo + hi + 1) // 2
             lo, hi = (mid, hi) if count(a, mid) <= limit else (lo, mid - 1)
@@ -79,27 +168,35 @@ def _characters(text: str, a: int, b: int, limit: int, count: Counter) -> list[i
     return [*ends, b]
 
 
-def _units(text: str, a: int, b: int, level: int, limit: int, count: Counter) -> list[tuple[int, int]]:
-    """Spans of at most ``limit`` tokens that tile [a, b): (end, level at which it ends)."""
-    if count(a, b) <= limit:
-        return [(b, level)]
-    if level == len(LEVELS):
-        return [(e, level) for e in _characters(text, a, b, limit, count)]
-    ends = [e for m in LEVELS[level].finditer(text, a, b) if a < (e := m.end()) < b]
-    merged: list[tuple[int, int]] = []
-    start = piece = a
-    for end in [*ends, b]:
-        if count(piece, end) <= limit and merged and merged[-1][0] == start and piece < start:
-            merged[-1] = (end, level)
-        elif count(start, end) <= limit:
-            merged.append((end, level))
-            piece = start
-        else:
-            inner = _units(text, start, end, level + 1, limit, count)
-            merged.extend(inner)
-            piece = inner[-2][0] if len(inner) > 1 else start
-        start = end
-    return merged
+def _open(text: str, node: Node, limit: int, count: Counter) -> list[Node]:
+    """Parts of a node over the limit: those of its structure, or the finest cuts of the coarsest kind that divides it."""
+    if node.children:
+        return node.children
+    for level in range(max(node.level + 1, SENTENCE) if node.level < CHARACTER else SENTENCE, CHARACTER):
+        ends = [e for m in _CUTS[level].finditer(text, node.start, node.end) if node.start < (e := m.end()) < node.end]
+        if ends:
+            return [Node(x, y, level) for x, y in zip([node.start, *ends], [*ends, node.end])]
+    ends = _characters(text, node.start, node.end, limit, count)
+    return [Node(x, y, CHARACTER) for x, y in zip([node.start, *ends[:-1]], ends)]
+
+
+def pack(text: str, node: Node, limit: int, count: Counter) -> list[tuple[int, int, bool]]:
+    """(start, end, whole) of pieces that tile a node, each at most ``limit`` tokens; whole ones are siblings merged."""
+    if count(node.start, node.end) <= limit:
+        return [(node.start, node.end, True)]
+    out: list[tuple[int, int, bool]] = []
+    for child in _open(text, node, limit, count):
+        parts = pack(text, child, limit, count)
+        for k, (start, end, _) in enumerate(parts):
+            whole = len(parts) == 1
+            if out and not k:  # fragments of one child are merged already
+                first, last, before = out[-1]
+                fit = whole and before or min(count(first, last), count(start, end)) < CRUMB * limit
+                if fit and count(first, end) <= limit:
+                    out[-1] = (first, end, whole and before)
+                    continue
+            out.append((start, end, whole))
+    return out
 
 
 def _overlap_start(text: str, prev_start: int, end: int, overlap: int, count: Counter) -> int:
@@ -123,28 +220,15 @@ def cut(text: str, count: Counter, limit: int = LIMIT, overlap: int = OVERLAP) -
     n = len(text)
     if count(0, n) <= limit:
         return [(0, n, 0)]
-    room = limit - overlap
-    units = _units(text, 0, n, 0, room, count)
-    pieces, i, fresh, start = [], 0, 0, 0
-    while i < len(units):
-        last, best = i, None
-        while last < len(units) and count(start, units[last][0]) <= limit:
-            # prefer the coarsest boundary among those that fill the piece by half
-            end, level = units[last]
-            if best is None or level <= units[best][1] or count(start, end) * 2 <= limit:
-                best = last
-            last += 1
-        if last == len(units):
-            best = last - 1
-        if best is None:  # the overlap makes the unit too long: give it up for this piece
-            start = fresh
-            best = i
-        end = units[best][0]
+    pieces: list[tuple[int, int, int]] = []
+    for fresh, end, _ in pack(text, parse(text), limit - overlap, count):
+        start, room = fresh, overlap
+        while pieces and room > 0:
+            start = _overlap_start(text, pieces[-1][0], fresh, room, count)
+            if (over := count(start, end) - limit) <= 0:
+                break
+            start, room = fresh, room - over  # joined words may take more tokens than both parts
         pieces.append((start, end, fresh))
-        i, fresh, prev = best + 1, end, start
-        start = _overlap_start(text, prev, end, overlap, count)
-        if i < len(units) and count(start, units[i][0]) > limit:
-            start = _overlap_start(text, prev, end, max(0, limit - count(end, units[i][0]) - 2), count)
     return pieces
 
 

@@ -87,7 +87,7 @@ def test_pack(spark):
     assert rows.sort_values(key)[key].reset_index(drop=True).equals(again.sort_values(key)[key].reset_index(drop=True))
 
 
-def pieces_of(text, limit, overlap):
+def counter_of(text):
     import regex
 
     words = regex.findall(K.PYTHON_PATTERN, text)
@@ -97,7 +97,50 @@ def pieces_of(text, limit, overlap):
         chars.append(chars[-1] + len(w))
         toks.append(toks[-1] + encode(w))
     assert chars[-1] == len(text)
-    return C.cut(text, C.Counter(text, chars, toks, encode), limit, overlap)
+    return C.Counter(text, chars, toks, encode)
+
+
+def pieces_of(text, limit, overlap):
+    return C.cut(text, counter_of(text), limit, overlap)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab 'sreZ1.\n\n \t好é", max_size=60), st.data())
+def test_counts_of_spans_are_exact(text, data):
+    count, encoding = counter_of(text), K.load_encoding(PATH)
+    a = data.draw(st.integers(0, len(text)))
+    b = data.draw(st.integers(a, len(text)))
+    assert count(a, b) == len(encoding.encode_ordinary(text[a:b]))
+
+
+def test_tree_of_nested_headings_and_lists():
+    text = "Vorwort steht hier.\n\n# A\nEins.\n\n## A1\n- x\n  - y\n    mehr\n  - z\n- w\n## A2\nZwei.\n# B\n### B1\nDrei.\n\na\tb\nc\td\n\fSeite\n"
+    said = lambda node: text[node.start : node.end]
+    first, page = C.parse(text).children
+    assert said(page) == "Seite\n" and page.level == first.level == C.PAGE
+    body = text[: page.start]
+    intro, a, b = C.parse(body).children
+    assert [x.level for x in (a, b)] == [C.SECTION] * 2 and said(a).startswith("# A\n") and said(a).endswith("Zwei.\n")
+    assert [said(x).split("\n")[0] for x in a.children] == ["# A", "Eins.", "## A1", "## A2"] and [said(x).split("\n")[0] for x in b.children] == ["# B", "### B1"]
+    heading, x, w = a.children[2].children
+    assert said(x) == "- x\n  - y\n    mehr\n  - z\n" and said(w) == "- w\n" and [said(i) for i in x.children[1:]] == ["  - y\n    mehr\n", "  - z\n"]
+
+    def tiles(node):
+        assert not node.children or [node.start, *[c.end for c in node.children]] == [*[c.start for c in node.children], node.end]
+        for c in node.children:
+            tiles(c)
+
+    tiles(C.parse(text))
+
+
+def test_siblings_are_merged_and_only_large_nodes_opened():
+    section = lambda h, n: f"{h} Titel\n" + "Ein Satz steht hier. " * n + "\n\n"
+    text = section("#", 3) + section("##", 3) + section("##", 3) + section("#", 30) + section("#", 3)
+    starts = [text[s:].split("\n")[0] for s, _, _ in pieces_of(text, 80, 0)]
+    assert starts[:3] == ["# Titel", "## Titel", "# Titel"] and starts[-1] == "# Titel" and len(starts) >= 5
+    assert all(text[:e].endswith("\n\n") or text[:e].endswith(".") for _, e, _ in pieces_of(text, 80, 0))
+    deep = "".join("  " * i + f"- punkt {i}\n" for i in range(300))
+    assert [f for *_, f in pieces_of(deep, 40, 0)][0] == 0 and sum(e - f for _, e, f in pieces_of(deep, 40, 0)) == len(deep)
 
 
 ODD = st.text(alphabet="ab Zé.\n-。好，“”\f\t1é", max_size=400)
@@ -110,6 +153,7 @@ def test_pieces_cover_and_fit(text, limit, overlap):
     for k, (start, end, fresh) in enumerate(pieces_of(text, limit, overlap)):
         assert fresh == at and start <= fresh and (end > fresh or not text) and (k or start == 0)
         assert len(encoding.encode_ordinary(text[start:end])) <= limit
+        assert counter_of(text)(start, end) == len(encoding.encode_ordinary(text[start:end]))
         at = end
     assert at == len(text)
 
@@ -136,5 +180,6 @@ def test_split_texts(spark):
     assert rows[rows.doc_id == 0].text.isna().all() and rows[rows.doc_id <= 2].piece.eq(0).all()
     for d in (3, 4):
         mine = rows[rows.doc_id == d].sort_values("piece")
+        assert mine.n_tokens.tolist() == [len(K.load_encoding(PATH).encode_ordinary(t)) for t in mine.text]
         assert mine.n_tokens.max() <= 64 and "".join(t[f - s :] for t, s, f in zip(mine.text, mine.start, mine.fresh_start)) == long
     assert C.split_texts(frame(spark, [None]).limit(0), PATH).count() == 0
