@@ -180,12 +180,21 @@ def _open(text: str, node: Node, limit: int, count: Counter) -> list[Node]:
     return [Node(x, y, CHARACTER) for x, y in zip([node.start, *ends[:-1]], ends)]
 
 
+def _widen(node: Node, start: int) -> None:
+    """Let a node, and the first of its parts, begin earlier."""
+    node.start = start
+    if node.children:
+        _widen(node.children[0], start)
+
+
 def pack(text: str, node: Node, limit: int, count: Counter) -> list[tuple[int, int, bool]]:
     """(start, end, whole) of pieces that tile a node, each at most ``limit`` tokens; whole ones are siblings merged."""
     if count(node.start, node.end) <= limit:
         return [(node.start, node.end, True)]
     out: list[tuple[int, int, bool]] = []
     for child in _open(text, node, limit, count):
+        if out and out[-1][2] and count(child.start, child.end) > limit and count(*out[-1][:2]) < CRUMB * limit:
+            _widen(child, out.pop()[0])  # a heading stays with what it heads
         parts = pack(text, child, limit, count)
         for k, (start, end, _) in enumerate(parts):
             whole = len(parts) == 1
