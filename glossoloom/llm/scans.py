@@ -56,7 +56,7 @@ _ROMAN = r"[ivxlcdm]{1,9}"
 _CHAPTER = re.compile(r"\s*·\s*(?:[^\W\d_]{3,9}|第)\s*\d+\s*章?\s*$")
 _NUMBER_LINE = re.compile(rf"^[\s\x80-\x9f]*(?:[-–—·\[(]\s*)?(?:Seite|Page|第)?\s*(\d{{1,4}}|{_ROMAN})\s*页?(?:\s*[-–—·\])])?[\s\x80-\x9f]*$")
 _DECORATED = re.compile(r"[\x80-\x9f]\s*(\d{1,4})\s*[\x80-\x9f]|\[(\d{1,4})\]|[—–-]\s(\d{1,4})\s[—–-]|·\s*(\d{1,4})\s*·|(?<!\w)(?:Seite|Page)\s(\d{1,4})(?=\s|$)|第(\d{1,4})页")
-_BARE = re.compile(r"[0-9]{1,4}")
+_BARE = re.compile(r"(?<![^ \t\n])[0-9]{1,4}(?![^ \t\n])")
 #: Tokens; a line break is one of its own.
 _TOKEN = re.compile(r"[^ \t\n]+|\n")
 _SPACED = re.compile(r"(?<!\w)(?:[A-ZÄÖÜ]\s+){3,}[A-ZÄÖÜ](?!\w)")
@@ -126,8 +126,8 @@ def title_core(line: str) -> tuple[str, int | None, bool] | None:
 def numbers_in(text: str, counted: set[int]) -> list[tuple[int, int, int, bool]]:
     """(start, end, number, decorated) of what may be page numbers: decorated ones, and bare ones that no neighbour counts by."""
     out = [(m.start(), m.end(), int(next(g for g in m.groups() if g)), True) for m in _DECORATED.finditer(text)]
-    bare = [(m.start(), m.end(), int(m.group()), False) for i, m in enumerate(_TOKEN.finditer(text)) if i not in counted and _BARE.fullmatch(m.group())]
-    return out + bare
+    bare = [(m.start(), m.end(), int(m.group()), False) for m in _BARE.finditer(text)]
+    return out + [x for x in bare if not counted or len(_TOKEN.findall(text, 0, x[0])) not in counted]
 
 
 def hints(table: str, text: str, pages: list[int], counted: set[int]) -> list[tuple[str, str]]:
@@ -248,7 +248,7 @@ def _scan_paragraphs(records: list[Record], book: Book) -> None:
                 if p in (_SPACED, _CAPITALS) or _inside(t, m.start(), m.end()):
                     r.header = True
                     take(m.start(), m.end())
-        tokens = list(_TOKEN.finditer(t))
+        tokens = list(_TOKEN.finditer(t)) if r.foreign else []
         starts = [(tokens[i].start(), tokens[min(i + TITLE_WORDS, len(tokens)) - 1].end()) for i in sorted(r.foreign) if i < len(tokens)]
         for x, y in [*starts, *((m.start(1), m.end(1)) for m in (_HAN_ISLAND.finditer(t) if r.row.lang == "zh" else ()))]:
             if x >= head and not any(a <= x < b for a, b in cut):
@@ -359,10 +359,12 @@ def token_facts(records: DataFrame) -> DataFrame:
     ))
     tokens = records.filter("lang IS NOT NULL").select("row", "rec_table", "lang", t.alias("t")).select("row", "rec_table", "lang", F.explode(facts).alias("x")).select("row", "rec_table", "lang", "x.*")
     is_number = lambda c: F.coalesce(F.col(c).rlike(r"^[0-9]{1,4}$"), F.lit(False))
-    inside = F.coalesce(F.col("p").rlike(r"[\p{L}\p{N},;]$") & F.col("t").rlike(r"^\p{Lu}\p{Ll}*$"), F.lit(False))
-    count = lambda on: F.count(F.when(on, F.lit(1)))
-    words = tokens.withColumn("word", bare(F.col("t"))).filter("word <> ''").groupBy("lang", "word").agg(
-        F.count(F.lit(1)).alias("all"), count(F.col("t").rlike(r"^\P{L}*\p{Ll}")).alias("small"), count(inside).alias("capital"), count(is_number("n")).alias("before"), count(is_number("p")).alias("after")
+    inside = F.coalesce(F.right("p", F.lit(1)).rlike(r"[\p{L}\p{N},;]") & F.col("t").rlike(r"^\p{Lu}\p{Ll}*$"), F.lit(False))
+    # what is asked of a token depends on its letters, the last letter before it and whether numbers are beside it: counted by these first
+    kinds_of = tokens.groupBy("lang", "t", F.right("p", F.lit(1)).alias("p"), is_number("p").alias("pn"), is_number("n").alias("nn")).agg(F.count(F.lit(1)).alias("c"))
+    count = lambda on: F.sum(F.when(on, F.col("c")).otherwise(0))
+    words = kinds_of.withColumn("word", bare(F.col("t"))).filter("word <> ''").groupBy("lang", "word").agg(
+        F.sum("c").alias("all"), count(F.col("t").rlike(r"^\P{L}*\p{Ll}")).alias("small"), count(inside).alias("capital"), count(F.col("nn")).alias("before"), count(F.col("pn")).alias("after")
     )
     often = lambda c: (F.col(c) >= COUNTS) & (F.col(c) >= COUNTING * F.col("all"))
     kinds = F.array(F.when(often("before"), F.lit("p")), F.when(often("after"), F.lit("n")), F.when((F.col("small") >= SMALL) & (F.col("capital") <= CAPITAL * F.col("small")), F.lit("t")))
