@@ -1,9 +1,10 @@
 """Sentence boundaries across languages and scripts.
 
-Statistics of periods are learned without supervision per language from the whole corpus: which words carry a period
-that ends nothing (abbreviations, by log-likelihood ratio), which word pairs span such periods (collocations), and
-which words start sentences. A reader then walks each text once, knows quotation, bracket and title depth, and
-classifies every mark that looks like an end with these statistics.
+Statistics are learned without supervision per language from the whole corpus, all by log-likelihood ratios: which words
+carry a period that ends nothing (abbreviations), which pairs span such periods (collocations), which words start
+sentences, and which words tell who speaks around a quotation. They stay tables: what they say of the words of a text is
+joined to it, so no list has to be held. A reader then walks each text once, knows quotation, bracket and title depth,
+and classifies every mark that looks like an end with them.
 """
 
 from __future__ import annotations
@@ -11,23 +12,22 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..session import materialize
-from .looks import mapping
+from .looks import form_of, mapping
 
 #: Thresholds of the log-likelihood ratios, as published for unsupervised boundary detection.
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0
 #: A collocation makes up this part of what follows the abbreviation before a capital; large corpora find any deviation.
 COLLOCATION_SHARE = 0.3
-#: Tokens whose evidence the abbreviation threshold is meant for; more tokens count in proportion.
+#: A word tells who speaks when this part of its occurrences stands where nothing else can.
+SPEECH_SHARE = 0.25
+#: Tokens whose evidence the abbreviation threshold is meant for: evidence counts per so many tokens at every size of corpus.
 EVIDENCE = 250_000
-#: A type enters the collected statistics when it makes up more than 1 / MAX_TYPES of a language's period-carrying words.
-MAX_TYPES = 1 << 15
 
 _WS = r"\p{IsWhite_Space}"
 _EDGE = "\"'„“”‚‘’»«›‹「」『』()（）[]《》—–"
@@ -35,154 +35,182 @@ _EDGE = "\"'„“”‚‘’»«›‹「」『』()（）[]《》—–"
 
 @dataclass
 class Periods:
-    """What was learned for one language."""
+    """What is known of the words of a text or of a language."""
 
     inner: set[str] = field(default_factory=set)  # abbreviations that never end a sentence before a capital
     final: set[str] = field(default_factory=set)  # abbreviations that may also end one
     starters: set[str] = field(default_factory=set)
     collocations: set[tuple[str, str]] = field(default_factory=set)
+    speech: set[str] = field(default_factory=set)  # words, in scripts without blanks the last two characters, of who speaks
 
 
 def _llr(k1, n1, k2, n2):
-    """Twice the log-likelihood ratio of two binomials, elementwise."""
-    def ll(k, n, p):
-        p = np.clip(p, 1e-12, 1 - 1e-12)
-        return k * np.log(p) + (n - k) * np.log(1 - p)
+    """Twice the log-likelihood ratio of two binomials, as a column."""
+    n1, n2 = F.greatest(n1, F.lit(1.0)), F.greatest(n2, F.lit(1.0))
+    near = lambda p: F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
+    ll = lambda k, n, p: k * F.log(near(p)) + (n - k) * F.log(1 - near(p))
+    return 2 * (ll(k1, n1, k1 / n1) + ll(k2, n2, k2 / n2) - ll(k1, n1, (k1 + k2) / (n1 + n2)) - ll(k2, n2, (k1 + k2) / (n1 + n2)))
 
-    n1, n2 = np.maximum(n1, 1), np.maximum(n2, 1)
-    p, p1, p2 = (k1 + k2) / (n1 + n2), k1 / n1, k2 / n2
-    return 2 * (ll(k1, n1, p1) + ll(k2, n2, p2) - ll(k1, n1, p) - ll(k2, n2, p))
+
+_BARE = lambda x: F.regexp_replace(F.regexp_replace(x, f"^[{re.escape(_EDGE)}]+", ""), f"[{re.escape(_EDGE)},;:!?…]+$", "")
+
+
+def _tokens(texts: DataFrame, text: str, *keep: str, where=None) -> DataFrame:
+    """(*keep, t, n, last): every token of a text that meets a condition, the next one, and whether there is none."""
+    clash = "_" * max(map(len, [*keep, text]))
+    parts = texts.select(*keep, F.filter(F.split(text, rf"{_WS}+"), lambda x: x != "").alias(clash))  # made once, not for every token
+    at = F.transform(F.col(clash), lambda x, i: F.struct(x.alias("t"), F.try_element_at(F.col(clash), i + 2).alias("n"), (i + 1 == F.size(clash)).alias("last")))
+    return parts.select(*keep, F.explode(at if where is None else F.filter(at, where)).alias(clash)).select(*keep, f"{clash}.*")
 
 
 def token_pairs(texts: DataFrame) -> DataFrame:
-    """Neighbouring tokens of all texts: (lang, type, period, next_type, next_case); the last token has next_case 'end'.
+    """Neighbouring tokens of all texts: (lang, type, period, next_type, next_case, c); the last token has next_case 'end'.
 
     ``type`` is lower case without outer quotes, brackets and the final period; cases are lower, upper, digit, other.
+    What follows is told only of tokens with a period. Equal tokens are counted before their letters are looked at.
     """
-    edge = re.escape(_EDGE)
-    tokens = F.split(F.regexp_replace("text", rf"^{_WS}+|{_WS}+$", ""), rf"{_WS}+")
-    bare = lambda x: F.regexp_replace(F.regexp_replace(x, f"^[{edge}]+", ""), f"[{edge},;:!?…]+$", "")
-    at = texts.filter(F.length("text") > 0).select("lang", F.posexplode(F.transform(F.filter(F.arrays_zip(tokens.alias("t"), F.concat(F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), F.array(F.lit(None).cast("string"))).alias("n")), lambda x: x["t"].isNotNull()), lambda x: F.struct(bare(x["t"]).alias("t"), bare(x["n"]).alias("n"), x["n"].isNull().alias("last")))).alias("i", "x"))
-    n = F.col("x.n")
-    case = (
-        F.when(F.col("x.last"), "end").when(n.rlike(r"^\p{Ll}"), "lower").when(n.rlike(r"^\p{Lu}"), "upper").when(n.rlike(r"^\p{N}"), "digit").otherwise("other")
-    )
-    return at.select(
-        "lang",
-        F.lower(F.regexp_replace("x.t", r"\.$", "")).alias("type"),
-        F.col("x.t").rlike(r"[^.]\.$").alias("period"),
-        F.lower(F.regexp_replace("x.n", r"\.$", "")).alias("next_type"),
-        case.alias("next_case"),
-    ).filter(F.col("type").rlike(r"\p{L}"))
+    told = _tokens(texts.filter(F.length("text") > 0), "text", "lang")
+    over = F.col("t").contains(".") & ~F.col("t").endswith(",")
+    told = told.withColumns({"n": F.when(over, F.col("n")), "last": over & F.col("last")}).groupBy("lang", "t", "n", "last").agg(F.count(F.lit(1)).alias("c"))
+    t, n = _BARE(F.col("t")), _BARE(F.col("n"))
+    case = F.when(F.col("last"), "end").when(n.rlike(r"^\p{Ll}"), "lower").when(n.rlike(r"^\p{Lu}"), "upper").when(n.rlike(r"^\p{N}"), "digit").otherwise("other")
+    period = t.rlike(r"[^.]\.$")
+    type_of = lambda x: F.lower(F.regexp_replace(x, r"\.$", ""))
+    rows = told.select("lang", type_of(t).alias("type"), period.alias("period"), F.when(period, type_of(n)).alias("next_type"), F.when(period, case).alias("next_case"), "c")
+    return rows.filter(F.col("type").rlike(r"\p{L}")).groupBy("lang", "type", "period", "next_type", "next_case").agg(F.sum("c").alias("c"))
+
+
+#: What a quotation is surely followed by when it ends with a comma or a small letter follows: words of who speaks, up to a mark.
+_CLOSE = "\"”“’»«›‹」』"
+_SAID = rf"(?:[,，][\"”’»«›‹」』]|(?<=[!?！？])[{_CLOSE}](?=\s\p{{Ll}}))[ ]?([^{_CLOSE}„‘「『.,;:!?…。，；：！？]+)"
+_UNSURE = rf"[.!?！？。…][{_CLOSE}][ ]?(?!\p{{Ll}})([^{_CLOSE}„‘「『.,;:!?…。，；：！？]+)"
+_CLAUSE = r"([㐀-鿿]{2})(?=[。，！？])"
 
 
-def learn_periods(texts: DataFrame, max_types: int = MAX_TYPES) -> dict[str, Periods]:
-    """Statistics of ``texts`` (lang, text) over all rows; null texts and languages are left out.
+def speech_words(texts: DataFrame, types: DataFrame) -> DataFrame:
+    """(lang, word) that tell who speaks: far more often after a quotation that surely goes on than elsewhere.
 
-    Only types above a share of all tokens of their language reach the driver, at most ``max_types`` per kind of
-    statistic and language, whatever the size of the corpus.
+    In scripts without blanks the last two characters of a clause stand for the word.
     """
-    told = token_pairs(texts.filter("lang IS NOT NULL AND text IS NOT NULL"))
-    # only what stands over a period is needed pair by pair; written once, as everything below reads it
-    told = told.withColumn("next_type", F.when(F.col("period"), F.col("next_type"))).withColumn("next_case", F.when(F.col("period"), F.col("next_case")))
-    pairs = materialize(told.groupBy("lang", "type", "period", "next_type", "next_case").agg(F.count(F.lit(1)).alias("c")), "p7-pairs")
-    weigh = lambda on: F.coalesce(F.sum(F.when(on, F.col("c"))), F.lit(0))
-    types = pairs.groupBy("lang", "type").agg(
-        F.sum("c").alias("n"),
-        weigh(F.col("period")).alias("with"),
-        F.approx_count_distinct("next_type").alias("followers"),
-        *[weigh(F.col("next_case") == c).alias(c) for c in ("lower", "upper", "digit", "end")],
-    )
-    totals = {r.lang: r for r in types.groupBy("lang").agg(F.sum("n").alias("n"), F.sum("with").alias("with"), F.sum("end").alias("end"), F.sum("upper").alias("upper")).collect()}
-    total = F.create_map(*[F.lit(x) for k, r in totals.items() for x in (k, r["with"])]) if totals else F.create_map().cast("map<string,bigint>")
-    bound = F.coalesce(F.try_element_at(total, F.col("lang")), F.lit(0))
-    rows = types.filter((F.col("with") > 0) & (F.col("with") * max_types > bound) & (F.length("type") <= 24)).toPandas()
-    out = {lang: Periods() for lang in totals}
-    if rows.empty:
-        return out
-    for lang, t in rows.groupby("lang"):
-        all_n, all_with, all_end = (float(totals[lang][c] or 0) for c in ("n", "with", "end"))
-        inner_dots = t.type.str.count(r"\.").to_numpy()
-        letters = t.type.str.len().to_numpy() - inner_dots
-        without = (t.n - t["with"]).to_numpy(float)
-        rate = all_with / max(all_n, 1)
-        ll = _llr(t["with"].to_numpy(float), t.n.to_numpy(float), all_with - t["with"].to_numpy(float), all_n - t.n.to_numpy(float))
-        # shares in place of counts, and evidence per so many tokens, keep the score alike at every size of corpus
-        score = np.where(t["with"] / t.n > rate, ll * min(1.0, EVIDENCE / all_n), 0) * np.exp(-letters) * (inner_dots + 1) * np.power(np.maximum(letters, 1.0), -20 * without / t.n)
-        # a word that merely stands at sentence ends also ends texts and is never followed by a small letter or number
-        expected_end = t["with"] * all_end / max(all_with, 1)
-        inside = (t.lower + t.digit) / t["with"] >= 0.1
-        never_last = (t.end <= 0.1 * expected_end) & (expected_end >= 2) & (t.followers >= 3)
-        single = t.type.str.fullmatch(r"[^\W\d_]")
-        abbreviation = (score >= ABBREVIATION) & (inside | never_last) | (inner_dots > 0) & (t.upper + t.lower + t.digit + t.end > 0) & ~t.type.str.contains(r"\.\.|\d") & (letters <= 2 * (inner_dots + 1)) | single
-        ends_too = inside & (t.upper + t.end > 0) & ~never_last | (inner_dots > 0) & ~inside & (t.end > 0.1 * expected_end)
-        p = out[lang]
-        p.final = set(t.type[abbreviation & ends_too & ~single])
-        p.inner = set(t.type[abbreviation]) - p.final
-    known = F.create_map(*[F.lit(x) for k, v in out.items() for x in (k, F.array(*[F.lit(w) for w in sorted(v.inner | v.final)]).cast("array<string>"))]) if out else None
-    after = pairs.filter("period AND next_type <> ''").withColumn("abbreviation", F.coalesce(F.array_contains(F.try_element_at(known, F.col("lang")), F.col("type")), F.lit(False)))
-    for r in after.filter("NOT abbreviation AND next_case = 'upper'").groupBy("lang", "next_type").agg(F.sum("c").alias("k")).join(
-        types.select("lang", F.col("type").alias("next_type"), "n"), ["lang", "next_type"]
-    ).filter(F.col("k") * max_types > bound).collect():
-        t = totals[r.lang]
-        breaks = float(t["with"])
-        if r.k / breaks > (r.n - r.k) / max(t["n"] - breaks, 1) and _llr(float(r.k), breaks, float(r.n - r.k), float(t["n"]) - breaks) >= STARTER:
-            out[r.lang].starters.add(r.next_type)
-    # pairs over a period before a capital, against how often that word follows any period
+
+    def after(pattern: str, name: str) -> DataFrame:
+        said = texts.select("lang", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("s"))
+        words = F.filter(F.split("s", " "), lambda w: w.rlike(r"^\p{Ll}{2,}$"))
+        endings = F.when(F.col("s").rlike("[㐀-鿿]{2}$"), F.array(F.right("s", F.lit(2)))).otherwise(words)
+        return said.select("lang", F.explode(endings).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias(name))
+
+    sure, unsure = after(_SAID, "k"), after(_UNSURE, "u")
+    clauses = texts.select("lang", F.explode(F.regexp_extract_all("text", F.lit(_CLAUSE), F.lit(1))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    known = types.select("lang", F.col("type").alias("word"), "n").unionByName(clauses).groupBy("lang", "word").agg(F.max("n").alias("n"))
+    n1 = sure.groupBy("lang").agg(F.sum("k").cast("double").alias("n1"))
+    n2 = known.groupBy("lang").agg(F.sum("n").cast("double").alias("n2"))
+    # what stands after a quotation that may have ended tells nothing
+    found = sure.join(known, ["lang", "word"]).join(unsure, ["lang", "word"], "left").withColumn("n", F.greatest(F.col("n") - F.coalesce("u", F.lit(0)), F.col("k"))).join(F.broadcast(n1), "lang").join(F.broadcast(n2), "lang")
+    k, n = F.col("k").cast("double"), F.col("n").cast("double")
+    return found.filter((k >= SPEECH_SHARE * n) & (k / F.col("n1") > (n - k) / F.col("n2")) & (_llr(k, F.col("n1"), n - k, F.col("n2") - F.col("n1")) >= STARTER)).select("lang", "word")
+
+
+def learn_periods(texts: DataFrame) -> DataFrame:
+    """(lang, kind, word, next) of all that ``texts`` (lang, text) tell; null texts and languages are left out.
+
+    Kinds: ``inner`` abbreviations never end a sentence before a capital, ``final`` ones may; ``starter``; ``collocation``
+    of an abbreviation with ``next``; ``speech``. Counts cover all rows; nothing is cut for being rare or long.
+    """
+    texts = texts.filter("lang IS NOT NULL AND text IS NOT NULL")
+    pairs = materialize(token_pairs(texts), "p7-pairs")
+    weigh = lambda on: F.coalesce(F.sum(F.when(on, F.col("c"))), F.lit(0)).cast("double")
+    cases = ("lower", "upper", "digit", "end")
+    types = materialize(pairs.groupBy("lang", "type").agg(
+        F.sum("c").cast("double").alias("n"), weigh(F.col("period")).alias("with"), F.count_distinct("next_type").alias("followers"), *[weigh(F.col("next_case") == c).alias(c) for c in cases]
+    ), "p7-types")
+    totals = types.groupBy("lang").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "with", "end", "upper")])
+    t = types.filter(F.col("with") > 0).join(F.broadcast(totals), "lang")
+    c = F.col
+    dots = F.length("type") - F.length(F.replace("type", F.lit("."), F.lit("")))
+    letters = F.length("type") - dots
+    ll = _llr(c("with"), c("n"), c("all_with") - c("with"), c("all_n") - c("n"))
+    # the published score, of evidence per so many tokens, where the evidence at hand is no accident
+    score = F.when((c("with") / c("n") > c("all_with") / c("all_n")) & (ll >= COLLOCATION), ll * F.least(F.lit(1.0), EVIDENCE / c("all_n"))).otherwise(0.0)
+    score = score * F.exp(-letters.cast("double")) * (dots + 1) * F.pow(F.greatest(letters, F.lit(1)).cast("double"), -20 * (c("n") - c("with")) / c("n"))
+    # a word that merely stands at sentence ends also ends texts and is never followed by a small letter or number
+    expected = c("with") * c("all_end") / F.greatest(c("all_with"), F.lit(1.0))
+    inside = (c("lower") + c("digit")) / c("with") >= 0.1
+    never_last = (c("end") <= 0.1 * expected) & (expected >= 2) & (c("followers") >= 3)
+    single = c("type").rlike(r"^\p{L}$")
+    dotted = (dots > 0) & (c("upper") + c("lower") + c("digit") + c("end") > 0) & ~c("type").rlike(r"\.\.|\p{N}") & (letters <= 2 * (dots + 1))
+    ends_too = ~single & (inside & (c("upper") + c("end") > 0) & ~never_last | (dots > 0) & ~inside & (c("end") > 0.1 * expected))
+    known = t.filter((score >= ABBREVIATION) & (inside | never_last) | dotted | single).select("lang", F.when(ends_too, "final").otherwise("inner").alias("kind"), F.col("type").alias("word"))
+    known = materialize(known, "p7-abbreviations")
+    after = pairs.filter("period AND next_type <> ''")
+    short = known.select("lang", F.col("word").alias("type"))
+    first = after.filter("next_case = 'upper'").join(short, ["lang", "type"], "left_anti").groupBy("lang", F.col("next_type").alias("type")).agg(F.sum("c").cast("double").alias("k"))
+    s = first.join(types.select("lang", "type", "n"), ["lang", "type"]).join(F.broadcast(totals), "lang")
+    rest = F.greatest(c("n") - c("k"), F.lit(0.0))
+    starters = s.filter((c("k") / c("all_with") > rest / F.greatest(c("all_n") - c("all_with"), F.lit(1.0))) & (_llr(c("k"), c("all_with"), rest, c("all_n") - c("all_with")) >= STARTER)).select("lang", F.col("type").alias("word"))
+    # pairs over the period of an abbreviation before a capital, against how often that word follows any period
     capitals = after.filter("next_case = 'upper'")
-    firsts = capitals.groupBy("lang", "next_type").agg(F.sum("c").alias("b"))
-    totals_upper = {k: float(r["upper"] or 0) for k, r in totals.items()}
-    pairs_k = capitals.filter("abbreviation").groupBy("lang", "type", "next_type").agg(F.sum("c").alias("k"))
-    for r in pairs_k.join(types.select("lang", "type", F.col("upper").alias("a")), ["lang", "type"]).join(firsts, ["lang", "next_type"]).filter(F.col("k") * max_types > bound).collect():
-        n = totals_upper[r.lang]
-        if r.k > 1 and r.k >= COLLOCATION_SHARE * r.a and r.k / r.a > r.b / n and _llr(float(r.k), float(r.a), float(r.b - r.k), n - r.a) >= COLLOCATION:
-            out[r.lang].collocations.add((r.type, r.next_type))
-    return out
+    firsts = capitals.groupBy("lang", "next_type").agg(F.sum("c").cast("double").alias("b"))
+    spans = capitals.join(short, ["lang", "type"], "left_semi").groupBy("lang", "type", "next_type").agg(F.sum("c").cast("double").alias("k"))
+    p = spans.join(types.select("lang", "type", F.col("upper").alias("a")), ["lang", "type"]).join(firsts, ["lang", "next_type"]).join(F.broadcast(totals), "lang")
+    collocations = p.filter((c("k") > 1) & (c("k") >= COLLOCATION_SHARE * c("a")) & (c("k") / c("a") > c("b") / c("all_upper")) & (_llr(c("k"), c("a"), c("b") - c("k"), c("all_upper") - c("a")) >= COLLOCATION))
+    none = F.lit(None).cast("string").alias("next")
+    facts = known.select("lang", "kind", "word", none).unionByName(starters.select("lang", F.lit("starter").alias("kind"), "word", none))
+    facts = facts.unionByName(collocations.select("lang", F.lit("collocation").alias("kind"), F.col("type").alias("word"), F.col("next_type").alias("next")))
+    return materialize(facts.unionByName(speech_words(texts, types).select("lang", F.lit("speech").alias("kind"), "word", none)), "p7-facts")
+
+
+def periods_of(facts) -> Periods:
+    """Rows (kind, word, next) as sets."""
+    p = Periods()
+    into = {"inner": p.inner, "final": p.final, "starter": p.starters, "speech": p.speech}
+    for f in facts if facts is not None else ():
+        if f["kind"] == "collocation":
+            p.collocations.add((f["word"], f["next"]))
+        else:
+            into[f["kind"]].add(f["word"])
+    return p
+
+
+def facts_of(spark: SparkSession, periods: dict[str, Periods]) -> DataFrame:
+    """Sets that are given by hand as a table of facts."""
+    rows = []
+    for lang, p in periods.items():
+        for kind, words in (("inner", p.inner), ("final", p.final), ("starter", p.starters), ("speech", p.speech)):
+            rows += [(lang, kind, w, None) for w in sorted(words)]
+        rows += [(lang, "collocation", a, b) for a, b in sorted(p.collocations)]
+    return spark.createDataFrame(rows, "lang string, kind string, word string, next string")
 
 
-#: Verbs of saying, which tell the words around a quotation from a new sentence.
-SAY = {
-    "de": "sagte fragte rief flüsterte murmelte antwortete erwiderte schrie brüllte meinte",
-    "en": "said asked cried whispered muttered called replied answered shouted murmured exclaimed",
-    "zh": "说道 问道 喊道 低声说 嘟囔道 叫道 答道 回答",
-}
 _OPEN = {"„": "“", "‚": "‘", "“": "”", "‘": "’", "»": "«", "›": "‹", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "《": "》", "〈": "〉"}
 _CLOSERS = set("“”’‘»«›‹」』)）]》〉\"'")
 _TITLES = set("《〈")
 _BRACKETS = set("(（[")
 _MARKS = set(".!?…。！？")
 _HAN = re.compile(r"[㐀-鿿]")
-_NOISE = re.compile(r"^(?:[\s\x80-\x9f]*(?:[-–—\[(·*]*\s*\d{1,4}\s*[-–—\])·*]*)(?=[\s\x80-\x9f]))?[\s\x80-\x9f]*")
+_BLANKS = re.compile(r"\s*")
+_NOISE = re.compile(r"(?:[\s\x80-\x9f]*(?:[-–—\[(·*]*\s*\d{1,4}\s*[-–—\])·*]*)(?=[\s\x80-\x9f]))?[\s\x80-\x9f]*")
 #: Page leftovers that can stand between a quotation and the words of saying.
 _LEFTOVER = re.compile(r"[\x80-\x9f]+\s*\d*\s*[\x80-\x9f]*|(?:\b\w\s+){3,}\w\b|(?<!\w)\d{1,4}(?!\w)|(?<=\w)[-‐¬\xad]\s+(?=[a-zäöüß])")
-_AFTER_ZH = re.compile(rf"[^，。！？：；“”「」（）《》\s]{{1,24}}?(?:{'|'.join(sorted(SAY['zh'].split(), key=len, reverse=True))})[。，,.]")
-#: Letters that scanning confuses, folded to one of them.
-_FOLD = (("rn", "m"), ("cl", "d"), ("ii", "u"), ("vv", "w"), ("c", "e"), ("1", "i"), ("l", "i"), ("u", "n"), ("h", "b"), ("f", "t"), ("0", "o"), ("5", "s"))
-
-
-def _fold(word: str) -> str:
-    for a, b in _FOLD:
-        word = word.replace(a, b)
-    return word
-
-
-_SAY_EN = {_fold(w) for w in SAY["en"].split()}
+_UP_TO_MARK = re.compile(r"[^.!?…。！？，,;:；：“”„»«「」‘’\"]*")
+_FIRST_WORD = re.compile(r"[\"'„“‚‘»›「『(（\[《]*([\w-]+)")
 
 
-def _said_after(rest: str, lang: str) -> bool:
+def _said_after(t: str, at: int, periods: Periods) -> bool:
     """Do the words after a quotation, which begin like a sentence, say who spoke it rather than start anew?"""
-    rest = re.sub(r"\s+", " ", _LEFTOVER.sub("", rest)).lstrip()
-    if lang == "zh":
-        return bool(_AFTER_ZH.match(rest))
-    if lang != "en":
-        return False
-    m = re.match(r"(?:(?:Dr|Mr|Mrs|Prof)\.? )?", rest)
-    words = re.finditer(r"([\w-]+)([^\w\s-]*)(\s*[“‘\"]?)", rest[m.end() :])
-    for k, w in zip(range(5), words):
-        if k and w.group(1)[0].islower() and _fold(w.group(1)) in _SAY_EN:
-            return not (w.group(2) == "," and w.group(3).strip())  # else it leads to the next quotation
-        if w.group(2):
-            return False
+    while True:
+        m = _UP_TO_MARK.match(t, at)
+        clause = re.sub(r"\s+", " ", _LEFTOVER.sub("", m.group())).strip()
+        if t[m.end() : m.end() + 1] == "." and clause.rsplit(" ", 1)[-1].lower() in periods.inner and clause:
+            at = m.end() + 1  # an abbreviation before a name
+            continue
+        break
+    if _HAN.match(clause[-1:]):
+        return clause[-2:] in periods.speech and t[m.end() : m.end() + 1] in ("。", "，", ".", ",")
+    leads_on = t[m.end() : m.end() + 1] == "," and re.match(r"\s*[“‘\"]", t[m.end() + 1 : m.end() + 4])
+    words = clause.split(" ")
+    for k, w in enumerate(words):
+        if w in periods.speech:
+            return not (leads_on and k == len(words) - 1)  # else it leads to the next quotation
     return False
 
 
@@ -215,14 +243,10 @@ def boundaries(text: str, lang: str, periods: Periods) -> list[int]:
     m = re.match(r"\s*", t)
     start = m.end()
 
-    def next_text(i: int) -> tuple[int, str]:
-        """Where the next text begins, noise of pages skipped, and some of it."""
-        j = i + _NOISE.match(t[i : i + 40]).end()
-        return j, t[j : j + 90]
-
-    def capital(s: str) -> bool:
-        s = s.lstrip("\"'„“‚‘»›「『(（[《")
-        return bool(s) and (s[0].isupper() or bool(_HAN.match(s[0])) or s[0].isdigit() or bool(re.match(r"l[mn]\s", s)))
+    def capital(j: int) -> bool:
+        """Can the text from there on start a sentence, with a capital, a number or a script without cases?"""
+        w = _FIRST_WORD.match(t, j)
+        return bool(w) and (w.group(1)[0].isupper() or bool(_HAN.match(w.group(1)[0])) or w.group(1)[0].isdigit())
 
     i = start
     while i < n:
@@ -230,9 +254,9 @@ def boundaries(text: str, lang: str, periods: Periods) -> list[int]:
         if c == "\n":
             line = t[start:i].strip()
             hyphen = line[-1:] in ("-", "‐", "¬", "\xad", "")
-            if line and not hyphen and not stack and start == m.end() and not out and line[-1] not in _MARKS | _CLOSERS and len(line) <= 120 and t[i + 1 :].strip():
+            if line and not hyphen and not stack and start == m.end() and not out and line[-1] not in _MARKS | _CLOSERS and not re.search(r"[,;:，；：、]", line) and (k := _BLANKS.match(t, i).end()) < n and capital(k):
                 out.append(ends[start + len(t[start:i].rstrip()) - 1])
-                start = i + 1 + (len(t[i + 1 :]) - len(t[i + 1 :].lstrip()))
+                start = k
                 i = start
                 continue
             i += 1
@@ -260,11 +284,11 @@ def boundaries(text: str, lang: str, periods: Periods) -> list[int]:
             k += 1
         closed = k > j
         last_opened = opened if closed else None
-        at, rest = next_text(k)
+        at = _NOISE.match(t, k).end()
         i = k
         if at >= n:
             break
-        if not _is_end(t, run, i - (k - j) - len(run), j, k, at, rest, lang, periods, start, capital):
+        if not _is_end(t, run, j - len(run), j, k, at, lang, periods, start, capital):
             continue
         # inside a bracket or a title nothing ends
         if any(o in _BRACKETS or o in _TITLES for o, _ in stack):
@@ -278,20 +302,20 @@ def boundaries(text: str, lang: str, periods: Periods) -> list[int]:
                     continue
             elif before and before[-1] not in ":：,，":
                 # a quotation inside a sentence: it ends the sentence only where a new one clearly starts
-                if lang == "zh" or not capital(rest):
+                if lang == "zh" or not capital(at):
                     continue
             if last_opened[0] not in _BRACKETS and not stack:
-                if not before and _said_after(rest, lang):
+                if not before and _said_after(t, at, periods):
                     continue
         out.append(ends[k - 1])
         start = at if at <= n else k
         if start > k and t[k:start].strip(" \n\t　"):
-            start = k + (len(t[k:]) - len(t[k:].lstrip()))
+            start = _BLANKS.match(t, k).end()
         i = k
     return out
 
 
-def _is_end(t, run, i, j, k, at, rest, lang, periods, start, capital) -> bool:
+def _is_end(t, run, i, j, k, at, lang, periods, start, capital) -> bool:
     """Does the run of marks t[i:j], with closers up to k, end a sentence, given what comes after?"""
     space = not t[k : k + 1].strip() or "\x80" <= t[k] <= "\x9f"
     if not space and run == "." and t[k].isdigit():
@@ -303,57 +327,73 @@ def _is_end(t, run, i, j, k, at, rest, lang, periods, start, capital) -> bool:
             return run[-1] in "。！？"
         before = t[i - 1 : i]
         if run == ".":
-            return bool(_HAN.match(before) or before in "”」）》" or (before.isdigit() and space)) and not re.match(r"[0-9]", t[j : j + 1]) and bool(capital(rest))
+            return bool(_HAN.match(before) or before in "”」）》" or (before.isdigit() and space)) and not re.match(r"[0-9]", t[j : j + 1]) and bool(capital(at))
         return not before.isascii() or space
-    if not capital(rest):
+    if not capital(at):
         return False
     if run != ".":
         if run.startswith(".") and set(run) == {"."} or run.startswith("…"):
-            return not rest[0].isdigit()
-        return space or rest[0].isalpha() or rest[0] in "\"'„“‚‘»›("
-    word = re.search(r"[^\s\"'„“”‚‘’»«()\[\]—–]+$", t[max(start, i - 40) : i])
+            return not t[at].isdigit()
+        return space or t[at].isalpha() or t[at] in "\"'„“‚‘»›("
+    word = re.search(r"[^\s\"'„“”‚‘’»«()\[\]—–]+$", t[start:i])
     token = word.group().lower() if word else ""
     if not space and k == j:  # no blank after the period: only a whole word before and a capital behind
-        return rest[0].isupper() and len(token) > 2 and "." not in token and token.isalpha() and token not in periods.inner
+        return t[at].isupper() and len(token) > 2 and "." not in token and token.isalpha() and token not in periods.inner
     if not token or k > j:
         return True
-    following = re.match(r"[\w-]+", rest.lstrip("\"'„“‚‘»›(["))
-    after = following.group().lower() if following else ""
+    following = _FIRST_WORD.match(t, at)
+    after = following.group(1).lower() if following else ""
     if token.isdigit():
         return not (lang == "de" and len(token) <= 2 and after not in periods.starters) and not after.isdigit()
-    if len(token) == 1 and token.isalpha() and rest[0].isupper():
+    if len(token) == 1 and token.isalpha() and t[at].isupper():
         return False
     if token in periods.final:
         if (token, after) in periods.collocations and after not in periods.starters:
             return False
         words = [w for w in re.findall(r"[^\W\d_]{2,}", t[start:i])]
         return len(words) >= 2
-    if token in periods.inner:
-        return False
-    return True
+    return token not in periods.inner and token.rsplit(".", 1)[-1] not in periods.inner
 
 
-def sentence_ends(df: DataFrame, periods: dict[str, Periods], lang: str = "lang", text: str = "text", out: str = "ends") -> DataFrame:
+def sentence_ends(df: DataFrame, facts: DataFrame | dict[str, Periods], lang: str = "lang", text: str = "text", out: str = "ends") -> DataFrame:
     """Add ``out`` array<int>: ends of the sentences that another sentence follows in the same text.
 
     Null, empty and blank texts have none; an unknown or null language is read with the rules of spaces and without
-    statistics. Rows are kept as they are, repeated ones too.
+    statistics. Rows are kept as they are, repeated ones too; an existing ``out`` is replaced. The rows are written
+    once with a number, by which what is known of their words is joined to them.
     """
-    shared = df.sparkSession.sparkContext.broadcast(periods)
+    if isinstance(facts, dict):
+        facts = facts_of(df.sparkSession, facts)
+    clash = "_" * max(map(len, df.columns))
+    row, told, form = f"row{clash}", f"told{clash}", f"form{clash}"
+    numbered = materialize(df.withColumns({row: F.monotonically_increasing_id(), form: form_of(text)}), "p7-rows")
+    tokens = _tokens(numbered.filter(F.length(text) > 0).select(row, F.col(lang).alias("lang"), form), form, row, "lang", where=lambda x: x["t"].rlike(r"[.!?…]"))
+    low = lambda c: F.lower(F.regexp_replace(_BARE(F.col(c)), r"\.$", ""))
+    # of words stuck together by a missing blank the last one counts, too
+    asked = tokens.select(row, "lang", F.explode(F.array(
+        F.struct(F.lit("word").alias("as"), low("t").alias("word"), low("n").alias("next")), F.struct(F.lit("word").alias("as"), F.substring_index(low("t"), ".", -1).alias("word"), low("n").alias("next")), F.struct(F.lit("first").alias("as"), low("n").alias("word"), F.lit(None).cast("string").alias("next"))
+    )).alias("a")).select(row, "lang", "a.*")
+    within = F.col(form).rlike(f"[{_CLOSE}]")
+    said = numbered.filter(within).select(row, F.col(lang).alias("lang"), F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace(form, r"(?<=\p{L})[-‐¬]\s+(?=\p{Ll})", ""), F.lit(r"(?<![\p{L}])\p{Ll}{2,}(?![\p{L}])|[㐀-鿿]{2}(?=[。，.,])"), F.lit(0)))).alias("word"))
+    asked = asked.unionByName(said.select(row, "lang", F.lit("said").alias("as"), "word", F.lit(None).cast("string").alias("next"))).filter("word <> ''").distinct()
+    kinds = F.when(F.col("kind").isin("inner", "final", "collocation"), "word").when(F.col("kind") == "starter", "first").otherwise("said")
+    known = facts.select("lang", "kind", F.col("word").alias("w"), F.col("next").alias("nx"), kinds.alias("as"))
+    found = asked.join(known.withColumnRenamed("w", "word"), ["lang", "as", "word"]).filter(F.col("nx").isNull() | (F.col("nx") == F.col("next")))
+    gathered = found.groupBy(row).agg(F.collect_set(F.struct("kind", "word", F.col("nx").alias("next"))).alias(told))
 
     @F.pandas_udf("array<int>")
-    def ends(langs: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([boundaries(t, x or "", shared.value.get(x, Periods())) if t else [] for x, t in zip(langs, texts)])
+    def ends(langs: pd.Series, texts: pd.Series, facts: pd.Series) -> pd.Series:
+        return pd.Series([boundaries(t, x or "", periods_of(f)) if t else [] for x, t, f in zip(langs, texts, facts)])
 
-    return df.withColumn(out, ends(F.col(lang), F.col(text)))
+    return numbered.join(gathered, row, "left").withColumn(out, ends(F.col(lang), F.col(text), F.col(told))).select(*[c for c in df.columns if c != out], out)
 
 
-def sentence_units(df: DataFrame, periods: dict[str, Periods], lang: str = "lang", text: str = "text") -> DataFrame:
+def sentence_units(df: DataFrame, facts: DataFrame | dict[str, Periods], lang: str = "lang", text: str = "text") -> DataFrame:
     """One row per sentence: the columns of ``df`` with ``sentence`` (its ordinal from 1) and ``sentence_text``.
 
     Blank texts make no sentence. Texts joined in order, with the blanks between them, are the text again.
     """
-    cut = sentence_ends(df, periods, lang, text, "_ends")
+    cut = sentence_ends(df, facts, lang, text, "_ends")
     bounds = F.concat(F.array(F.lit(0)), F.col("_ends"), F.array(F.length(text)))
     spans = F.transform(F.sequence(F.lit(1), F.size("_ends") + 1), lambda i: C.strip(F.substring(F.col(text), F.element_at(bounds, i) + 1, F.element_at(bounds, i + 1) - F.element_at(bounds, i))))
     return (

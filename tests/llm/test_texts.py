@@ -72,7 +72,8 @@ def test_thresholds():
 
 
 DE = T.Periods(inner={"dr", "nr", "st", "ca", "prof"}, final={"usw"}, starters={"der"})
-EN = T.Periods(inner={"mr", "dr", "e.g"}, final={"etc", "p.m"}, starters={"the"})
+EN = T.Periods(inner={"mr", "dr", "e.g"}, final={"etc", "p.m"}, starters={"the"}, speech={"cried", "asked"})
+ZH = T.Periods(speech={"问道", "说道"})
 
 
 @pytest.mark.parametrize("lang, sentences", [
@@ -95,7 +96,7 @@ def test_boundaries(lang, sentences):
     for s in sentences[:-1]:
         ends.append(at + len(s.rstrip()))
         at += len(s) + len(join)
-    assert T.boundaries(text, lang, {"de": DE, "en": EN}.get(lang, T.Periods())) == ends
+    assert T.boundaries(text, lang, {"de": DE, "en": EN, "zh": ZH}[lang]) == ends
 
 
 def test_heading_and_invisible_characters():
@@ -103,15 +104,45 @@ def test_heading_and_invisible_characters():
     assert T.boundaries("Er kam bes-\nonders spät.", "de", DE) == []
 
 
+def learned(spark, rows):
+    facts = T.learn_periods(spark.createDataFrame(rows, "lang string, text string")).collect()
+    return {lang: T.periods_of([f for f in facts if f.lang == lang]) for lang in {f.lang for f in facts}}
+
+
 def test_learning(spark):
     names, verbs = ["Merlo", "Tavik", "Zirbel", "Dorle", "Hasko", "Sanne"], ["kam", "ging", "schlief", "sang"]
     rows = []
     for i in range(600):
         a, b, v = names[i % 6], names[(i * 5 + 1) % 6], verbs[i % 4]
         rows.append(("de", f"Herr Dr. {a} {v} heute. Bald {v} {b} nach Hause. Der Hund {v} dort mit ca. {i} Leuten."))
-    p = T.learn_periods(spark.createDataFrame([*rows, ("de", None), (None, "Dr. x")], "lang string, text string"))["de"]
+    p = learned(spark, [*rows, ("de", None), (None, "Dr. x")])["de"]
     assert {"dr", "ca"} <= p.inner | p.final and not {"heute", "hause"} & (p.inner | p.final) and "bald" in p.starters
-    assert T.learn_periods(spark.createDataFrame([], "lang string, text string")) == {}
+    assert learned(spark, []) == {}
+
+
+def test_words_of_who_speaks_are_learned(spark):
+    rows = []
+    for i in range(200):
+        rows += [("en", f"“Take it,” said the cook. “Who is there {i}?” asked Merlo. “Stop!” Tavik ran away. The cook said nothing. Near the house the cook met the other cook and the cook of the inn."), ("zh", f"“好，”梅罗说道。“谁？”多尔勒喊道。他走了。“{i}，”她喊道。")]
+    facts = learned(spark, rows)
+    assert {"said", "asked"} <= facts["en"].speech and not {"ran", "the", "cook"} & facts["en"].speech
+    assert {"说道", "喊道"} <= facts["zh"].speech and "走了" not in facts["zh"].speech
+    assert T.boundaries("“Stop!” Merlo asked. He ran.", "en", facts["en"]) == [20] and T.boundaries("“Stop!” Merlo ran. He fell.", "en", facts["en"]) == [7, 18]
+
+
+def test_collocations_and_starters_decide(spark):
+    final = T.Periods(final={"st"}, starters={"bald"})
+    text = "Er ging nach St. Trell und weiter."
+    assert T.boundaries(text, "de", final) == [16]
+    assert T.boundaries(text, "de", T.Periods(final={"st"}, collocations={("st", "trell")})) == []
+    assert T.boundaries("Es war der 12. Bald kam er.", "de", final) == [14] and T.boundaries("Es war der 12. Mai und kalt.", "de", final) == []
+
+
+def test_facts_are_those_of_the_words_of_a_text(spark):
+    rows = [("a", "de", "Herr Dr. Merlo kam. Er ging."), ("b", "en", "He met Dr. Merlo. He left."), ("c", "de", "x" * 200 + " kam. " + "Und er blieb lange dort, " * 2000 + "bis Dr. Merlo ging. Ende."), ("a", "de", "Herr Dr. Merlo kam. Er ging.")]
+    df = spark.createDataFrame([(*r, [9], "w") for r in rows], "id string, lang string, text string, ends array<int>, row string")
+    got = T.sentence_ends(df, {"de": T.Periods(inner={"dr"})})
+    assert got.columns == ["id", "lang", "text", "row", "ends"] and sorted((r.id, len(r.ends)) for r in got.collect()) == [("a", 1), ("a", 1), ("b", 2), ("c", 2)]
 
 
 def test_units(spark):
