@@ -32,8 +32,8 @@ TERMINATORS = "。！？；”’》）】\"'.!?;'…)]»«"
 ORNAMENTS = "*·•◇◆■□★☆✦✧~〜§"
 SPEECH_VERBS = "说问喊叫答嚷吼道"
 #: German words that may be stuck to a neighbour in scanned text.
-FUNCTION_WORDS = tuple(
-    "der die das den dem des ein eine einen einem einer eines kein keine keinen keinem keiner keines in an auf mit bei zu von nach aus vor über unter durch ohne für um ab seit gegen trotz während wegen im am beim zum zur vom ins ans aufs übers unters fürs ich du er sie es wir ihr mich dich uns euch sich mein dein sein unser euer dieser diese dieses jener jene jenes welcher welche welches wer was und oder aber denn sondern als wenn weil damit obwohl dass ob ist war sind waren wird werden wurde wurden hat hatte haben hatten kann könnte soll muss will mag nicht auch nur schon noch immer wieder dann dort hier so ja nein".split()
-)
+FUNCTION_WORDS = (
+    "der", "die", "das", "den", "dem", "des", "ein", "eine", "einen", "einem", "einer", "eines", "kein", "keine", "keinen", "keinem", "keiner", "keines", "in", "an", "auf", "mit", "bei", "zu", "von", "nach", "aus", "vor", "über", "unter", "durch", "ohne", "für", "um", "ab", "seit", "gegen", "trotz", "während", "wegen", "im", "am", "beim", "zum", "zur", "vom", "ins", "ans", "aufs", "übers", "unters", "fürs", "ich", "du", "er", "sie", "es", "wir", "ihr", "mich", "dich", "uns", "euch", "sich", "mein", "dein", "sein", "unser", "euer", "dieser", "diese", "dieses", "jener", "jene", "jenes", "welcher", "welche", "welches", "wer", "was", "und", "oder", "aber", "denn", "sondern", "als", "wenn", "weil", "damit", "obwohl", "dass", "ob", "ist", "war", "sind", "waren", "wird", "werden", "wurde", "wurden", "hat", "hatte", "haben", "hatten", "kann", "könnte", "soll", "muss", "will", "mag", "nicht", "auch", "nur", "schon", "noch", "immer", "wieder", "dann", "dort", "hier", "so", "ja", "nein",
+)
 ALIGNMENT_TYPES_PATTERN = r"^[0-9]:[0-9]$"
 SEGMENT_ID = r"^[a-z0-9]+_[a-z]+_ch\d{2}_p\d{4}_s\d{3}$"
