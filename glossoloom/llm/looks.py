@@ -174,6 +174,11 @@ def _plain_pattern() -> re.Pattern:
     return re.compile(f"[{PLAIN}]*+")
 
 
+def is_plain(text: str) -> bool:
+    """Is every character its own image, as a glance tells? False does not say that any is not."""
+    return text.isascii() or _plain_pattern().match(text).end() == len(text)
+
+
 def _image(cluster: str) -> str:
     """The transducer's image of a cluster. Accents that are left over combine with what stands before them: such a cluster,
     in none of the table's spellings, is computed from the rule the table comes from."""
@@ -187,7 +192,7 @@ _remembered = lru_cache(1 << 16)(_image)
 
 def same_look(text: str | None) -> str | None:
     """The consistent form of a text; applying it twice changes nothing. Null stays null, empty stays empty."""
-    if not text or text.isascii() or _plain_pattern().match(text).end() == len(text):
+    if not text or is_plain(text):
         return text
     text = _cluster_pattern().sub(lambda m: _remembered(m.group()) if len(m.group()) < 16 else _image(m.group()), text)
     return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)

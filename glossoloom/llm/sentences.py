@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..session import materialize
-from .looks import form_of, mapping
+from .looks import form_of, is_plain, mapping
 
 #: Thresholds of the log-likelihood ratios, as published for unsupervised boundary detection.
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0
@@ -63,26 +63,28 @@ def _tokens(texts: DataFrame, text: str, *keep: str, where=None) -> DataFrame:
     return parts.select(*keep, F.explode(at if where is None else F.filter(at, where)).alias(clash)).select(*keep, f"{clash}.*")
 
 
-def token_pairs(texts: DataFrame) -> DataFrame:
-    """Neighbouring tokens of all texts: (lang, type, period, next_type, next_case, c); the last token has next_case 'end'.
+def token_counts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tokens of all texts: (lang, type, n) of every type, and (lang, type, next_type, next_case, c) of those with a period;
+    the last token of a text has next_case 'end'.
 
     ``type`` is lower case without outer quotes, brackets and the final period; cases are lower, upper, digit, other.
-    What follows is told only of tokens with a period. Equal tokens are counted before their letters are looked at.
+    Equal tokens are counted before their letters are looked at.
     """
-    told = _tokens(texts.filter(F.length("text") > 0), "text", "lang")
-    over = F.col("t").contains(".") & ~F.col("t").endswith(",")
-    told = told.withColumns({"n": F.when(over, F.col("n")), "last": over & F.col("last")}).groupBy("lang", "t", "n", "last").agg(F.count(F.lit(1)).alias("c"))
+    texts = texts.filter(F.length("text") > 0)
+    type_of = lambda x: F.lower(F.regexp_replace(_BARE(x), r"\.$", ""))
+    told = texts.select("lang", F.explode(F.split("text", rf"{_WS}+")).alias("t")).groupBy("lang", "t").agg(F.count(F.lit(1)).alias("c"))
+    every = told.select("lang", type_of(F.col("t")).alias("type"), "c").filter(F.col("type").rlike(r"\p{L}")).groupBy("lang", "type").agg(F.sum("c").alias("n"))
+    over = _tokens(texts, "text", "lang", where=lambda x: x["t"].contains(".") & ~x["t"].endswith(",")).groupBy("lang", "t", "n", "last").agg(F.count(F.lit(1)).alias("c"))
     t, n = _BARE(F.col("t")), _BARE(F.col("n"))
     case = F.when(F.col("last"), "end").when(n.rlike(r"^\p{Ll}"), "lower").when(n.rlike(r"^\p{Lu}"), "upper").when(n.rlike(r"^\p{N}"), "digit").otherwise("other")
-    period = t.rlike(r"[^.]\.$")
-    type_of = lambda x: F.lower(F.regexp_replace(x, r"\.$", ""))
-    rows = told.select("lang", type_of(t).alias("type"), period.alias("period"), F.when(period, type_of(n)).alias("next_type"), F.when(period, case).alias("next_case"), "c")
-    return rows.filter(F.col("type").rlike(r"\p{L}")).groupBy("lang", "type", "period", "next_type", "next_case").agg(F.sum("c").alias("c"))
+    pairs = over.filter(t.rlike(r"[^.]\.$")).select("lang", type_of(F.col("t")).alias("type"), type_of(F.col("n")).alias("next_type"), case.alias("next_case"), "c")
+    return every, pairs.filter(F.col("type").rlike(r"\p{L}")).groupBy("lang", "type", "next_type", "next_case").agg(F.sum("c").alias("c"))
 
 
 #: What a quotation is surely followed by when it ends with a comma or a small letter follows: words of who speaks, up to a mark.
 _CLOSE = "\"”“’»«›‹」』"
 _SAID = rf"(?:[,，][\"”’»«›‹」』]|(?<=[!?！？])[{_CLOSE}](?=\s\p{{Ll}}))[ ]?([^{_CLOSE}„‘「『.,;:!?…。，；：！？]+)"
+_BEHIND = rf"[{_CLOSE}]((?:[^{_CLOSE}„‘「『.!?。！？]*\.)?[^{_CLOSE}„‘「『.!?。！？]*[。.,，]?)"
 _UNSURE = rf"[.!?！？。…][{_CLOSE}][ ]?(?!\p{{Ll}})([^{_CLOSE}„‘「『.,;:!?…。，；：！？]+)"
 _CLAUSE = r"([㐀-鿿]{2})(?=[。，！？])"
 
@@ -117,12 +119,12 @@ def learn_periods(texts: DataFrame) -> DataFrame:
     of an abbreviation with ``next``; ``speech``. Counts cover all rows; nothing is cut for being rare or long.
     """
     texts = texts.filter("lang IS NOT NULL AND text IS NOT NULL")
-    pairs = materialize(token_pairs(texts), "p7-pairs")
+    every, pairs = token_counts(texts)
+    pairs = materialize(pairs, "p7-pairs")
     weigh = lambda on: F.coalesce(F.sum(F.when(on, F.col("c"))), F.lit(0)).cast("double")
     cases = ("lower", "upper", "digit", "end")
-    types = materialize(pairs.groupBy("lang", "type").agg(
-        F.sum("c").cast("double").alias("n"), weigh(F.col("period")).alias("with"), F.count_distinct("next_type").alias("followers"), *[weigh(F.col("next_case") == c).alias(c) for c in cases]
-    ), "p7-types")
+    over = pairs.groupBy("lang", "type").agg(F.sum("c").cast("double").alias("with"), F.count_distinct("next_type").alias("followers"), *[weigh(F.col("next_case") == c).alias(c) for c in cases])
+    types = materialize(every.withColumn("n", F.col("n").cast("double")).join(over, ["lang", "type"], "left").fillna(0, ["with", "followers", *cases]), "p7-types")
     totals = types.groupBy("lang").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "with", "end", "upper")])
     t = types.filter(F.col("with") > 0).join(F.broadcast(totals), "lang")
     c = F.col
@@ -141,7 +143,7 @@ def learn_periods(texts: DataFrame) -> DataFrame:
     ends_too = ~single & (inside & (c("upper") + c("end") > 0) & ~never_last | (dots > 0) & ~inside & (c("end") > 0.1 * expected))
     known = t.filter((score >= ABBREVIATION) & (inside | never_last) | dotted | single).select("lang", F.when(ends_too, "final").otherwise("inner").alias("kind"), F.col("type").alias("word"))
     known = materialize(known, "p7-abbreviations")
-    after = pairs.filter("period AND next_type <> ''")
+    after = pairs.filter("next_type <> ''")
     short = known.select("lang", F.col("word").alias("type"))
     first = after.filter("next_case = 'upper'").join(short, ["lang", "type"], "left_anti").groupBy("lang", F.col("next_type").alias("type")).agg(F.sum("c").cast("double").alias("k"))
     s = first.join(types.select("lang", "type", "n"), ["lang", "type"]).join(F.broadcast(totals), "lang")
@@ -186,6 +188,8 @@ _CLOSERS = set("“”’‘»«›‹」』)）]》〉\"'")
 _TITLES = set("《〈")
 _BRACKETS = set("(（[")
 _MARKS = set(".!?…。！？")
+#: Characters at which the reader has to decide something.
+_TELLING = re.compile("[" + re.escape("".join(sorted({"\n", *_OPEN, *_CLOSERS, *_MARKS}))) + "]")
 _HAN = re.compile(r"[㐀-鿿]")
 _BLANKS = re.compile(r"\s*")
 _NOISE = re.compile(r"(?:[\s\x80-\x9f]*(?:[-–—\[(·*]*\s*\d{1,4}\s*[-–—\])·*]*)(?=[\s\x80-\x9f]))?[\s\x80-\x9f]*")
@@ -216,6 +220,8 @@ def _said_after(t: str, at: int, periods: Periods) -> bool:
 
 def _visible(text: str) -> tuple[str, list[int]]:
     """The text without invisible characters and with one kind of space and letter, and the end of each character in it."""
+    if is_plain(text):
+        return text, range(1, len(text) + 1)
     table, chars, ends = mapping(), [], []
     for i, c in enumerate(text):
         v = table.get(c, c)
@@ -239,9 +245,7 @@ def boundaries(text: str, lang: str, periods: Periods) -> list[int]:
     n = len(t)
     out: list[int] = []
     stack: list[tuple[str, int]] = []
-    start = 0
-    m = re.match(r"\s*", t)
-    start = m.end()
+    first = start = _BLANKS.match(t).end()
 
     def capital(j: int) -> bool:
         """Can the text from there on start a sentence, with a capital, a number or a script without cases?"""
@@ -249,12 +253,13 @@ def boundaries(text: str, lang: str, periods: Periods) -> list[int]:
         return bool(w) and (w.group(1)[0].isupper() or bool(_HAN.match(w.group(1)[0])) or w.group(1)[0].isdigit())
 
     i = start
-    while i < n:
+    while m := _TELLING.search(t, i):
+        i = m.start()
         c = t[i]
         if c == "\n":
             line = t[start:i].strip()
             hyphen = line[-1:] in ("-", "‐", "¬", "\xad", "")
-            if line and not hyphen and not stack and start == m.end() and not out and line[-1] not in _MARKS | _CLOSERS and not re.search(r"[,;:，；：、]", line) and (k := _BLANKS.match(t, i).end()) < n and capital(k):
+            if line and not hyphen and not stack and start == first and not out and line[-1] not in _MARKS | _CLOSERS and not re.search(r"[,;:，；：、]", line) and (k := _BLANKS.match(t, i).end()) < n and capital(k):
                 out.append(ends[start + len(t[start:i].rstrip()) - 1])
                 start = k
                 i = start
@@ -373,8 +378,11 @@ def sentence_ends(df: DataFrame, facts: DataFrame | dict[str, Periods], lang: st
     asked = tokens.select(row, "lang", F.explode(F.array(
         F.struct(F.lit("word").alias("as"), low("t").alias("word"), low("n").alias("next")), F.struct(F.lit("word").alias("as"), F.substring_index(low("t"), ".", -1).alias("word"), low("n").alias("next")), F.struct(F.lit("first").alias("as"), low("n").alias("word"), F.lit(None).cast("string").alias("next"))
     )).alias("a")).select(row, "lang", "a.*")
-    within = F.col(form).rlike(f"[{_CLOSE}]")
-    said = numbered.filter(within).select(row, F.col(lang).alias("lang"), F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace(form, r"(?<=\p{L})[-‐¬]\s+(?=\p{Ll})", ""), F.lit(r"(?<![\p{L}])\p{Ll}{2,}(?![\p{L}])|[㐀-鿿]{2}(?=[。，.,])"), F.lit(0)))).alias("word"))
+    # words behind a closing quotation, over one period for an abbreviated title, in languages that tell by words who speaks
+    speaks = F.broadcast(facts.filter("kind = 'speech'").select("lang").distinct())
+    behind = F.regexp_extract_all(F.regexp_replace(form, r"(?<=\p{L})[-‐¬]\s+(?=\p{Ll})", ""), F.lit(_BEHIND), F.lit(1))
+    words = F.array_distinct(F.regexp_extract_all(F.array_join(behind, " "), F.lit(r"(?<![\p{L}])\p{Ll}{2,}(?![\p{L}])|[㐀-鿿]{2}(?=[。，.,])"), F.lit(0)))
+    said = numbered.filter(F.col(form).rlike(f"[{_CLOSE}]")).select(row, F.col(lang).alias("lang"), form).join(speaks, "lang", "left_semi").select(row, "lang", F.explode(words).alias("word"))
     asked = asked.unionByName(said.select(row, "lang", F.lit("said").alias("as"), "word", F.lit(None).cast("string").alias("next"))).filter("word <> ''").distinct()
     kinds = F.when(F.col("kind").isin("inner", "final", "collocation"), "word").when(F.col("kind") == "starter", "first").otherwise("said")
     known = facts.select("lang", "kind", F.col("word").alias("w"), F.col("next").alias("nx"), kinds.alias("as"))
