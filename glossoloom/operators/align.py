@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .skew import sums_before
 
 FLOOR = 0.3
 
@@ -248,9 +249,9 @@ def align_scopes(src: DataFrame, tgt: DataFrame, settings: AlignSettings = PRODU
 
 
 def numbered(records: DataFrame) -> DataFrame:
-    """Add ``align_id`` a0001... in order of scope and record; one window over the scopes' counts numbers all rows."""
+    """Add ``align_id`` a0001... in order of scope and record, from the counts of the scopes before."""
     counts = records.groupBy("scope").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("scope").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    before = sums_before(counts, ["scope"], "_n", "_before").drop("_n")
     return records.join(before, "scope").withColumn("align_id", F.format_string("a%04d", (F.col("_before") + F.col("ord")).cast("int"))).drop("_before")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -89,6 +91,12 @@ def classify_blocks(blocks: DataFrame, headers: list[str] = (), min_confidence:
     return ready.withColumn("reason", block_reason(list(headers), min_confidence, footnote_markers))
 
 
+def first_loaded(df: DataFrame, key: str, *ties: str) -> DataFrame:
+    """The first delivered row of each key, by ``loaded_at``, then by ``ties``."""
+    order = W.partitionBy(key).orderBy("loaded_at", *ties)
+    return df.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+
+
 def title_letters(c) -> Column:
     """Letters of a line without case, blanks, numbers and marks: equal for a title, its capitals and its letter-spaced form."""
     return F.lower(F.regexp_replace(C.col(c), r"[^\p{L}]", ""))
@@ -97,12 +105,12 @@ def title_letters(c) -> Column:
 def running_titles(blocks: DataFrame, pages: int = 2) -> DataFrame:
     """(book, lang, title): title_letters of single lines that stand on ``pages`` pages or more of a book.
 
-    A title begins with a capital or a Han letter, has three letters or more, at most 110 characters and no sentence
-    mark, and no digit but a number beside it.
+    A title begins with a capital or a Han letter, has three letters or more and no sentence mark, and no digit but a
+    number beside it.
     """
     line = C.strip("text")
     bare = F.regexp_replace(line, r"^\d{1,4}\s{2,}|\s{2,}\d{1,4}$", "")
-    plain = ~line.contains("\n") & (F.length(line) <= 110) & bare.rlike(r"^[\p{Lu}\p{IsHan}]") & ~bare.rlike(r"[.!?,;:…。！？，；：、“”„»«「」()（）\d-]")
+    plain = ~line.contains("\n") & bare.rlike(r"^[\p{Lu}\p{IsHan}]") & ~bare.rlike(r"[.!?,;:…。！？，；：、“”„»«「」()（）\d-]")
     rows = blocks.filter(plain).select("book", "lang", "chapter", "page", title_letters("text").alias("title")).filter(F.length("title") >= 3)
     return rows.groupBy("book", "lang", "title").agg(F.count_distinct("chapter", "page").alias("n")).filter(F.col("n") >= pages).drop("n")
 
@@ -116,11 +124,6 @@ def mark_titles(classified: DataFrame, titles: DataFrame) -> DataFrame:
     return rows.withColumn("reason", F.when(F.col("reason").isNull() & hit, "header").otherwise(F.col("reason"))).drop("_book", "_lang", "_title")
 
 
-def chapter_titles(classified: DataFrame) -> DataFrame:
-    """First header of each chapter in reading order."""
-    return classified.filter("reason = 'header'").groupBy(*CHAPTER).agg(F.min_by("norm", F.struct("page", "block_idx")).alias("chapter_title"))
-
-
 def assemble_paragraphs(blocks: DataFrame, opening_quotes: dict[str, str] | None = None, text: str = "norm") -> DataFrame:
     """Paragraphs of kept blocks: (*CHAPTER, paragraph, text, page, source_pages).
 
@@ -157,10 +160,21 @@ def clean(blocks: DataFrame, *, first_page: int | None = None, last_page: int |
 
 
 def confidence_summary(blocks: DataFrame, by: list[str], low: float = 0.6) -> DataFrame:
-    """Count, mean, upper median, low decile and number below ``low`` of recognition confidences."""
-    s = F.array_sort(F.collect_list("confidence"))
-    decile = F.try_element_at(s, F.greatest(F.lit(1), F.floor(0.1 * F.size(s)).cast("int")))
-    return blocks.groupBy(*by).agg(F.count("confidence").alias("n"), F.avg("confidence").alias("mean"), C.upper_median(F.collect_list("confidence")).alias("median"), decile.alias("p10"), F.count_if(F.col("confidence") < low).alias("low"))
+    """Count, mean, upper median, low decile and number below ``low`` of recognition confidences.
+
+    Equal confidences are counted first; places in the order are then found from running counts, so no group is gathered.
+    """
+    counts = blocks.filter(F.col("confidence").isNotNull()).groupBy(*by, "confidence").agg(F.count(F.lit(1)).alias("_c"))
+    group = W.partitionBy(*by)
+    upto = F.sum("_c").over(group.orderBy("confidence").rowsBetween(W.unboundedPreceding, 0))
+    rows = counts.withColumns({"_upto": upto, "_all": F.sum("_c").over(group)})
+    at = lambda place: F.min(F.when(F.col("_upto") > place, F.col("confidence")))
+    decile = F.greatest(F.lit(0), F.floor(0.1 * F.col("_all")) - 1)
+    mean = F.sum(F.col("confidence") * F.col("_c")) / F.sum("_c")
+    known = rows.groupBy(*by).agg(F.sum("_c").alias("n"), mean.alias("mean"), at(F.floor(F.col("_all") / 2)).alias("median"), at(decile).alias("p10"), F.coalesce(F.sum(F.when(F.col("confidence") < low, F.col("_c"))), F.lit(0)).alias("low"))
+    every = blocks.select(*by).distinct()  # groups without any confidence have none of the figures
+    met = every.join(known.withColumnsRenamed({c: f"_{c}" for c in by}), reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]), "left")
+    return met.drop(*[f"_{c}" for c in by]).fillna(0, ["n", "low"])
 
 
 def wordlist(texts: DataFrame, text: str = "text", minimum: int = 2) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import lexicons as X
+from .skew import hot_keys, skew_safe_left_join
 
 IDENTITY = ["chapter", "source_segment_id", "parse_block_id", "pp_token_start", "pp_token_end"]
 CORE = ["form", "canonical_prep", "machine_head_lemma", "decision", "corrected_head_lemma"]
@@ -39,12 +42,13 @@ def eligible_pool(occurrences: DataFrame, reviewed_chapters: tuple[int, ...] = (
     """Occurrences with ``head_lemma``, ``eligible`` and ``pool_reason``, gates in their fixed order.
 
     Contracted occurrences outside the reviewed chapters are kept when an included uncontracted one has the same
-    preposition and lemma; the distinct pairs are joined, so that a pair held by many rows costs one.
+    preposition and lemma. Rows of a pair that many hold stay where they are: see :func:`skew.skew_safe_left_join`.
     """
-    rows = first_of_identity(occurrences).withColumn("prep", C.canonical_prep("canonical_prep")).withColumn("head_lemma", head_lemma())
+    named = occurrences.withColumn("prep", C.canonical_prep("canonical_prep")).withColumn("head_lemma", head_lemma())
+    rows = first_of_identity(named)
     fits = F.coalesce(F.col("prep").isin(*prepositions), F.lit(False))
     pairs = rows.filter(fits & (F.col("form") == "uncontracted") & (F.col("decision") == "include") & F.coalesce(structural_gate(), F.lit(False))).select("prep", "head_lemma").distinct().withColumn("_paired", F.lit(True))
-    joined = rows.join(pairs, ["prep", "head_lemma"], "left")
+    joined = skew_safe_left_join(rows, pairs, ["prep", "head_lemma"], hot=hot_keys(named, ["prep", "head_lemma"]))
     reason = (
         F.when(~fits, "outside_inventory")
         .when(structural_gate().isNull(), "missing_structure")
@@ -75,13 +79,15 @@ def groups_with_both_forms(occurrences: DataFrame) -> DataFrame:
 def pick_pilot(candidates: DataFrame, per_form: int) -> DataFrame:
     """``per_form`` rows of each form by tier: firsts of minimal pairs, then author matches, then the rest, in stable order.
 
-    Ranking uses one window per form over the top rows only: each task first keeps its own best ``per_form``.
+    The first row of each pair and form is found by aggregation, and ranking keeps the best ``per_form`` of every task
+    before they meet, so a pair or form that many rows hold is never gathered. ``candidates`` holds an identity once.
     """
     key = ["chapter", "source_segment_id", "parse_block_id", "pp_token_start", "pp_token_end", "datapoint_id"]
-    pair = C.minimal_pair("canonical_prep", head_lemma())
-    both = groups_with_both_forms(candidates).select(F.col("pair").alias("_pair"), F.lit(True).alias("_both"))
-    rows = candidates.withColumn("_pair", pair).join(both, "_pair", "left")
-    first = F.row_number().over(W.partitionBy("_pair", "form").orderBy(*key)) == 1
-    rows = rows.withColumn("tier", F.when(F.coalesce("_both", F.lit(False)) & first, "minimal_pair").when(F.col("inventory_eligible"), "author_match").otherwise("stable_fill"))
+    rows = candidates.withColumn("_pair", C.minimal_pair("canonical_prep", head_lemma()))
+    both = groups_with_both_forms(candidates).select(F.col("pair").alias("_of"))
+    firsts = rows.groupBy("_pair", "form").agg(F.min(F.struct(*key)).alias("_first")).join(both, F.col("_pair") == F.col("_of"), "left_semi").select(*[F.col(f"_first.{k}").alias(f"_{k}") for k in key], F.col("form").alias("_form"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*key, "form"]]
+    rows = rows.join(firsts.withColumn("_is_first", F.lit(True)), reduce(lambda a, b: a & b, same), "left")
+    rows = rows.withColumn("tier", F.when(F.col("_is_first"), "minimal_pair").when(F.col("inventory_eligible"), "author_match").otherwise("stable_fill"))
     rank = F.when(F.col("tier") == "minimal_pair", 1).when(F.col("tier") == "author_match", 2).otherwise(3)
-    return rows.withColumn("_r", F.row_number().over(W.partitionBy("form").orderBy(rank, *key))).filter(F.col("_r") <= per_form).drop("_r", "_pair", "_both")
+    return rows.withColumn("_r", F.row_number().over(W.partitionBy("form").orderBy(rank, *key))).filter(F.col("_r") <= per_form).select(*candidates.columns, "tier")

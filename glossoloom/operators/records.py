@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
+
+from ..session import materialize
 
 #: States: start of a field, in a bare field, in a quoted field, after a quote in a quoted field, broken.
 FIELD, BARE, QUOTED, CLOSED, BROKEN = range(5)
@@ -128,35 +129,43 @@ def split_records(df: DataFrame, line: str = "line", width: int | None = None, o
 
 
 def chunk_entry_states(chunks: DataFrame, file: str = "file", no: str = "chunk_no", text: str = "text", block: int = 1024) -> DataFrame:
-    """Entry state of each chunk of each file, by composition of transition maps in two levels.
+    """Entry state of each chunk of each file, by composition of transition maps in as many levels as needed.
 
-    Chunks are grouped in blocks of ``block`` neighbours, so that no task ever holds a whole file: maps compose
-    within each block, then over the blocks of a file (a 1/``block`` of its chunks, five digits each), then entry
-    states spread within each block. Null text acts as empty. Adds ``entry_state int``.
+    ``block`` neighbours make a block, whose maps compose to one; blocks make blocks in turn until each file has one.
+    States then spread downward. A task holds the maps of one block, five digits each, whatever the size of a file,
+    and walks them once. Null text acts as empty. Adds ``entry_state int``.
     """
 
     @F.pandas_udf("string")
     def maps(s: pd.Series) -> pd.Series:
         return s.map(lambda x: "".join(map(str, transition(x or ""))))
 
-    def fold(col):
-        """Composition of an ordered array of maps as a five-digit string."""
-        def step(acc, m):
-            return F.concat(*[F.substring(m, F.substring(acc, i, 1).cast("int") + 1, 1) for i in range(1, 6)])
-        return F.aggregate(col, F.lit("01234"), step)
-
-    with_map = chunks.withColumn("_map", maps(F.col(text))).withColumn("_block", F.floor(F.col(no) / block))
-    ordered = lambda n, v: F.transform(F.array_sort(F.collect_list(F.struct(n, v))), lambda x: x[v])
-    blocks = with_map.groupBy(file, "_block").agg(fold(ordered(no, "_map")).alias("_bmap"))
-    before = W.partitionBy(file).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    entered = blocks.withColumn("_enter", fold(F.collect_list("_bmap").over(before)).substr(1, 1)).select(file, "_block", "_enter")
-    within = W.partitionBy(file, "_block").orderBy(no).rowsBetween(W.unboundedPreceding, -1)
-    local = with_map.withColumn("_local", fold(F.collect_list("_map").over(within)))
-    return (
-        local.join(entered, [file, "_block"], "left")
-        .withColumn("entry_state", F.expr("substring(_local, int(_enter) + 1, 1)").cast("int"))
-        .drop("_map", "_block", "_local", "_enter")
-    )
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Composition of the maps before each row of a block, and of all of them."""
+        pdf = pdf.sort_values("no", ignore_index=True)
+        acc, before = "01234", []
+        for m in pdf["map"]:
+            before.append(acc)
+            acc = "".join(m[int(x)] for x in acc)
+        return pdf.assign(before=before, whole=acc).drop(columns="map")
+
+    def entries(level: DataFrame, last: int) -> DataFrame:
+        """(file, no, before): the composition of all maps of a file before each of its rows."""
+        walked = level.withColumn("block", F.floor(F.col("no") / block)).groupBy("file", "block").applyInPandas(walk, f"{shape}, block bigint, before string, whole string")
+        if last < block:
+            return walked.select("file", "no", "before")
+        walked = materialize(walked, "chunk-maps")
+        above = entries(walked.select("file", F.col("block").alias("no"), F.col("whole").alias("map")).distinct(), last // block)
+        above = above.select(F.col("file").alias("_f"), F.col("no").alias("_b"), F.col("before").alias("_above"))
+        met = walked.join(above, walked["file"].eqNullSafe(above["_f"]) & (F.col("block") == F.col("_b")))
+        compose = F.concat(*[F.expr(f"substring(before, int(substring(_above, {i}, 1)) + 1, 1)") for i in range(1, 6)])
+        return met.select("file", "no", compose.alias("before"))
+
+    told = chunks.select(F.col(file).alias("file"), F.col(no).cast("bigint").alias("no"), maps(F.col(text)).alias("map"))
+    shape = f"file {told.schema['file'].dataType.simpleString()}, no bigint"
+    last = told.agg(F.max("no")).first()[0] or 0
+    found = entries(told, last).select(F.col("file").alias("_f"), F.col("no").alias("_n"), F.substring("before", 1, 1).cast("int").alias("entry_state"))
+    return chunks.join(found, F.col(file).eqNullSafe(F.col("_f")) & (F.col(no) == F.col("_n")), "left").drop("_f", "_n")
 
 
 def classify(df: DataFrame, columns: list[str], checks: dict[str, callable], line: str = "line") -> DataFrame:

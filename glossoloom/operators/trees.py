@@ -90,6 +90,29 @@ def extract_phrases(tokens, forms: tuple[str, ...], contracted: bool, determiner
     return F.aggregate(words_only(tokens), start, step, lambda s: s["out"])
 
 
+def chunk_tags(tokens) -> Column:
+    """Tokens with tags of a shallow chunker, for German words that came without: no model, only what the words show.
+
+    Prepositions of the inventory and contractions are adpositions, articles determiners, and capitals after the
+    first word nouns. Adpositions and determiners depend on the next noun as ``case`` and ``det``; where none follows, on
+    nothing. Range rows go.
+    """
+    words = words_only(tokens)
+    at = F.filter(F.transform(words, lambda t, i: F.when(t["form"].rlike(r"^\p{Lu}") & (i > 0), i + 1)), lambda i: i.isNotNull())
+
+    def tag(t, i):
+        small = F.lower(t["form"])
+        adp, det, noun = small.isin(*X.PREPOSITIONS, *X.CONTRACTIONS), small.isin(*X.DEFINITE_ARTICLES), F.array_contains(at, i + 1)
+        head = F.array_min(F.filter(at, lambda p: p > i + 1))
+        new = {
+            "id": (i + 1).cast("string"), "upos": F.when(noun, "NOUN").when(adp, "ADP").when(det, "DET").otherwise("X"), "xpos": F.when(noun, "NN").when(adp, "APPR").when(det, "ART").otherwise("XY"),
+            "head": F.when(~noun & (adp | det), F.coalesce(head.cast("string"), F.lit("0"))).otherwise("0"), "deprel": F.when(noun, "root").when(adp, "case").when(det, "det").otherwise("dep"),
+        }
+        return F.struct(*[new.get(f, t[f]).alias(f) for f in FIELDS])
+
+    return F.transform(words, tag)
+
+
 def case_phrases(tokens) -> Column:
     """Every adposition marked as case, with its head and the head's close dependents: array of structs.
 

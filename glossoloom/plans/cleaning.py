@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import lexicons as X
 from ..operators import audit, clean, segment, trees
-from ..session import read_table, ship
+from ..session import read_table
 from ..sources import files
 
 #: White space as Java and Python have it, for RE2.
 WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 ABBREVIATIONS = ("Dr.", "Prof.", "St.", "Nr.", "z. B.", "d. h.", "usw.", "ca.", "Mr.", "Mrs.", "etc.", "e.g.", "i.e.", "p.m.", "approx.")
-HEADERS = ("Der feuchte Krug", "Die krumme Küche", "The black river", "潮湿的蜡烛")
 NOTE_SIZES = (9.0, 11.0)
 OPENING = {"de": "„", "en": "“", "zh": "“"}
 
 
 def _blocks(spark, d):
-    return read_table(spark, d, "ocr_blocks").dropDuplicates(["block_id"])
+    return clean.first_loaded(read_table(spark, d, "ocr_blocks"), "block_id", "text")
+
+
+def _paragraphs(spark, d, *langs):
+    return clean.first_loaded(read_table(spark, d, "paragraphs").filter(F.col("lang").isin(*langs)), "paragraph_id", "text")
 
 
 def normalize_block(spark, d):
@@ -27,19 +31,13 @@ def normalize_block(spark, d):
     return _blocks(spark, d).select("block_id", C.normalize_block("text").alias("norm"))
 
 
-def block_reasons(spark, d):
-    """FLT-01..10, WIN-06, AGG-10: why blocks leave the body."""
-    rows = clean.classify_blocks(_blocks(spark, d), HEADERS)
-    return rows.groupBy("book", "lang", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def _classified(spark, d):
     blocks = _blocks(spark, d)
     return clean.mark_titles(clean.classify_blocks(blocks), clean.running_titles(blocks))
 
 
-def block_reasons_learned(spark, d):
-    """FLT-05 and the others of block_reasons, with the running titles of each book learned from its pages."""
+def block_reasons(spark, d):
+    """FLT-01..10, WIN-06, AGG-10: why blocks leave the body; the running titles of each book are learned from its pages."""
     rows = _classified(spark, d)
     return rows.groupBy("book", "lang", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -54,16 +52,14 @@ def indent_thresholds(spark, d):
     return clean.page_thresholds(_blocks(spark, d)).select("book", "lang", "chapter", "page", "margin", "threshold")
 
 
-def paragraph_assembly(spark, d):
-    """PRC-01, PRC-03, WIN-02, FN-04, FN-05, PRJ-21, SRT-01: paragraphs of cleaned blocks."""
-    rows = clean.clean(_blocks(spark, d), headers=HEADERS, opening_quotes=OPENING)
-    return rows.select("book", "lang", "chapter", "paragraph", "text", "page", "source_pages")
+def paragraphs_of(spark, d):
+    """Paragraphs assembled from the blocks that are kept."""
+    return clean.assemble_paragraphs(_classified(spark, d).filter("reason IS NULL"), OPENING)
 
 
-def paragraph_assembly_learned(spark, d):
-    """PRC-01 as in paragraph_assembly, with the running titles of each book learned from its pages."""
-    rows = clean.assemble_paragraphs(_classified(spark, d).filter("reason IS NULL"), OPENING)
-    return rows.select("book", "lang", "chapter", "paragraph", "text", "page", "source_pages")
+def paragraph_assembly(spark, d):
+    """PRC-01, PRC-03, WIN-02, FN-04, FN-05, PRJ-21, SRT-01: paragraphs of cleaned blocks."""
+    return paragraphs_of(spark, d).select("book", "lang", "chapter", "paragraph", "text", "page", "source_pages")
 
 
 def span_notes(spark, d):
@@ -96,15 +92,13 @@ def text_layer(spark, d):
 
 def sentence_split(spark, d):
     """FN-06, FLT-14, PRJ-01, WIN-01, MSC-03: German and English sentences with ids."""
-    rows = read_table(spark, d, "paragraphs").filter("lang IN ('de', 'en')").dropDuplicates(["paragraph_id"])
-    cut = segment.segments_of(rows, {"de": ABBREVIATIONS, "en": ABBREVIATIONS})
+    cut = segment.segments_of(_paragraphs(spark, d, "de", "en"), {"de": ABBREVIATIONS, "en": ABBREVIATIONS})
     return cut.select("id", "text")
 
 
 def zh_split(spark, d):
     """FN-07, FN-08, FLT-13, FLT-15: Chinese sentences with the quotation rule."""
-    rows = read_table(spark, d, "paragraphs").filter("lang = 'zh'").dropDuplicates(["paragraph_id"])
-    return segment.segments_of(rows).select("id", "text")
+    return segment.segments_of(_paragraphs(spark, d, "zh")).select("id", "text")
 
 
 def contracted_plain(spark, d):
@@ -131,7 +125,7 @@ def conllu_blocks(spark, d):
 
 
 def block_ordinals(spark, d):
-    """WIN-03, WIN-04, PRC-13, PRJ-03, CHK-02, AGG-11: ordinals and faults of block ids."""
+    """PRJ-03: segment and ordinal in block ids."""
     rows = read_table(spark, d, "occurrences").select(F.lit("all").alias("doc_id"), F.col("parse_block_id").alias("sent_id"), "source_segment_id").distinct()
     parts = C.block_parts("sent_id")
     return rows.select("sent_id", parts["segment"].alias("segment"), parts["ordinal"].alias("ordinal"), (parts["segment"] == F.col("source_segment_id")).alias("same_segment"))
@@ -143,48 +137,65 @@ def provenance_counts(spark, d):
     return trees.provenance_counts(rows, ["chapter"])
 
 
-#: A parsed German block with a multiword token, and an English one; all text is invented.
-PHRASES = [
-    ("de1", "# sent_id = aa_de_ch01_p0001_s001#b001\n# source_segment_id = aa_de_ch01_p0001_s001\n# text = Er ging im Haus an dem Tor.\n"
-     "1\tEr\ter\tPRON\tPPER\t_\t2\tnsubj\t_\t_\n2\tging\tgehen\tVERB\tVVFIN\t_\t0\troot\t_\t_\n3-4\tim\t_\t_\t_\t_\t_\t_\t_\t_\n3\tim\tin\tADP\tAPPR\t_\t5\tcase\t_\t_\n4\tdem\tder\tDET\tART\t_\t5\tdet\t_\t_\n5\tHaus\tHaus\tNOUN\tNN\t_\t2\tobl\t_\t_\n6\tan\tan\tADP\tAPPR\t_\t8\tcase\t_\t_\n7\tdem\tder\tDET\tART\t_\t8\tdet\t_\t_\n8\tTor\tTor\tNOUN\tNN\t_\t2\tobl\t_\t_\n9\t.\t.\tPUNCT\t$.\t_\t2\tpunct\t_\t_"),
-    ("en1", "# sent_id = aa_en_ch01_p0001_s001#b001\n# source_segment_id = aa_en_ch01_p0001_s001\n# text = He stood at the old gate.\n"
-     "1\tHe\the\tPRON\tPRP\t_\t2\tnsubj\t_\t_\n2\tstood\tstand\tVERB\tVBD\t_\t0\troot\t_\t_\n3\tat\tat\tADP\tIN\t_\t6\tcase\t_\t_\n4\tthe\tthe\tDET\tDT\t_\t6\tdet\t_\t_\n5\told\told\tADJ\tJJ\t_\t6\tamod\t_\t_\n6\tgate\tgate\tNOUN\tNN\t_\t2\tobl\t_\t_\n7\t.\t.\tPUNCT\t.\t_\t2\tpunct\t_\t_"),
-]
-
-
-def phrase_blocks(spark):
-    ship(spark)
-    return trees.parse_blocks(spark.createDataFrame(PHRASES, "key string, text string"))
+def parsed_blocks(spark, d):
+    """Blocks of the parsed documents with their tokens."""
+    docs = read_table(spark, d, "documents").filter("kind = 'parsed'")
+    return trees.parse_blocks(trees.document_blocks(docs))
 
 
 def pp_state_machine(spark, d):
-    """PRC-08, PRJ-18, FLT-30: phrases by the token state machine."""
-    rows = phrase_blocks(spark)
+    """PRC-08, PRJ-18, FLT-30, SET-01: phrases of all parsed documents by the token state machine, over shallow tags."""
+    rows = parsed_blocks(spark, d).withColumn("tokens", trees.chunk_tags("tokens"))
 
     def of_form(name, forms):
         return F.transform(trees.extract_phrases("tokens", forms, name == "contracted"), lambda p: p.withField("form", F.lit(name)))
 
     both = F.concat(of_form("contracted", tuple(X.CONTRACTIONS)), of_form("uncontracted", X.PREPOSITIONS))
-    hits = rows.select("key", "tokens", F.explode(both).alias("p"))
-    return hits.select("key", "p.form", "p.prep", "p.det", "p.noun", trees.surface("tokens", "p.prep_token_id", "p.noun_token_id").alias("surface"))
+    hits = rows.select("doc_id", "ord", "tokens", F.explode(both).alias("p"))
+    return hits.select("doc_id", "ord", "p.form", "p.prep", "p.det", "p.noun", trees.surface("tokens", "p.prep_token_id", "p.noun_token_id").alias("surface"))
 
 
 def ud_phrases(spark, d):
-    """PRC-09, JOIN-13, JOIN-14, PRJ-19, FLT-17, FLT-18: phrases by dependencies."""
-    rows = phrase_blocks(spark).select("key", F.explode(trees.case_phrases("tokens")).alias("p"))
-    return rows.select("key", "p.prep_surface", "p.head_lemma", "p.span_text", F.array_join(F.transform("p.span_token_ids", lambda i: i.cast("string")), ",").alias("ids"))
+    """PRC-09, JOIN-13, JOIN-14, PRJ-19, FLT-17, FLT-18: phrases of all parsed documents by dependencies, over shallow tags."""
+    rows = parsed_blocks(spark, d).withColumn("tokens", trees.chunk_tags("tokens")).select("doc_id", "ord", F.explode(trees.case_phrases("tokens")).alias("p"))
+    return rows.select("doc_id", "ord", "p.prep_surface", "p.head_lemma", "p.span_text", F.array_join(F.transform("p.span_token_ids", lambda i: i.cast("string")), ",").alias("ids"))
 
 
 def mwt_collapse(spark, d):
-    """PRC-10, PRC-11, SNK-03, SNK-04: multiword tokens as one, renumbered."""
-    rows = phrase_blocks(spark).withColumn("t", trees.collapse_ranges("tokens"))
-    return rows.select("key", F.array_join(F.transform("t", lambda x: F.concat_ws("/", x["id"], x["form"], x["head"])), " ").alias("tokens"))
+    """PRC-10, PRC-11, SNK-03, SNK-04: tokens of the parsed documents, multiword ones as one, renumbered."""
+    rows = parsed_blocks(spark, d).withColumn("t", trees.collapse_ranges("tokens"))
+    return rows.select("doc_id", "ord", F.array_join(F.transform("t", lambda x: F.concat_ws("/", x["id"], x["form"], x["head"])), " ").alias("tokens"))
 
 
 def char_offsets(spark, d):
-    """PRJ-20: offsets of tokens in their sentence."""
-    rows = phrase_blocks(spark).withColumn("forms", F.transform(trees.words_only("tokens"), lambda t: t["form"]))
-    return rows.select("key", trees.token_offsets("sent_text", "forms").alias("offsets"))
+    """PRJ-20: offsets of the tokens of parsed documents in their sentence."""
+    rows = parsed_blocks(spark, d).withColumn("forms", F.transform(trees.words_only("tokens"), lambda t: t["form"]))
+    return rows.select("doc_id", "ord", trees.token_offsets("sent_text", "forms").alias("offsets"))
+
+
+def block_counts(spark, d):
+    """CHK-19, MSC-04: physical blocks of a parsed document against those with tokens and those with a sentence comment."""
+    rows = parsed_blocks(spark, d)
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("physical"), F.count_if(F.size("tokens") > 0).alias("parsed"), F.count_if(F.col("sent_text").isNotNull()).alias("named"))
+
+
+def _occurrence_blocks(spark, d):
+    """Blocks that occurrences stand in, as a scan of the files of their chapters would give them."""
+    rows = read_table(spark, d, "occurrences").select("chapter", F.col("parse_block_id").alias("sent_id"), "source_segment_id", "pp_token_start").distinct()
+    order = W.partitionBy("chapter", F.regexp_extract(F.coalesce("sent_id", F.lit("")), r"^(.*?)(#|$)", 1)).orderBy("sent_id", "source_segment_id", "pp_token_start")
+    return rows.withColumn("ord", F.row_number().over(order))
+
+
+def provenance_faults(spark, d):
+    """SRC-25, CHK-02, MSC-05: first fault of the blocks that occurrences stand in."""
+    rows = trees.provenance_faults(_occurrence_blocks(spark, d).groupBy("chapter", "sent_id", "source_segment_id").agg(F.min("ord").alias("ord")), "chapter")
+    return rows.groupBy("chapter", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+def block_migration(spark, d):
+    """PRC-13, WIN-03, WIN-04, AGG-26: ordinals given to blocks whose ids have none, in document order."""
+    rows = _occurrence_blocks(spark, d).select("chapter", "ord", F.regexp_replace("sent_id", r"#b[0-9]{3,}$", "").alias("sent_id")).filter("sent_id IS NOT NULL")
+    return trees.number_blocks(rows, "chapter").select("chapter", "sent_id", "ordinal", "new_id")
 
 
 def id_parts(spark, d):
@@ -200,10 +211,10 @@ def page_runs(spark, d):
 
 
 NAMES = """normalize_block block_reasons bbox_outliers indent_thresholds paragraph_assembly span_notes confidence_summary wordlist stuck_words text_layer sentence_split zh_split
-contracted_plain uncontracted_plain conllu_blocks block_ordinals provenance_counts pp_state_machine ud_phrases mwt_collapse char_offsets id_parts page_runs block_reasons_learned paragraph_assembly_learned""".split()
+contracted_plain uncontracted_plain conllu_blocks block_ordinals provenance_counts pp_state_machine ud_phrases mwt_collapse char_offsets id_parts page_runs block_counts provenance_faults block_migration""".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
-_B = "(SELECT DISTINCT ON (block_id) * FROM ocr_blocks)"
+_B = "(SELECT DISTINCT ON (block_id) * FROM ocr_blocks ORDER BY block_id, loaded_at NULLS FIRST, text NULLS FIRST)"
 _SUB = lambda x, p, r: f"regexp_replace({x}, '{p}', '{r}', 'g')"
 _STRIP = lambda x: _SUB(x, f"^{WS}+|{WS}+$", "")
 _PLAIN = _SUB("text", r"[\x{7f}-\x{9f}]", "")
@@ -214,11 +225,15 @@ _CLASSIFIED = f"""
 medians AS (SELECT book, lang, chapter, page, list_sort(list(bbox[1]) FILTER (WHERE {_VALID})) AS xs FROM {_B} GROUP BY ALL),
 normed AS (SELECT b.*, coalesce({_NORM}, '') AS norm, coalesce(b.engine = 'paddleocr' AND {_VALID} AND bbox[1] > 3 * xs[len(xs) // 2 + 1], false) AS outlier
   FROM {_B} b JOIN medians USING (book, lang, chapter, page)),
-classified AS (SELECT *, CASE WHEN outlier THEN 'outlier' WHEN norm = '' THEN 'empty' WHEN confidence < 0.4 THEN 'low_confidence'
-  WHEN {_SUB('norm', WS + '+', '')} IN ({_LIST(h.replace(' ', '') for h in HEADERS)}) THEN 'header'
+titles AS (SELECT book, lang, title FROM (SELECT book, lang, chapter, page, lower({_SUB('text', '[^\\p{L}]', '')}) AS title, {_STRIP('text')} AS line, {_SUB(_STRIP('text'), '^\\d{1,4}\\s{2,}|\\s{2,}\\d{1,4}$', '')} AS bare FROM {_B})
+  WHERE NOT contains(line, chr(10)) AND regexp_matches(bare, '^[\\p{{Lu}}\\p{{Han}}]') AND NOT regexp_matches(bare, '[.!?,;:…。！？，；：、“”„»«「」()（）\\d-]') AND length(title) >= 3
+  GROUP BY book, lang, title HAVING count(DISTINCT (chapter, page)) >= 2),
+reasoned AS (SELECT *, CASE WHEN outlier THEN 'outlier' WHEN norm = '' THEN 'empty' WHEN confidence < 0.4 THEN 'low_confidence'
   WHEN regexp_full_match({_STRIP('norm')}, '\\d{{1,4}}') THEN 'page_number'
   WHEN regexp_full_match(norm, '(?:[{X.ORNAMENTS}]|{WS})+') THEN 'decorative'
-  WHEN regexp_full_match({_STRIP('norm')}, '\\p{{L}}') THEN 'single_letter' END AS reason FROM normed)"""
+  WHEN regexp_full_match({_STRIP('norm')}, '\\p{{L}}') THEN 'single_letter' END AS r FROM normed),
+classified AS (SELECT b.* EXCLUDE (r), coalesce(r, CASE WHEN t.title IS NOT NULL AND NOT contains({_STRIP('text')}, chr(10)) THEN 'header' END) AS reason
+  FROM reasoned b LEFT JOIN titles t ON t.book IS NOT DISTINCT FROM b.book AND t.lang IS NOT DISTINCT FROM b.lang AND t.title = lower({_SUB('b.text', '[^\\p{L}]', '')}))"""
 _PAGES = lambda src: f"""pages AS (SELECT book, lang, chapter, page, list_sort(list(bbox[1])) AS xs, list_sort(list_distinct(list(bbox[1]) FILTER (WHERE {_VALID}))) AS us
   FROM {src} WHERE len(bbox) >= 4 GROUP BY ALL),
 margins AS (SELECT *, xs[CAST(round_even(0.1 * (len(xs) - 1), 0) AS INT) + 1] AS margin FROM pages),
@@ -230,6 +245,15 @@ _MASK = f"replace(replace(regexp_replace(text, '(?:\\.{WS}+){{2,}}\\.', '…', '
 for _a in sorted(ABBREVIATIONS, key=lambda a: (-len(a), a)):
     _MASK = f"replace({_MASK}, '{_a}', replace('{_a}', '.', {_STOP}))"
 
+_TOKENS = r"""WITH b AS (SELECT doc_id, list_filter(string_split_regex(text, '\n[ \t]*\n+'), lambda x: regexp_matches(x, '[^\s]')) AS bs FROM documents WHERE kind = 'parsed'),
+u AS (SELECT doc_id, unnest(bs) AS text, CAST(generate_subscripts(bs, 1) AS INT) AS ord FROM b),
+t AS (SELECT doc_id, ord, nullif(regexp_extract(text, '(?m)^#\s*text\s*=\s*(.*?)\s*$', 1), '') AS sent_text, list_filter(list_transform(list_filter(string_split_regex(text, '\r?\n'), lambda x: regexp_matches(x, '^\d+(-\d+)?\t')), lambda x: string_split(x, chr(9))), lambda c: len(c) >= 8) AS cells FROM u)"""
+#: Tokens with the chunker's tags; a segment runs up to its noun.
+_TAGGED = f"""{_TOKENS}, w AS (SELECT doc_id, ord, unnest(cells) AS c, generate_subscripts(cells, 1) AS i FROM t),
+k AS (SELECT doc_id, ord, i, c[2] AS form, c[3] AS lemma, regexp_matches(c[2], '^\\p{{Lu}}') AND i > 1 AS noun, c[2] IN ({_LIST(X.CONTRACTIONS)}) AS contracted, c[2] IN ({_LIST(X.PREPOSITIONS)}) AS prep,
+  lower(c[2]) IN ({_LIST([*X.CONTRACTIONS, *X.PREPOSITIONS])}) AS adp, lower(c[2]) IN ({_LIST(X.DEFINITE_ARTICLES)}) AND NOT (regexp_matches(c[2], '^\\p{{Lu}}') AND i > 1) AS det, c[2] IN ({_LIST(X.DETERMINERS)}) AS article FROM w),
+tagged AS (SELECT *, coalesce(sum(CAST(noun AS INT)) OVER (PARTITION BY doc_id, ord ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM k)"""
+
 ORACLE = {
     "normalize_block": f"SELECT block_id, {_NORM} AS norm FROM {_B}",
     "block_reasons": f"WITH {_CLASSIFIED} SELECT book, lang, coalesce(reason, 'kept') AS reason, count(*) AS n FROM classified GROUP BY ALL",
@@ -254,7 +278,7 @@ SELECT book, lang, len(c) AS n, round(list_avg(c), 6) AS mean, c[len(c) // 2 + 1
     "wordlist": "WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-zÄÖÜäöüß]+')) AS word FROM paragraphs WHERE lang = 'de'), k AS (SELECT word FROM w GROUP BY word HAVING count(*) >= 2) SELECT word FROM k UNION SELECT lower(word) FROM k",
     "text_layer": f"""WITH p AS (SELECT book, lang, chapter, page, sum(length(trim(coalesce(text, '')))) AS chars FROM {_B} GROUP BY ALL), l AS (SELECT book, lang, chapter, list(chars ORDER BY page) AS c FROM p GROUP BY ALL)
 SELECT book, lang, chapter, list_median(list_transform(range(0, least(5, len(c))), lambda i: c[CAST(floor(i * len(c) / least(5, len(c))) AS INT) + 1])) > 50 AS has_layer FROM l""",
-    "sentence_split": f"""WITH p AS (SELECT DISTINCT ON (paragraph_id) * FROM paragraphs WHERE lang IN ('de', 'en')),
+    "sentence_split": f"""WITH p AS (SELECT DISTINCT ON (paragraph_id) * FROM paragraphs WHERE lang IN ('de', 'en') ORDER BY paragraph_id, loaded_at NULLS FIRST, text NULLS FIRST),
 m AS (SELECT *, regexp_replace({_MASK}, '([.!?]["'')\\]»«]?)({WS}|$)', '\\1' || chr(1) || '\\2', 'g') AS t FROM p),
 u AS (SELECT book, lang, chapter, paragraph, list_filter(list_transform(string_split(t, chr(1)), lambda x: {_STRIP(f"replace(replace(replace(x, {_STOP}, '.'), {_DOTS}, '...'), {_ELLIPSIS}, '…')")}), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]')) AS parts FROM m),
 e AS (SELECT book, lang, chapter, paragraph, unnest(parts) AS text, generate_subscripts(parts, 1) AS i FROM u)
@@ -271,9 +295,34 @@ SELECT doc_id, ord, sent_text, CAST(len(cells) AS INT) AS tokens, coalesce(list_
 SELECT sent_id, CASE WHEN o >= 1 THEN s END AS segment, CASE WHEN o >= 1 THEN o END AS ordinal, CASE WHEN o >= 1 THEN s END = source_segment_id AS same_segment FROM p""",
     "provenance_counts": """WITH p AS (SELECT chapter, source_segment_id, count(*) AS n, count(DISTINCT parse_block_id) AS ids FROM occurrences WHERE source_segment_id IS NOT NULL GROUP BY ALL)
 SELECT chapter, CAST(sum(n) AS BIGINT) AS blocks, CAST(sum(ids) AS BIGINT) AS ids, count(*) AS segments, count(*) FILTER (n > 1) AS multi_block, max(n) AS most FROM p GROUP BY chapter""",
-    "pp_state_machine": "SELECT * FROM (VALUES ('de1', 'contracted', 'im', NULL, 'Haus', 'im dem Haus'), ('de1', 'uncontracted', 'an', 'dem', 'Tor', 'an dem Tor')) t(key, form, prep, det, noun, surface)",
-    "ud_phrases": "SELECT * FROM (VALUES ('de1', 'im', 'Haus', 'im dem Haus', '3,4,5'), ('de1', 'an', 'Tor', 'an dem Tor', '6,7,8'), ('en1', 'at', 'gate', 'at the old gate', '3,4,5,6')) t(key, prep_surface, head_lemma, span_text, ids)",
-    "mwt_collapse": "SELECT * FROM (VALUES ('de1', '1/Er/2 2/ging/0 3/im/4 4/Haus/2 5/an/7 6/dem/7 7/Tor/2 8/./2'), ('en1', '1/He/2 2/stood/0 3/at/6 4/the/6 5/old/6 6/gate/2 7/./2')) t(key, tokens)",
+    "pp_state_machine": f"""{_TAGGED}, per AS (SELECT doc_id, ord, seg, any_value(form) FILTER (noun) AS surface_noun, any_value(lemma) FILTER (noun) AS noun, min(i) FILTER (noun) AS j,
+  list_sort(list(i) FILTER (contracted))[-1] AS c, list_sort(list(i) FILTER (prep))[-1] AS p, min(i) FILTER (prep) AS p1 FROM tagged GROUP BY ALL HAVING min(i) FILTER (noun) IS NOT NULL),
+found AS (SELECT doc_id, ord, seg, 'contracted' AS form, c AS at, NULL::BIGINT AS d, noun, j FROM per WHERE c IS NOT NULL
+  UNION ALL SELECT q.doc_id, q.ord, q.seg, 'uncontracted', q.p, max(t.i), q.noun, q.j FROM per q JOIN tagged t ON t.doc_id = q.doc_id AND t.ord = q.ord AND t.seg = q.seg AND t.article AND t.i > q.p1 WHERE p IS NOT NULL GROUP BY ALL)
+SELECT f.doc_id, f.ord, f.form, a.form AS prep, b.form AS det, f.noun, (SELECT string_agg(s.form, ' ' ORDER BY s.i) FROM tagged s WHERE s.doc_id = f.doc_id AND s.ord = f.ord AND s.i BETWEEN f.at AND f.j) AS surface
+FROM found f JOIN tagged a ON a.doc_id = f.doc_id AND a.ord = f.ord AND a.i = f.at LEFT JOIN tagged b ON b.doc_id = f.doc_id AND b.ord = f.ord AND b.i = f.d""",
+    "ud_phrases": f"""{_TAGGED}, nouns AS (SELECT * FROM tagged WHERE noun)
+SELECT a.doc_id, a.ord, a.form AS prep_surface, n.lemma AS head_lemma, string_agg(m.form, ' ' ORDER BY m.i) AS span_text, string_agg(CAST(m.i AS VARCHAR), ',' ORDER BY m.i) AS ids
+FROM tagged a JOIN nouns n ON n.doc_id = a.doc_id AND n.ord = a.ord AND n.seg = a.seg JOIN tagged m ON m.doc_id = a.doc_id AND m.ord = a.ord AND m.seg = a.seg AND (m.i = a.i OR m.i = n.i OR m.det)
+WHERE a.adp AND NOT a.noun GROUP BY a.doc_id, a.ord, a.i, a.form, n.lemma""",
+    "mwt_collapse": f"{_TOKENS} SELECT doc_id, ord, coalesce(list_aggregate(list_transform(range(1, len(cells) + 1), lambda i: i || '/' || cells[i][2] || '/' || cells[i][7]), 'string_agg', ' '), '') AS tokens FROM t",
+    "char_offsets": f"""{_TOKENS}, f AS (SELECT doc_id, ord, sent_text, list_transform(cells, lambda c: c[2]) AS w, list_transform(cells, lambda c: CAST(length(c[2]) AS INT)) AS n FROM t)
+SELECT doc_id, ord, CASE WHEN sent_text IS NULL OR len(n) = 0 THEN [] ELSE list_transform(range(1, len(n) + 1), lambda i: CASE WHEN substr(sent_text, CAST(coalesce(list_sum(n[:i - 1]), 0) + i AS INT), n[i]) = w[i]
+  THEN [CAST(coalesce(list_sum(n[:i - 1]), 0) + i - 1 AS INT), CAST(coalesce(list_sum(n[:i]), 0) + i - 1 AS INT)] END) END AS offsets FROM f""",
+    "block_counts": f"{_TOKENS} SELECT doc_id, count(*) AS physical, count(*) FILTER (len(cells) > 0) AS parsed, count(sent_text) AS named FROM t GROUP BY doc_id",
+    "provenance_faults": r"""WITH r AS (SELECT DISTINCT chapter, parse_block_id AS sent_id, source_segment_id, pp_token_start FROM occurrences),
+o AS (SELECT *, row_number() OVER (PARTITION BY chapter, regexp_extract(coalesce(sent_id, ''), '^(.*?)(#|$)', 1) ORDER BY sent_id NULLS FIRST, source_segment_id NULLS FIRST, pp_token_start NULLS FIRST) AS ord FROM r),
+b AS (SELECT chapter, sent_id, source_segment_id, min(ord) AS ord FROM o GROUP BY ALL),
+p AS (SELECT *, regexp_extract(sent_id, '^(.+)#b(\d{3,})$', 1) AS s, try_cast(regexp_extract(sent_id, '^(.+)#b(\d{3,})$', 2) AS INT) AS g FROM b),
+q AS (SELECT *, CASE WHEN g >= 1 THEN g END AS given, coalesce(CASE WHEN g >= 1 THEN s END, sent_id) AS segment FROM p),
+n AS (SELECT *, row_number() OVER (PARTITION BY chapter, segment ORDER BY ord) AS ordinal, row_number() OVER (PARTITION BY chapter, sent_id ORDER BY ord) AS copies FROM q),
+f AS (SELECT chapter, CASE WHEN sent_id IS NULL THEN 'orphan_block' WHEN given IS NULL THEN 'unmigrated' WHEN source_segment_id IS NULL THEN 'missing_source' WHEN source_segment_id <> segment THEN 'prefix_mismatch' WHEN copies > 1 THEN 'duplicate' WHEN given <> ordinal THEN 'ordinal_gap' END AS rule FROM n)
+SELECT chapter, rule, count(*) AS n FROM f WHERE rule IS NOT NULL GROUP BY ALL""",
+    "block_migration": r"""WITH r AS (SELECT DISTINCT chapter, parse_block_id AS sent_id, source_segment_id, pp_token_start FROM occurrences),
+o AS (SELECT *, row_number() OVER (PARTITION BY chapter, regexp_extract(coalesce(sent_id, ''), '^(.*?)(#|$)', 1) ORDER BY sent_id NULLS FIRST, source_segment_id NULLS FIRST, pp_token_start NULLS FIRST) AS ord FROM r),
+s AS (SELECT chapter, ord, regexp_replace(sent_id, '#b[0-9]{3,}$', '') AS sent_id FROM o WHERE sent_id IS NOT NULL),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY chapter, sent_id ORDER BY ord) AS INT) AS ordinal FROM s)
+SELECT chapter, sent_id, ordinal, printf('%s#b%03d', sent_id, ordinal) AS new_id FROM n""",
     "id_parts": r"""WITH r AS (SELECT DISTINCT source_segment_id AS id FROM occurrences WHERE source_segment_id IS NOT NULL), p AS (SELECT id, regexp_full_match(id, '[a-z0-9]+_[a-z]+_ch\d{2}_p\d{4}_s\d{3}') AS ok, regexp_extract(id, '^([a-z0-9]+)_([a-z]+)_ch(\d{2})_p(\d{4})_s(\d{3})$', ['b', 'l', 'c', 'p', 's']) AS m FROM r)
 SELECT id, CASE WHEN ok THEN m.b END AS book, CASE WHEN ok THEN m.l END AS lang, CASE WHEN ok THEN try_cast(m.c AS INT) END AS chapter, CASE WHEN ok THEN try_cast(m.p AS INT) END AS paragraph, CASE WHEN ok THEN try_cast(m.s AS INT) END AS sentence, nullif(regexp_extract(id, '^([a-z0-9]+_[a-z]+_ch\d{2})_', 1), '') AS scope FROM p""",
     "page_runs": f"""WITH r AS (SELECT DISTINCT book, lang, chapter, page AS row FROM {_B}), i AS (SELECT *, row - row_number() OVER (PARTITION BY book, lang, chapter ORDER BY row) AS i FROM r)

@@ -9,7 +9,7 @@ from ..functions import columns as C
 from ..functions import lexicons as X
 from ..operators import align, audit, candidates, checks, clean, context, eligibility, mapping
 from ..session import read_table, ship
-from .cleaning import HEADERS, NOTE_SIZES, OPENING, WS, _blocks
+from .cleaning import NOTE_SIZES, WS, _blocks, paragraphs_of
 
 #: Vectors stand for sentences; a scope is a run of 500 vector ids of one label, so it keeps its size as vectors grow.
 SCOPE = "concat(label, '_', vec_id div 500)"
@@ -323,7 +323,7 @@ def chapter_regions(spark, d):
         return rows.groupBy(*key).agg(audit.stream_form(F.array_join(F.transform(parts, lambda x: x["text"]), "")).alias("stream"))
 
     raw = stream(blocks, ["page", "block_idx", "block_id"]).withColumnRenamed("stream", "raw")
-    old = stream(clean.clean(blocks, headers=HEADERS, opening_quotes=OPENING), ["paragraph"]).withColumnRenamed("stream", "old")
+    old = stream(paragraphs_of(spark, d), ["paragraph"]).withColumnRenamed("stream", "old")
     chapters = raw.join(old, key, "left").select(F.format_string("%s_%s_ch%02d", *key).alias("key"), "old", "raw", F.col("raw").alias("new"))
     return audit.chapter_regions(chapters).withColumns({c: F.round(c, 3) for c in ("ratio_old", "ratio_raw")})
 

@@ -6,12 +6,54 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from glossoloom.functions import columns as C
+from glossoloom.functions import lexicons as X
 from glossoloom.functions import stuck
-from glossoloom.operators import audit, checks, clean, context, segment, trees
+from glossoloom.operators import audit, checks, clean, context, segment, skew, trees
 from glossoloom.sources import files, sinks
 from glossoloom.streaming import incremental
 
 
+#: A parsed German block with a multiword token, and an English one; all text is invented.
+PHRASES = [
+    ("de1", "# sent_id = aa_de_ch01_p0001_s001#b001\n# source_segment_id = aa_de_ch01_p0001_s001\n# text = Er ging im Haus an dem Tor.\n"
+     "1\tEr\ter\tPRON\tPPER\t_\t2\tnsubj\t_\t_\n2\tging\tgehen\tVERB\tVVFIN\t_\t0\troot\t_\t_\n3-4\tim\t_\t_\t_\t_\t_\t_\t_\t_\n3\tim\tin\tADP\tAPPR\t_\t5\tcase\t_\t_\n4\tdem\tder\tDET\tART\t_\t5\tdet\t_\t_\n5\tHaus\tHaus\tNOUN\tNN\t_\t2\tobl\t_\t_\n6\tan\tan\tADP\tAPPR\t_\t8\tcase\t_\t_\n7\tdem\tder\tDET\tART\t_\t8\tdet\t_\t_\n8\tTor\tTor\tNOUN\tNN\t_\t2\tobl\t_\t_\n9\t.\t.\tPUNCT\t$.\t_\t2\tpunct\t_\t_"),
+    ("en1", "# sent_id = aa_en_ch01_p0001_s001#b001\n# source_segment_id = aa_en_ch01_p0001_s001\n# text = He stood at the old gate.\n"
+     "1\tHe\the\tPRON\tPRP\t_\t2\tnsubj\t_\t_\n2\tstood\tstand\tVERB\tVBD\t_\t0\troot\t_\t_\n3\tat\tat\tADP\tIN\t_\t6\tcase\t_\t_\n4\tthe\tthe\tDET\tDT\t_\t6\tdet\t_\t_\n5\told\told\tADJ\tJJ\t_\t6\tamod\t_\t_\n6\tgate\tgate\tNOUN\tNN\t_\t2\tobl\t_\t_\n7\t.\t.\tPUNCT\t.\t_\t2\tpunct\t_\t_"),
+]
+
+
+def phrase_blocks(spark):
+    return trees.parse_blocks(spark.createDataFrame(PHRASES, "key string, text string"))
+
+
+def test_phrases_of_written_parses(spark):
+    """The token state machine, dependencies and ranges on blocks with full tags."""
+    rows = phrase_blocks(spark)
+    both = F.concat(*[F.transform(trees.extract_phrases("tokens", forms, c), lambda p, c=c: p.withField("form", F.lit("contracted" if c else "uncontracted"))) for forms, c in ((tuple(X.CONTRACTIONS), True), (X.PREPOSITIONS, False))])
+    hits = rows.select("key", "tokens", F.explode(both).alias("p")).select("key", "p.form", "p.prep", "p.det", "p.noun", trees.surface("tokens", "p.prep_token_id", "p.noun_token_id").alias("surface")).collect()
+    assert {tuple(r) for r in hits} == {("de1", "contracted", "im", None, "Haus", "im dem Haus"), ("de1", "uncontracted", "an", "dem", "Tor", "an dem Tor")}
+    told = rows.select("key", F.explode(trees.case_phrases("tokens")).alias("p")).select("key", "p.prep_surface", "p.head_lemma", "p.span_text", "p.span_token_ids").collect()
+    assert {(*r[:4], tuple(r[4])) for r in told} == {("de1", "im", "Haus", "im dem Haus", (3, 4, 5)), ("de1", "an", "Tor", "an dem Tor", (6, 7, 8)), ("en1", "at", "gate", "at the old gate", (3, 4, 5, 6))}
+    flat = {r.key: " ".join("/".join((t.id, t.form, t.head)) for t in r.t) for r in rows.select("key", trees.collapse_ranges("tokens").alias("t")).collect()}
+    assert flat == {"de1": "1/Er/2 2/ging/0 3/im/4 4/Haus/2 5/an/7 6/dem/7 7/Tor/2 8/./2", "en1": "1/He/2 2/stood/0 3/at/6 4/the/6 5/old/6 6/gate/2 7/./2"}
+    offsets = {r.key: r.o for r in rows.select("key", trees.token_offsets("sent_text", F.transform(trees.words_only("tokens"), lambda t: t["form"])).alias("o")).collect()}
+    assert offsets["en1"] == [[0, 2], [3, 8], [9, 11], [12, 15], [16, 19], [20, 24], [24, 25]]
+
+
+def test_numbers_before_and_hot_pairs(spark):
+    rows = spark.createDataFrame([(f"s{i:03d}", i % 7) for i in range(200)], "scope string, n bigint").repartition(5)
+    got = {r.scope: r.before for r in skew.sums_before(rows, ["scope"], "n", "before").collect()}
+    assert got == {f"s{i:03d}": sum(k % 7 for k in range(i)) for i in range(200)} and skew.sums_before(rows.limit(0), ["scope"], "n", "before").count() == 0
+
+
+def test_confidences(spark):
+    values = [0.9, 0.1, None, 0.5, 0.5, 0.7, 0.95, 0.3, 0.9, 0.9, 1.0, 0.2]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", None), (None, 0.4)], "book string, confidence double")
+    got = {r.book: (r.n, r.median, r.p10, r.low) for r in clean.confidence_summary(df, ["book"]).collect()}
+    s = sorted(v for v in values if v is not None)
+    assert got == {"a": (11, s[5], s[0], 5), "b": (0, None, None, 0), None: (1, 0.4, 0.4, 1)}
+
+
 @pytest.mark.parametrize("text, want", [
     ("「到这儿来。」她说。他走了。", ["「到这儿来。」她说。", "他走了。"]),
     ("「好吧，」他说。完了。", ["「好吧，」他说。", "完了。"]),
@@ -82,7 +124,6 @@ def test_number_blocks_and_faults(spark):
 
 
 def test_conllu_round_trip(spark, tmp_path):
-    from glossoloom.plans.cleaning import phrase_blocks
 
     rows = phrase_blocks(spark).withColumn("block_text", trees.block_text("sent_id", "source_segment_id", "sent_text", "tokens"))
     sinks.write_conllu(rows.coalesce(1), str(tmp_path / "x"))
