@@ -59,12 +59,12 @@ def align_types(spark, d):
 
 
 def align_sources_twice(spark, d):
-    """CHK-06, CHK-13, WIN-17, SRC-16: source segments in several records."""
+    """CHK-06, CHK-13, WIN-17: source segments in several records."""
     return align.sources_twice(read_table(spark, d, "alignments"))
 
 
 def align_unknown_ids(spark, d):
-    """JOIN-23, CHK-13, SRC-17: ids of alignment records that no segment has."""
+    """JOIN-23, CHK-13: ids of alignment records that no segment has."""
     rows = read_table(spark, d, "alignments")
     ids = rows.select(F.lit("src").alias("side"), F.explode("src").alias("id")).unionByName(rows.select(F.lit("tgt").alias("side"), F.explode("tgt").alias("id")))
     return ids.filter("id IS NOT NULL").distinct().join(read_table(spark, d, "segments").select("id").distinct(), "id", "left_anti")
@@ -80,7 +80,7 @@ def agreement(spark, d):
 
 
 def legacy_normalize(spark, d):
-    """PRJ-15, SRC-16: records of older runs in today's form."""
+    """PRJ-15: records of older runs in today's form."""
     rows = read_table(spark, d, "alignments").filter("tgt_lang = 'zh'").select("align_id", F.col("src").alias("en"), F.col("tgt").alias("zh"), F.lit("vecalign_labse").alias("method"), "confidence").distinct()
     return align.legacy_record(rows).select("align_id", F.array_join("src", ",").alias("src"), F.array_join("tgt", ",").alias("tgt"), "src_lang", "tgt_lang", "method", "confidence")
 
@@ -169,7 +169,7 @@ def eligible_pool(spark, d):
 
 
 def pool_funnel(spark, d):
-    """AGG-07, FN-46, SNK-09: the pool counted."""
+    """AGG-07, FN-46: the pool counted."""
     return eligibility.funnel(eligibility.eligible_pool(read_table(spark, d, "occurrences")))
 
 
@@ -196,7 +196,7 @@ def datapoint_ids(spark, d):
 
 
 def mapping_crosstab(spark, d):
-    """AGG-08, SNK-20: presence of counterparts per chapter and in total."""
+    """AGG-08: presence of counterparts per chapter and in total."""
     return mapping.status_table(read_table(spark, d, "pp_mappings"))
 
 
@@ -221,12 +221,19 @@ def set_equality(spark, d):
     return checks.set_differences(read_table(spark, d, "occurrences"), read_table(spark, d, "pp_mappings"), "datapoint_id")
 
 
+def job_manifest(spark, d):
+    """(chapter, form, status, row_count): a job for each chapter with German segments and form, as the extraction leaves it."""
+    chapters = read_table(spark, d, "segments").filter(F.col("id").contains("_de_ch")).select("chapter").distinct()
+    forms = F.explode(F.array(F.lit("contracted"), F.lit("uncontracted"))).alias("form")
+    hits = read_table(spark, d, "occurrences").groupBy("chapter", "form").agg(F.count(F.lit(1)).alias("n"))
+    rows = chapters.select("chapter", forms).join(hits, ["chapter", "form"], "left")
+    return rows.select("chapter", "form", F.when(F.col("n") > 0, "ok").otherwise("zero_hits_ok").alias("status"), F.coalesce("n", F.lit(0)).alias("row_count"))
+
+
 def manifest_gate(spark, d):
-    """JOIN-26, CHK-14, SRC-33, SRC-39, CHK-04: chapters and forms without occurrences."""
-    rows = read_table(spark, d, "occurrences")
-    jobs = rows.groupBy("chapter", "form").agg(F.when(F.count(F.lit(1)) > 0, "ok").alias("status"))
+    """JOIN-26, CHK-14: chapters and forms of a full run that the job manifest lacks."""
     grid = spark.range(1, 18).select(F.col("id").cast("int").alias("chapter"), F.explode(F.array(F.lit("contracted"), F.lit("uncontracted"))).alias("form"))
-    return checks.manifest_gaps(grid, jobs, ["chapter", "form"])
+    return checks.manifest_gaps(grid, job_manifest(spark, d), ["chapter", "form"])
 
 
 def segment_faults(spark, d):
@@ -240,7 +247,7 @@ def alignment_faults(spark, d):
 
 
 def context_regression(spark, d):
-    """CHK-12, JOIN-21, JOIN-27, SET-06, SRC-34, FN-43: mapped English ids that the context lacks."""
+    """CHK-12, JOIN-21, JOIN-27, SET-06, FN-43: mapped English ids that the context lacks."""
     cases = read_table(spark, d, "pp_mappings").groupBy("datapoint_id").agg(F.min(F.struct("loaded_at", "mapping_id", "en_sentence_ids")).alias("x"))
     where = read_table(spark, d, "occurrences").groupBy("datapoint_id").agg(F.min("source_segment_id").alias("segment_id"))
     cases = cases.join(where, "datapoint_id").select(F.col("datapoint_id").alias("key"), F.coalesce("x.en_sentence_ids", F.array().cast("array<string>")).alias("expected"), "segment_id")
@@ -261,7 +268,7 @@ def page_gaps(spark, d):
 
 
 def id_impact(spark, d):
-    """JOIN-22, JOIN-31, AGG-22, SRC-37: ids before and after the deletions of a date."""
+    """JOIN-22, JOIN-31, AGG-22: ids before and after the deletions of a date."""
     rows = read_table(spark, d, "segments").groupBy("id").agg(F.min(F.struct("loaded_at", "text", "deleted_at")).alias("x")).select("id", "x.*")
     old = rows.filter("loaded_at < timestamp '2023-07-01'")
     return audit.id_impact(old, rows.filter("deleted_at IS NULL")).groupBy("impact").agg(F.count(F.lit(1)).alias("n"))
@@ -278,7 +285,7 @@ def common_prefix(spark, d):
 
 
 def ordered_digest(spark, d):
-    """AGG-19, SRC-29, SNK-12, SNK-13, JOIN-30, MSC-09: digest of the ids of a chapter in order."""
+    """AGG-19, MSC-09: digest of the ids of a chapter in order."""
     return audit.ordered_digests(_orders(spark, d), ["book", "lang", "chapter"])
 
 
@@ -291,7 +298,7 @@ def paragraph_at_offset(spark, d):
 
 
 def source_statistics(spark, d):
-    """AGG-27, SNK-16, SNK-17: blocks and paragraphs of chapters; the rest of AGG-27 is in source_counts."""
+    """AGG-27: blocks and paragraphs of chapters; the rest of AGG-27 is in source_counts."""
     count = lambda t, n: read_table(spark, d, t).groupBy("book", "lang", "chapter").agg(F.count(F.lit(1)).alias(n), F.sum(F.length("text")).alias(f"{n}_chars"))
     return count("ocr_blocks", "blocks").join(count("paragraphs", "paragraphs"), ["book", "lang", "chapter"], "full")
 
@@ -330,7 +337,7 @@ def chapter_regions(spark, d):
 
 NAMES = """cosine_pairs ratio_margin dp_align two_pass_align align_summary align_types align_sources_twice align_unknown_ids agreement legacy_normalize anchor_idf anchor_bonus side_context ordered_texts
 candidate_rows candidate_summary unresolved_segments minimal_pairs canonical_prep form_distribution structural_gate dedup_identity identity_conflicts eligible_pool pool_funnel pilot_quota row_hash datapoint_ids
-mapping_crosstab score_candidates set_equality manifest_gate segment_faults alignment_faults context_regression qc_issues page_gaps id_impact common_prefix ordered_digest paragraph_at_offset source_statistics stream_similarity source_counts chapter_regions""".split()
+mapping_crosstab score_candidates set_equality job_manifest manifest_gate segment_faults alignment_faults context_regression qc_issues page_gaps id_impact common_prefix ordered_digest paragraph_at_offset source_statistics stream_similarity source_counts chapter_regions""".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 _LIST = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
@@ -423,7 +430,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY form ORDER BY CASE tier WHEN 'mi
 SELECT chapter, en, zh, count(*) AS n FROM s GROUP BY GROUPING SETS ((chapter, en, zh), (en, zh))""",
     "score_candidates": "SELECT * FROM (VALUES ('d1', 1, 6.0::DOUBLE, 1, 'matched'), ('d1', 2, 3.0::DOUBLE, 2, 'candidate'), ('d2', 1, 12.0::DOUBLE, 1, 'matched'), ('d2', 2, 2.0::DOUBLE, 2, 'candidate'), ('d3', 1, 2.0::DOUBLE, 1, 'candidate')) t(dp, cand, score, rank, status)",
     "set_equality": "SELECT DISTINCT datapoint_id, 'left' AS side FROM occurrences WHERE datapoint_id NOT IN (SELECT datapoint_id FROM pp_mappings WHERE datapoint_id IS NOT NULL) UNION ALL SELECT DISTINCT datapoint_id, 'right' FROM pp_mappings WHERE datapoint_id NOT IN (SELECT datapoint_id FROM occurrences WHERE datapoint_id IS NOT NULL)",
-    "manifest_gate": "WITH g AS (SELECT CAST(c AS INT) AS chapter, f AS form FROM range(1, 18) t(c), (VALUES ('contracted'), ('uncontracted')) u(f)) SELECT chapter, form, 'missing' AS status FROM g ANTI JOIN (SELECT DISTINCT chapter, form FROM occurrences) o USING (chapter, form)",
+    "job_manifest": """WITH c AS (SELECT DISTINCT chapter FROM segments WHERE contains(id, '_de_ch')), g AS (SELECT chapter, f AS form FROM c, (VALUES ('contracted'), ('uncontracted')) u(f)), h AS (SELECT chapter, form, count(*) AS n FROM occurrences GROUP BY ALL)
+SELECT chapter, form, CASE WHEN n > 0 THEN 'ok' ELSE 'zero_hits_ok' END AS status, coalesce(n, 0) AS row_count FROM g LEFT JOIN h USING (chapter, form)""",
+    "manifest_gate": "WITH g AS (SELECT CAST(c AS INT) AS chapter, f AS form FROM range(1, 18) t(c), (VALUES ('contracted'), ('uncontracted')) u(f)) SELECT chapter, form, 'missing' AS status FROM g ANTI JOIN (SELECT DISTINCT chapter FROM segments WHERE contains(id, '_de_ch')) o USING (chapter)",
+    "agreement": r"""WITH r AS (SELECT *, nullif(regexp_extract(src[1], '^([a-z0-9]+_[a-z]+_ch\d{2})_', 1), '') AS scope, '{"src":[' || array_to_string(list_transform(src, lambda x: coalesce('"' || x || '"', 'null')), ',') || '],"tgt":[' || array_to_string(list_transform(coalesce(tgt, []), lambda x: coalesce('"' || x || '"', 'null')), ',') || ']}' AS j FROM alignments WHERE src_lang = 'de' AND len(src) > 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY scope, tgt_lang ORDER BY align_id NULLS FIRST, loaded_at NULLS FIRST, j, confidence NULLS FIRST) AS pos FROM r WHERE scope IS NOT NULL)
+SELECT scope, count(*) AS compared, round(avg(CAST(a.confidence = b.confidence AS INT)), 6) AS agree_rate FROM p a JOIN p b USING (scope, pos) WHERE a.tgt_lang = 'en' AND b.tgt_lang = 'zh' GROUP BY scope""",
     "segment_faults": " UNION ALL ".join(f"SELECT '{r}' AS rule, id AS key FROM segments WHERE {c}" for r, c in _RULES_SEG.items()),
     "alignment_faults": "SELECT rule, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{r}' AS rule FROM alignments WHERE {c}" for r, c in _RULES_AL.items()) + ") GROUP BY rule",
     "context_regression": f"""WITH {_CONTEXT}, cases AS (SELECT datapoint_id, arg_min(coalesce(en_sentence_ids, []), (loaded_at, mapping_id, en_sentence_ids)) AS expected FROM pp_mappings GROUP BY datapoint_id), o AS (SELECT datapoint_id, min(source_segment_id) AS segment_id FROM occurrences GROUP BY datapoint_id),

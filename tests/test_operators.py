@@ -29,7 +29,8 @@ def phrase_blocks(spark):
 def test_phrases_of_written_parses(spark):
     """The token state machine, dependencies and ranges on blocks with full tags."""
     rows = phrase_blocks(spark)
-    both = F.concat(*[F.transform(trees.extract_phrases("tokens", forms, c), lambda p, c=c: p.withField("form", F.lit("contracted" if c else "uncontracted"))) for forms, c in ((tuple(X.CONTRACTIONS), True), (X.PREPOSITIONS, False))])
+    named = lambda forms, form: F.transform(trees.extract_phrases("tokens", forms, form == "contracted"), lambda p: p.withField("form", F.lit(form)))
+    both = F.concat(named(tuple(X.CONTRACTIONS), "contracted"), named(X.PREPOSITIONS, "uncontracted"))
     hits = rows.select("key", "tokens", F.explode(both).alias("p")).select("key", "p.form", "p.prep", "p.det", "p.noun", trees.surface("tokens", "p.prep_token_id", "p.noun_token_id").alias("surface")).collect()
     assert {tuple(r) for r in hits} == {("de1", "contracted", "im", None, "Haus", "im dem Haus"), ("de1", "uncontracted", "an", "dem", "Tor", "an dem Tor")}
     told = rows.select("key", F.explode(trees.case_phrases("tokens")).alias("p")).select("key", "p.prep_surface", "p.head_lemma", "p.span_text", "p.span_token_ids").collect()
@@ -228,10 +229,10 @@ def test_running_titles_of_any_book(spark, tmp_path):
     rows = [("aa", "de", 1, f"b{p}", p, 0, t) for p, t in head.items()] + [("aa", "de", 1, f"c{p}", p, 1, t) for p, t in enumerate(["Er ging.", "Er kam.", "Er ging.", "Ein Satz ohne Titel"], 1)]
     rows += [("bb", "de", 1, "d1", 1, 0, "Der kalte Ofen"), ("aa", "de", 1, "e1", 5, 0, "Der kalte Ofen\nwar aus."), ("aa", "zh", 1, "f1", 1, 0, "冷炉子"), ("aa", "zh", 1, "f2", 2, 0, "冷炉子"), ("aa", "de", 1, "g1", 5, 1, None)]
     df = spark.createDataFrame(rows, "book string, lang string, chapter int, block_id string, page int, block_idx int, text string")
-    df.selectExpr("*", "cast(NULL AS array<double>) AS bbox", "1D AS confidence", "'pymupdf' AS engine").write.parquet(f"{tmp_path}/ocr_blocks.parquet")
-    got = {(r.book, r.lang, r.reason): r.n for r in cleaning.block_reasons_learned(spark, str(tmp_path)).collect()}
+    df.selectExpr("*", "cast(NULL AS array<double>) AS bbox", "1D AS confidence", "'pymupdf' AS engine", "timestamp'2023-01-01' AS loaded_at").write.parquet(f"{tmp_path}/ocr_blocks.parquet")
+    got = {(r.book, r.lang, r.reason): r.n for r in cleaning.block_reasons(spark, str(tmp_path)).collect()}
     assert got == {("aa", "de", "header"): 4, ("aa", "de", "kept"): 5, ("aa", "de", "empty"): 1, ("bb", "de", "kept"): 1, ("aa", "zh", "header"): 2}
-    whole = " ".join(r.text for r in cleaning.paragraph_assembly_learned(spark, str(tmp_path)).filter("book = 'aa'").collect())
+    whole = " ".join(r.text for r in cleaning.paragraph_assembly(spark, str(tmp_path)).filter("book = 'aa'").collect())
     assert "KALTE" not in whole and "Der kalte Ofen war aus." in whole
 
 
