@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 #: Permitted container sizes in tokens.
 CAPACITIES = (512, 1024, 2048)
-#: Items of one size are ranked within this many hash buckets, so that no task holds a whole size.
-RANK_BUCKETS = 256
+#: Items of one size are ranked within hash buckets of about this many, so that no task holds a whole size.
+RANKED = 100_000
 
 
 @dataclass(frozen=True)
@@ -145,7 +145,8 @@ def pack(items: DataFrame, *, key: str = "doc_id", size: str = "n_tokens", capac
     histogram = {r["size"]: r["n"] for r in pieces.filter("size > 0").groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots = items.sparkSession.sparkContext.broadcast(slot_table(plan_bins(histogram, capacities, exponent)))
     # rank within a size: row number within a hash bucket, plus the rows of the buckets before
-    bucketed = pieces.withColumn("_b", F.pmod(F.xxhash64(key, "piece"), F.lit(RANK_BUCKETS)).cast("int"))
+    buckets = -(-max(histogram.values(), default=1) // RANKED)
+    bucketed = pieces.withColumn("_b", F.pmod(F.xxhash64(key, "piece"), F.lit(buckets)).cast("int"))
     group = W.partitionBy("size", "_b")
     ranked = bucketed.withColumn("_r", F.row_number().over(group.orderBy(key, "piece")) - 1)
     counts = bucketed.groupBy("size", "_b").agg(F.count(F.lit(1)).alias("_n"))

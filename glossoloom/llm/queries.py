@@ -78,6 +78,12 @@ def p8_ids(spark, sf_dir):
     return tokens.encode_corpus(read_table(spark, sf_dir, "documents"), tokens.tokenizer_path())
 
 
+def p8_texts(spark, sf_dir):
+    """Every document decoded again from its ids through the id-to-piece table; null texts come back as empty ones."""
+    path = tokens.tokenizer_path()
+    return tokens.decode_corpus(p8_ids(spark, sf_dir), tokens.piece_table(spark, path))
+
+
 def p9_bins(spark, sf_dir):
     """Every document in a container of 512, 1024 or 2048 tokens."""
     sizes = tokens.count_tokens(read_table(spark, sf_dir, "documents").select("doc_id", "text"), tokens.tokenizer_path())
@@ -89,6 +95,13 @@ def p10_pieces(spark, sf_dir):
     return pieces.split_texts(read_table(spark, sf_dir, "documents"), tokens.tokenizer_path())
 
 
+def p10_texts(spark, sf_dir):
+    """Every document put together again from the fresh parts of its pieces."""
+    fresh = F.expr("substring(text, fresh_start - start + 1)")
+    parts = p10_pieces(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("piece", fresh.alias("t")))).alias("p"))
+    return parts.select("doc_id", F.array_join(F.transform("p", lambda x: F.coalesce(x["t"], F.lit(""))), "").alias("text"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_records": p1_records,
@@ -100,11 +113,15 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_units": p7_units,
     "p8_ids": p8_ids,
+    "p8_texts": p8_texts,
     "p9_bins": p9_bins,
     "p10_pieces": p10_pieces,
+    "p10_texts": p10_texts,
 }
 
 ORACLE = {
+    "p8_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p10_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p2_sample": f"""
 SELECT DISTINCT datapoint_id FROM occurrences
 WHERE substr(sha256('{sampling.SALT}|' || datapoint_id), 1, {sampling.DIGITS}) <

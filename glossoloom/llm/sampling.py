@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Hex digits of the hash that are compared, 52 bits.
 DIGITS = 13
 #: Default rates by stratum of the occurrence sample and its salt.
 SALT = "glossoloom-1"
-RATES = {"contracted": 0.2, "uncontracted": 0.1}
 OTHER_RATE = 0.1
+#: Every version of the rates that was ever in force, the newest last; entries are added, never taken away.
+VERSIONS = ({"contracted": 0.2, "uncontracted": 0.1},)
 
 
 def threshold(rate: float) -> str:
@@ -29,6 +30,25 @@ def raise_thresholds(*versions: dict[str, float]) -> dict[str, float]:
     return out
 
 
+RATES = raise_thresholds(*VERSIONS)
+
+
+def recorded_rates(spark: SparkSession, store: str, proposed: dict[str, float]) -> dict[str, float]:
+    """Rates in force with those proposed, by all versions recorded in ``store`` (stratum, rate); what is higher is added.
+
+    A store that does not exist is empty. A lower proposal changes nothing, so members stay members. The store holds a
+    row for each stratum and raise.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    exists = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    before = {r.stratum: r.rate for r in spark.read.parquet(store).groupBy("stratum").agg(F.max("rate").alias("rate")).collect()} if exists else {}
+    now = raise_thresholds(before, proposed)
+    raised = [(k, float(r)) for k, r in sorted(now.items()) if r > before.get(k, -1.0)]
+    if raised:
+        spark.createDataFrame(raised, "stratum string, rate double").write.mode("append").parquet(store)
+    return now
+
+
 def hash_prefix(key, salt: str):
     return F.substring(F.sha2(F.concat(F.lit(f"{salt}|"), key.cast("string")), 256), 1, DIGITS)
 

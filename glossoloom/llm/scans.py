@@ -322,8 +322,8 @@ def _join(r: Record, after: Record | None, table: str, compounds: set[str]) -> N
     r.joined = re.sub(r"[ \t]{2,}", " ", t).strip(" \t")
 
 
-def words_of(text: str) -> list[str]:
-    return re.findall(rf"[^\W_]*{_LETTER}[^\W_]*", text)
+#: A word of letters and digits; parts of words broken over records are none.
+WORD = r"[\p{L}\p{N}]*\p{L}[\p{L}\p{N}]*"
 
 
 @F.pandas_udf(T.StringType())
@@ -404,7 +404,7 @@ def compounds_of(records: DataFrame) -> DataFrame:
     return counts.join(plain, "joined", "left").filter("m IS NULL OR m < n").select("word")
 
 
-SCANNED = "rec_table string, book string, lang string, chapter int, rec_id string, page int, ord int, header boolean, page_number boolean, hyphen boolean, body string, starts_broken boolean, ends_broken boolean, words array<string>"
+SCANNED = "rec_table string, book string, lang string, chapter int, rec_id string, page int, ord int, header boolean, page_number boolean, hyphen boolean, body string, starts_broken boolean, ends_broken boolean"
 
 
 def scan(records: DataFrame) -> DataFrame:
@@ -440,13 +440,14 @@ def scan(records: DataFrame) -> DataFrame:
         offset = None if not len(known) or pd.isna(known.offset.iloc[0]) else int(known.offset.iloc[0])
         out = []
         for r in scan_chapter(list(pdf.itertuples()), pdf.rec_table.iloc[0], Book(*lists, offset), compounds):
-            w = words_of(r.joined)
-            w = w[int(r.starts_broken) : len(w) - int(r.ends_broken)]
-            out.append((r.row.rec_table, r.row.book, r.row.lang, r.row.chapter, r.row.rec_id, r.row.page, r.row.ord, r.header, r.page_number, r.hyphen, r.joined, r.starts_broken, r.ends_broken, w))
+            out.append((r.row.rec_table, r.row.book, r.row.lang, r.row.chapter, r.row.rec_id, r.row.page, r.row.ord, r.header, r.page_number, r.hyphen, r.joined, r.starts_broken, r.ends_broken))
         return pd.DataFrame(out, columns=names)
 
     facts = spread(told.withColumnsRenamed({k: f"of_{k}" for k in group}), *[f"of_{k}" for k in group]).groupBy(*[f"of_{k}" for k in group])
-    return spread(records, *group).groupBy(*group).cogroup(facts).applyInPandas(run, SCANNED)
+    scanned = spread(records, *group).groupBy(*group).cogroup(facts).applyInPandas(run, SCANNED)
+    words = F.regexp_extract_all("body", F.lit(WORD), F.lit(0))
+    first, cut = F.col("starts_broken").cast("int"), F.col("starts_broken").cast("int") + F.col("ends_broken").cast("int")
+    return scanned.withColumn("words", F.slice(words, first + 1, F.greatest(F.size(words) - cut, F.lit(0))))
 
 
 def word_counts(texts: DataFrame, words: str = "words") -> DataFrame:

@@ -66,6 +66,14 @@ def test_sample_keeps_its_members(spark):
     assert ids(nulls, rates={}, other_rate=1.0) == {""} and ids(df.limit(0)) == set() and ids(small, rates={}, other_rate=0.0) == set()
 
 
+def test_recorded_rates_only_rise(spark, tmp_path):
+    store = f"{tmp_path}/rates"
+    assert S.recorded_rates(spark, store, {"a": 0.2}) == {"a": 0.2}
+    assert S.recorded_rates(spark, store, {"a": 0.1, "b": 0.3}) == {"a": 0.2, "b": 0.3}
+    assert S.recorded_rates(spark, store, {"a": 0.4}) == {"a": 0.4, "b": 0.3} == S.recorded_rates(spark, store, {})
+    assert spark.read.parquet(store).count() == 3 and S.RATES == {"contracted": 0.2, "uncontracted": 0.1}
+
+
 def test_thresholds():
     assert S.threshold(0) == "0" * 13 and S.threshold(1) > "f" * 13 and S.threshold(0.5) == "8" + "0" * 12
     assert S.raise_thresholds({"a": 0.5}, {"a": 0.2, "b": 0.1}) == {"a": 0.5, "b": 0.1}
