@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -71,14 +73,44 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Written tables by application, kept until its end because results that read them are lazy.
+_written: dict[str, list[str]] = {}
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives the loss of executors."""
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives the loss of executors.
+
+    The tables of an application are deleted when its driver ends, or by :func:`clear_scratch`.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _written:
+        _written[app] = []
+        atexit.register(_clear_quietly, spark)
+    _written[app].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what this application has materialized; results that still read it fail afterwards. Gives the number of tables."""
+    sc = spark.sparkContext
+    if sc._jsc is None:  # stopped already
+        return 0
+    paths = _written.pop(sc.applicationId, [])
+    for p in paths:
+        path = sc._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
+def _clear_quietly(spark: SparkSession) -> None:
+    """At the end of the driver its JVM may be gone already, and with it the means to delete anything."""
+    with contextlib.suppress(Exception):
+        clear_scratch(spark)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Partition by keys into as many parts as shuffles have, for costly work per key on few bytes, which adaptive
     execution would otherwise gather into one task."""

@@ -259,3 +259,16 @@ def test_source_counts(spark, sf_dir):
 def test_small_functions(spark):
     r = spark.sql("SELECT array(array(3D, 1D), array(2D, 5D)) AS p, array(30, 60, 600) AS l, '=x' AS e").select(C.bbox_of("p"), C.extra_penalty("l"), C.excel_safe("e"), C.length_prior(F.lit(345), F.lit(100), 3.45, 1.1, 0.05), C.length_prior(F.lit(0), F.lit(1), 1.0, 0.0, 1.0)).collect()[0]
     assert list(r) == [[2.0, 1.0, 3.0, 5.0], 2.0, " =x", 0.0, 0.0]
+
+
+def test_scratch_is_deleted(spark):
+    from glossoloom import session
+
+    kept = dict(session._written)
+    session._written.clear()
+    path = session.materialize(spark.range(3), "x").inputFiles()[0]
+    assert session.clear_scratch(spark) == 1 and session.clear_scratch(spark) == 0
+    from pathlib import Path
+
+    assert not Path(path.removeprefix("file:")).exists() and not Path(path.removeprefix("file:")).parent.exists()
+    session._written.update(kept)
