@@ -174,7 +174,7 @@ def cells_of(plane: Plane) -> dict[Cell, tuple[float, float, float]]:
     """Cells that are not noise: (what they count, share of the lighter sentence, share of the mean weight of both)."""
     mean, least = np.add.outer(plane.total_s, plane.total_t) / 2, np.minimum.outer(plane.total_s, plane.total_t)
     out = {}
-    for s, t in np.argwhere(plane.bounds() > NOISE * mean).tolist():
+    for s, t in np.argwhere(plane.bounds() >= np.maximum(NOISE * mean, CONTAINED * least)).tolist():
         weight = plane.match(s, t)[0]
         if weight > NOISE * mean[s, t] and weight >= CONTAINED * least[s, t]:
             out[s, t] = float(weight / mean[s, t]), float(weight / least[s, t])
@@ -347,14 +347,14 @@ def align_open_chapters(segments: DataFrame, alignments: DataFrame, anchors: Dat
     rows = chosen.groupBy("book", "chapter", "lang", "id").agg(F.min(F.struct("loaded_at", "text", "words")).alias("x")).select("book", "chapter", "lang", "id", F.col("x.words").alias("words"))
     rows = materialize(rows, "p1-open")
     stems = rows.select("book", "chapter", "lang", F.explode("words").alias("stem")).distinct()
-    total = F.broadcast(records.agg(F.count(F.lit(1)).alias("total")))
+    total = F.lit(records.count())
     side = lambda i, name: stems.filter(F.col("lang") == langs[i]).select("book", "chapter", F.col("stem").alias(name))
     src, tgt = side(0, "src"), side(1, "tgt")
     lexicon = materialize(learn_lexicon(records, src.select("src").distinct(), tgt.select("tgt").distinct(), anchors, langs), "p1-lexicon")
 
     def weights(column: str, name: str, wanted: DataFrame) -> DataFrame:
         counts = records.select(F.explode(column).alias(name)).groupBy(name).agg(F.count(F.lit(1)).alias("n"))
-        return wanted.join(counts, name, "left").crossJoin(total).select("book", "chapter", *[F.col(name) if name == x else F.lit(None).cast("string").alias(x) for x in ("src", "tgt")], F.log1p(F.col("total") / F.coalesce("n", F.lit(1))).alias("value"))
+        return wanted.join(counts, name, "left").select("book", "chapter", *[F.col(name) if name == x else F.lit(None).cast("string").alias(x) for x in ("src", "tgt")], F.log1p(total / F.coalesce("n", F.lit(1))).alias("value"))
 
     pairs = src.join(lexicon, "src").join(tgt, ["book", "chapter", "tgt"]).select("book", "chapter", "src", "tgt", F.col("strength").alias("value"))
     known = pairs.unionByName(weights("s", "src", src)).unionByName(weights("t", "tgt", tgt))
