@@ -51,10 +51,12 @@ WITH raw AS (
 ), cells AS (
   SELECT file_name, line_no, t, list_transform(
     regexp_extract_all(',' || t, ',((?:"(?:[^"]|"")*"|[^",]*))', 1),
-    lambda x: regexp_replace(CASE WHEN starts_with(x, '"') THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END, '^[\\s\\x{{3000}}\\x{{a0}}]+|[\\s\\x{{3000}}\\x{{a0}}]+$', '', 'g')) AS v
+    lambda x: CASE WHEN starts_with(x, '"') THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END) AS u
   FROM raw
+), trimmed AS (
+  SELECT *, list_transform(u, lambda x: regexp_replace(x, '^[\\s\\x{{3000}}\\x{{a0}}]+|[\\s\\x{{3000}}\\x{{a0}}]+$', '', 'g')) AS v FROM cells
 ), judged AS (
-  SELECT file_name, line_no, coalesce(
+  SELECT file_name, line_no, u, coalesce(
     regexp_full_match(t, '{_FIELD}(?:,{_FIELD}){{22}}')
     AND regexp_full_match({_V("chapter")}, '0*[1-9][0-9]?')
     AND {_V("form")} IN ('contracted', 'uncontracted')
@@ -64,10 +66,12 @@ WITH raw AS (
     AND {_V("en_form")} IN ({_IN(records.EN_FORMS, True)}) AND {_V("zh_form")} IN ({_IN(records.ZH_FORMS, True)})
     AND {_V("en_alignment_confidence")} IN ({_IN(records.CONFIDENCES, True)})
     AND {_V("zh_alignment_confidence")} IN ({_IN(records.CONFIDENCES, True)}), false) AS ok
-  FROM cells
+  FROM trimmed
 )
-SELECT DISTINCT file_name, line_no FROM judged WHERE NOT ok
 """
+_P4_FOUND = _P4 + "SELECT DISTINCT file_name, line_no FROM judged WHERE NOT ok"
+_TYPED = ", ".join(f"u[{i}] AS {c}" if c in ("id", "german_sentence") else f"CAST(trim(u[{i}]) AS INT) AS chapter" if c == "chapter" else f"trim(u[{i}]) AS {c}" for c, i in _INDEX.items())
+_P4_VALID = _P4 + f"SELECT DISTINCT file_name, line_no, {_TYPED} FROM judged WHERE ok"
 
 _P6 = """
 WITH refs AS (
@@ -91,7 +95,8 @@ WITH refs AS (
 _P6_FOUND = _P6 + "SELECT ref_table, ref_field, ref_id, target_id, period FROM found WHERE NOT alive"
 
 ORACLE = {
-    "p4_found": _P4,
+    "p4_found": _P4_FOUND,
+    "p4_valid": _P4_VALID,
     "p6_found": _P6_FOUND,
     "p6_report": _P6 + """
 SELECT ref_table, ref_field, period, count(*) AS orphans, count(DISTINCT target_id) AS targets
