@@ -32,6 +32,69 @@ def read_table_text(spark: SparkSession, path: str, schema: str, sep: str = "\t"
     return rows.select("*", F.expr("try_cast(regexp_extract(_metadata.file_name, 'ch([0-9]+)', 1) AS int)").alias("file_chapter"), F.nullif(F.regexp_extract(name, "(uncontracted|contracted)", 1), F.lit("")).alias("file_form"))
 
 
+#: The columns an extraction table must have.
+EXTRACTION = ("parse_block_id", "source_segment_id", "prep", "det", "noun", "prep_token_id", "det_token_id", "noun_token_id", "pp_token_start", "pp_token_end", "pp_surface", "det_xpos", "det_deprel", "in_filter")
+
+
+def read_extractions(spark: SparkSession, folder: str, chapters: range = range(1, 18), book: str = "book", lang: str = "de") -> DataFrame:
+    """The extraction tables of all chapters, contracted and uncontracted, with ``chapter`` and ``form`` from their names.
+
+    The set counts as a whole: a file that is missing, or one without a required column, is an error that names all
+    such files. Tables with a header only have no rows.
+    """
+    wanted = {(c, f): f"{book}_{lang}_ch{c:02d}_{f}.tsv" for c in chapters for f in ("contracted", "uncontracted")}
+    here = {p.name for p in Path(folder).glob("*.tsv")}
+    problems = [f"no file {name}" for name in wanted.values() if name not in here]
+    for name in sorted(here & set(wanted.values())):
+        with open(Path(folder) / name, encoding="utf-8") as f:
+            lacking = set(EXTRACTION) - set(f.readline().rstrip("\r\n").split("\t"))
+        if lacking:
+            problems.append(f"{name} lacks {', '.join(sorted(lacking))}")
+    if problems:
+        raise SourceError(problems)
+    rows = spark.read.option("header", True).option("sep", "\t").schema(", ".join(f"`{c}` string" for c in EXTRACTION)).option("enforceSchema", False).csv([f"{folder}/{name}" for name in wanted.values()])
+    name = F.col("_metadata.file_name")
+    return rows.select("*", F.regexp_extract(name, r"_ch([0-9]+)_", 1).cast("int").alias("chapter"), F.regexp_extract(name, r"_(uncontracted|contracted)\.tsv$", 1).alias("form"))
+
+
+def unique_rows(rows: DataFrame, key: str = "datapoint_id") -> DataFrame:
+    """The rows that have a key, if none has it twice; otherwise an error that names the first repeated ones."""
+    kept = rows.filter(F.coalesce(F.col(key).cast("string"), F.lit("")) != "")
+    repeated = kept.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(key).limit(3).collect()
+    if repeated:
+        raise SourceError([f"{key} {r[0]} stands {r.n} times" for r in repeated])
+    return kept
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(chapter, form, status, row_count, error) of a manifest, which is one JSON array."""
+    return spark.read.option("multiLine", True).schema("chapter int, form string, status string, row_count bigint, error string").json(path)
+
+
+def read_parsed(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks of all parsed files of a folder: (file, text, sent_id); a sent_id that two files hold is an error."""
+    blocks = read_conllu(spark, f"{folder}/*.conllu").withColumn("sent_id", F.nullif(F.regexp_extract("text", r"(?m)^#\s*sent_id\s*=\s*(.*?)\s*$", 1), F.lit("")))
+    shared = blocks.filter("sent_id IS NOT NULL").groupBy("sent_id").agg(F.count_distinct("file").alias("n")).filter("n > 1").orderBy("sent_id").limit(3).collect()
+    if shared:
+        raise SourceError([f"{r.sent_id} stands in {r.n} files" for r in shared])
+    return blocks
+
+
+def folder_fingerprint(spark: SparkSession, folder: str, inert: tuple[str, ...] = (".git", ".cache", ".locks")) -> str:
+    """One digest of all files of a folder by relative name and content; what lies under an inert entry does not count."""
+    root = Path(folder).resolve()
+    rows = read_digests(spark, str(root)).select(F.regexp_replace("path", r"^[a-z]+:/+", "/").alias("path"), "sha256").collect()
+    named = sorted((str(Path(r.path).relative_to(root)), r.sha256) for r in rows)
+    kept = [f"{name}\x1f{digest}" for name, digest in named if not set(Path(name).parts) & set(inert)]
+    return hashlib.sha256("\n".join(kept).encode()).hexdigest()
+
+
+def check_fingerprint(found: str, pinned: dict[str, str], name: str) -> None:
+    """Raise unless ``name`` is pinned to the digest that was found."""
+    if pinned.get(name) != found:
+        raise SourceError([f"{name} is pinned to {pinned.get(name)}, found {found}"])
+
+
 def read_returned_csv(spark: SparkSession, path: str) -> DataFrame:
     """A returned CSV as text columns: byte order mark, CRLF and line breaks in quotes are fine."""
     rows = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path)
@@ -145,4 +208,4 @@ def stale_references(spark: SparkSession, path: str, old: DataFrame, new: DataFr
     return joined.select("file", "id", state.alias("state"))
 
 
-__all__ = [n for n in dir() if n.startswith(("read_", "load_", "check_", "missing_", "stale_")) or n in ("page_images", "text_layer", "RunConfig", "SourceError", "file_digest", "S")]
+__all__ = [n for n in dir() if n.startswith(("read_", "load_", "check_", "missing_", "stale_", "unique_", "folder_")) or n in ("EXTRACTION", "page_images", "text_layer", "RunConfig", "SourceError", "file_digest", "S")]

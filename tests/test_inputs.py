@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossoloom.operators import align, inputs
+from glossoloom.sources import files, sinks
 
 
 def test_sides(spark):
@@ -50,3 +51,48 @@ def test_cache(spark, tmp_path):
 def test_names_and_numbers(spark):
     got = spark.sql("SELECT ' a/b c' AS x, '' AS y, '12' AS n, 'q' AS m").select(inputs.slug("x"), inputs.slug("y"), inputs.int_or_minus("n"), inputs.int_or_minus("m"), inputs.int_or_minus("y")).collect()[0]
     assert tuple(got) == ("a_b_c", "model", 12, -1, -1)
+
+
+def test_extractions_are_whole_or_nothing(spark, tmp_path):
+    head = "\t".join(files.EXTRACTION) + "\n"
+    for c in (1, 2):
+        for f in ("contracted", "uncontracted"):
+            (tmp_path / f"book_de_ch{c:02d}_{f}.tsv").write_text(head + ("" if c == 2 else "\t".join(["x"] * 14) + "\n"))
+    got = files.read_extractions(spark, str(tmp_path), range(1, 3))
+    assert {(r.chapter, r.form, r.prep) for r in got.collect()} == {(1, "contracted", "x"), (1, "uncontracted", "x")}
+    (tmp_path / "book_de_ch02_contracted.tsv").write_text("parse_block_id\n")
+    (tmp_path / "book_de_ch01_uncontracted.tsv").unlink()
+    with pytest.raises(files.SourceError) as e:
+        files.read_extractions(spark, str(tmp_path), range(1, 3))
+    assert len(e.value.problems) == 2 and "no file book_de_ch01_uncontracted.tsv" in e.value.problems
+
+
+def test_master_manifest_and_parsed_files(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("", 2), (None, 3), ("b", 4)], "datapoint_id string, n int")
+    assert {r.datapoint_id for r in files.unique_rows(df).collect()} == {"a", "b"}
+    with pytest.raises(files.SourceError):
+        files.unique_rows(df.union(df))
+    (tmp_path / "m.json").write_text('[{"chapter": 1, "form": "contracted", "status": "ok", "row_count": 3}, {"chapter": 2, "form": "contracted", "status": "extraction_error", "error": "x"}]')
+    jobs = files.read_manifest(spark, str(tmp_path / "m.json"))
+    assert {tuple(r) for r in sinks.manifest_rows(jobs).select("chapter", "status", "error").collect()} == {(1, "ok", None), (2, "extraction_error", "x")}
+    block = "# sent_id = {}\n1\tx\tx\tX\t_\t_\t0\troot\t_\t_\n\n"
+    (tmp_path / "a.conllu").write_text(block.format("s1") + block.format("s2"))
+    (tmp_path / "b.conllu").write_text(block.format("s3"))
+    assert {r.sent_id for r in files.read_parsed(spark, str(tmp_path)).collect()} == {"s1", "s2", "s3"}
+    (tmp_path / "b.conllu").write_text(block.format("s1"))
+    with pytest.raises(files.SourceError):
+        files.read_parsed(spark, str(tmp_path))
+
+
+def test_fingerprint_of_a_folder(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / ".git").mkdir()
+    (tmp_path / "sub" / "w.bin").write_bytes(b"1")
+    (tmp_path / "c.json").write_bytes(b"2")
+    one = files.folder_fingerprint(spark, str(tmp_path))
+    (tmp_path / ".git" / "x").write_bytes(b"3")
+    assert files.folder_fingerprint(spark, str(tmp_path)) == one
+    files.check_fingerprint(one, {"m": one}, "m")
+    (tmp_path / "c.json").write_bytes(b"4")
+    with pytest.raises(files.SourceError):
+        files.check_fingerprint(files.folder_fingerprint(spark, str(tmp_path)), {"m": one}, "m")
