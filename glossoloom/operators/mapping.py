@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,6 +29,25 @@ def score_candidates(pairs: DataFrame, side: str) -> DataFrame:
     return pairs.withColumn("signals", signals).withColumn("score", F.aggregate("signals", F.lit(0.0), lambda s, x: s + x["weight"]))
 
 
+def spaced_phrases(words, side: str) -> Column:
+    """Phrases of a list of words without a parse: array<struct<prep_surface, head_surface, head_lemma, head_upos, span_text>>.
+
+    A word that can render a preposition opens a phrase, and the next word, over an article, is its head; a capital
+    makes it a name.
+    """
+    forms = sorted({w for v in X.PREP_FORMS[side].values() for w in v})
+    at = lambda i: F.try_element_at(words, i)
+
+    def phrase(w, i):
+        article = F.lower(at(i + 2)).isin("the", "a", "an")
+        head = F.when(article, at(i + 3)).otherwise(at(i + 2))
+        upos = F.when(head.rlike("^[A-Z]"), "PROPN").otherwise("NOUN")
+        span = F.concat_ws(" ", w, F.when(article, at(i + 2)), head)
+        return F.when(F.lower(w).isin(*forms) & head.isNotNull(), F.struct(w.alias("prep_surface"), head.alias("head_surface"), F.lower(head).alias("head_lemma"), upos.alias("head_upos"), span.alias("span_text")))
+
+    return F.array_compact(F.transform(words, phrase))
+
+
 def best_candidates(scored: DataFrame, keys: list[str], ordinal: str = "cand", keep: int = 4) -> DataFrame:
     """The best candidate and the next three of each key, with ``rank`` and the status of the best."""
     w = W.partitionBy(*keys).orderBy(F.desc("score"), ordinal)
@@ -80,6 +99,7 @@ def mapping_records(candidates: DataFrame, blocks: dict[str, DataFrame]) -> Data
 
 
 def signal_counts(scored: DataFrame) -> DataFrame:
+    """How many candidates each signal fired for: (signal, n)."""
     return scored.select(F.explode("signals").alias("s")).groupBy(F.col("s.name").alias("signal")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -200,20 +200,26 @@ def mapping_crosstab(spark, d):
     return mapping.status_table(read_table(spark, d, "pp_mappings"))
 
 
-SCORED = [
-    ("d1", 1, "in", "im Haus", "Haus", "in", "house", "house", "NOUN", "in the house", 0.95),
-    ("d1", 2, "in", "im Haus", "Haus", "of", "door", "door", "NOUN", "of the door", 0.95),
-    ("d2", 1, "zu", "zu Merlo", "Merlo", "to", "Merlo", "Merlo", "PROPN", "to Merlo", 0.5),
-    ("d2", 2, "zu", "zu Merlo", "Merlo", "with", "him", "he", "PRON", "with him", 0.5),
-    ("d3", 1, "von", "vom Turm", "Turm", "against", "wall", "wall", "NOUN", "against the wall", None),
-]
+def _scored(spark, d):
+    """Candidates for the counterpart of every mapped occurrence, from the texts of its English segments."""
+    first = lambda t, key, *cs: read_table(spark, d, t).groupBy(key).agg(F.min(F.struct("loaded_at", *cs)).alias("x")).select(key, *[F.col(f"x.{c}") for c in cs])
+    cases = first("pp_mappings", "datapoint_id", "mapping_id", "en_sentence_ids", "en_alignment_confidence")
+    said = first("occurrences", "datapoint_id", "canonical_prep", "corrected_head_lemma", "machine_head_lemma")
+    said = said.select("datapoint_id", C.canonical_prep("canonical_prep").alias("de_prep"), eligibility.head_lemma().alias("de_lemma"))
+    texts = _orders(spark, d).select("id", F.regexp_extract_all("text", F.lit("[A-Za-z-]+"), F.lit(0)).alias("words"))
+    named = cases.select("datapoint_id", F.col("en_alignment_confidence").alias("confidence"), F.posexplode("en_sentence_ids").alias("pos", "id")).join(texts, "id")
+    found = named.select("datapoint_id", "confidence", "pos", F.posexplode(mapping.spaced_phrases(F.col("words"), "en")).alias("i", "p")).select("datapoint_id", "confidence", (F.col("pos") * 1000 + F.col("i")).alias("cand"), "p.*")
+    return mapping.score_candidates(found.join(said, "datapoint_id").withColumn("de_surface", F.col("de_lemma")), "en")
 
 
 def score_candidates(spark, d):
-    """FN-13, FN-14, FN-36, FN-37, SET-07, WIN-15, SRT-03, SRT-04, JOIN-15, PRJ-13: scores, ranks and status."""
-    ship(spark)
-    rows = spark.createDataFrame(SCORED, "dp string, cand int, de_prep string, de_surface string, de_lemma string, prep_surface string, head_surface string, head_lemma string, head_upos string, span_text string, confidence double")
-    return mapping.best_candidates(mapping.score_candidates(rows, "en"), ["dp"]).select("dp", "cand", "score", "rank", "status")
+    """FN-13, FN-14, FN-36, FN-37, SET-07, WIN-15, SRT-03, SRT-04, JOIN-15, PRJ-13: scores, ranks and status of the candidates of mapped occurrences."""
+    return mapping.best_candidates(_scored(spark, d), ["datapoint_id"]).select("datapoint_id", "cand", "score", "rank", "status")
+
+
+def signal_counts(spark, d):
+    """SRT-10: how often each signal fired."""
+    return mapping.signal_counts(_scored(spark, d))
 
 
 def set_equality(spark, d):
@@ -337,7 +343,7 @@ def chapter_regions(spark, d):
 
 NAMES = """cosine_pairs ratio_margin dp_align two_pass_align align_summary align_types align_sources_twice align_unknown_ids agreement legacy_normalize anchor_idf anchor_bonus side_context ordered_texts
 candidate_rows candidate_summary unresolved_segments minimal_pairs canonical_prep form_distribution structural_gate dedup_identity identity_conflicts eligible_pool pool_funnel pilot_quota row_hash datapoint_ids
-mapping_crosstab score_candidates set_equality job_manifest manifest_gate segment_faults alignment_faults context_regression qc_issues page_gaps id_impact common_prefix ordered_digest paragraph_at_offset source_statistics stream_similarity source_counts chapter_regions""".split()
+mapping_crosstab score_candidates signal_counts set_equality job_manifest manifest_gate segment_faults alignment_faults context_regression qc_issues page_gaps id_impact common_prefix ordered_digest paragraph_at_offset source_statistics stream_similarity source_counts chapter_regions""".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 _LIST = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
@@ -394,6 +400,21 @@ _RULES_AL = {
     "null_element": "len(list_filter(src, lambda x: x IS NULL)) > 0 OR len(list_filter(tgt, lambda x: x IS NULL)) > 0", "type_mismatch": "type <> coalesce(len(src), 0) || ':' || coalesce(len(tgt), 0)",
 }
 
+_ALL_FORMS = sorted({w for v in X.PREP_FORMS["en"].values() for w in v})
+_CAPS = lambda x: f"list_distinct(list_transform(list_filter(string_split_regex({x}, '\\s+'), lambda w: regexp_matches(w, '^\\p{{Lu}}')), lambda w: lower(w)))"
+_SCORED = f"""WITH {_ORDER}, m AS (SELECT datapoint_id, arg_min({{'ids': en_sentence_ids, 'c': en_alignment_confidence}}, (loaded_at, mapping_id, en_sentence_ids, en_alignment_confidence)) AS x FROM pp_mappings GROUP BY 1),
+o AS (SELECT datapoint_id, x.p AS canonical_prep, coalesce(nullif(x.c, ''), x.m, '') AS de_lemma FROM (SELECT datapoint_id, min({{'l': loaded_at, 'p': canonical_prep, 'c': corrected_head_lemma, 'm': machine_head_lemma}}) AS x FROM occurrences GROUP BY 1)),
+n AS (SELECT datapoint_id, x.c AS confidence, unnest(x.ids) AS id, generate_subscripts(x.ids, 1) - 1 AS pos FROM m),
+w AS (SELECT datapoint_id, confidence, n.pos, regexp_extract_all(text, '[A-Za-z-]+') AS ws FROM n JOIN ordered USING (id)),
+e AS (SELECT datapoint_id, confidence, pos, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, ws FROM w),
+h AS (SELECT *, lower(ws[i + 1]) IN ('the', 'a', 'an') AS article, CASE WHEN lower(ws[i + 1]) IN ('the', 'a', 'an') THEN ws[i + 2] ELSE ws[i + 1] END AS head FROM e WHERE lower(w) IN ({", ".join(f"'{x}'" for x in _ALL_FORMS)})),
+p AS (SELECT *, CAST(pos * 1000 + row_number() OVER (PARTITION BY datapoint_id, pos ORDER BY i) - 1 AS INT) AS cand, w || CASE WHEN article THEN ' ' || ws[i + 1] ELSE '' END || ' ' || head AS span FROM h WHERE head IS NOT NULL),
+j AS (SELECT p.*, {_CANON("canonical_prep")} AS de_prep, de_lemma FROM p JOIN o USING (datapoint_id)),
+f AS (SELECT *, coalesce(list_contains(CASE de_prep {" ".join(f"WHEN '{k}' THEN {list(v)}" for k, v in X.PREP_FORMS["en"].items())} ELSE [] END, lower(w)), false) AS s1,
+  list_has_any({_CAPS("de_lemma")}, list_concat({_CAPS("span")}, CASE WHEN regexp_matches(head, '^[A-Z]') THEN [lower(head)] ELSE [] END)) AS s2,
+  trim(de_lemma) <> '' AND (contains(lower(trim(de_lemma)), lower(head)) OR contains(lower(head), lower(trim(de_lemma)))) AS s3, coalesce(confidence > {X.CONFIDENCE_BONUS["en"]}, false) AS s5 FROM j),
+scored AS (SELECT *, CAST(s1 AS INT) * 3.0::DOUBLE + CAST(s2 AS INT) * 5.0::DOUBLE + CAST(s3 AS INT) * 2.0::DOUBLE + 2.0::DOUBLE + CAST(s5 AS INT) * 1.0::DOUBLE AS score FROM f)"""
+
 ORACLE = {
     "cosine_pairs": f"WITH {_PAIRS} SELECT scope, src_id, tgt_id, round(score, {PRECISION}) AS score FROM pairs",
     "ratio_margin": f"""WITH {_PAIRS}, f AS (SELECT scope, src_id, avg(score) AS m FROM (SELECT *, row_number() OVER (PARTITION BY scope, src_id ORDER BY score DESC, tgt_id) AS r FROM pairs) WHERE r <= 4 GROUP BY ALL),
@@ -428,7 +449,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY form ORDER BY CASE tier WHEN 'mi
     "datapoint_ids": "SELECT printf('dp_ch%02d_%s_t%d-%d', chapter, parse_block_id, pp_token_start, pp_token_end) = datapoint_id AS same, count(*) AS n FROM (SELECT DISTINCT * FROM occurrences) GROUP BY ALL",
     "mapping_crosstab": """WITH s AS (SELECT chapter, CASE WHEN coalesce(len(en_sentence_ids), 0) > 0 THEN 'found' ELSE 'none' END AS en, CASE WHEN coalesce(len(zh_sentence_ids), 0) > 0 THEN 'found' ELSE 'none' END AS zh FROM pp_mappings)
 SELECT chapter, en, zh, count(*) AS n FROM s GROUP BY GROUPING SETS ((chapter, en, zh), (en, zh))""",
-    "score_candidates": "SELECT * FROM (VALUES ('d1', 1, 6.0::DOUBLE, 1, 'matched'), ('d1', 2, 3.0::DOUBLE, 2, 'candidate'), ('d2', 1, 12.0::DOUBLE, 1, 'matched'), ('d2', 2, 2.0::DOUBLE, 2, 'candidate'), ('d3', 1, 2.0::DOUBLE, 1, 'candidate')) t(dp, cand, score, rank, status)",
+    "score_candidates": f"""{_SCORED}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY datapoint_id ORDER BY score DESC, cand) AS INT) AS rank FROM scored)
+SELECT datapoint_id, cand, score, rank, CASE WHEN score >= {X.MATCHED} THEN 'matched' WHEN score >= {X.CANDIDATE} THEN 'candidate' ELSE 'unmappable' END AS status FROM r WHERE rank <= 4""",
+    "signal_counts": f"""{_SCORED}, s AS (SELECT unnest(['prep_semantic_match', 'proper_name_overlap', 'lemma_overlap', 'position_match', 'align_confidence_bonus']) AS signal, unnest([s1, s2, s3, true, s5]) AS fired FROM scored)
+SELECT signal, count(*) AS n FROM s WHERE fired GROUP BY signal""",
     "set_equality": "SELECT DISTINCT datapoint_id, 'left' AS side FROM occurrences WHERE datapoint_id NOT IN (SELECT datapoint_id FROM pp_mappings WHERE datapoint_id IS NOT NULL) UNION ALL SELECT DISTINCT datapoint_id, 'right' FROM pp_mappings WHERE datapoint_id NOT IN (SELECT datapoint_id FROM occurrences WHERE datapoint_id IS NOT NULL)",
     "job_manifest": """WITH c AS (SELECT DISTINCT chapter FROM segments WHERE contains(id, '_de_ch')), g AS (SELECT chapter, f AS form FROM c, (VALUES ('contracted'), ('uncontracted')) u(f)), h AS (SELECT chapter, form, count(*) AS n FROM occurrences GROUP BY ALL)
 SELECT chapter, form, CASE WHEN n > 0 THEN 'ok' ELSE 'zero_hits_ok' END AS status, coalesce(n, 0) AS row_count FROM g LEFT JOIN h USING (chapter, form)""",

@@ -91,7 +91,7 @@ QUERIES = {n: globals()[n] for n in NAMES}
 
 _ID = r"^[a-z0-9]+_([a-z]+)_ch\d{2}_p\d{4}_s\d{3}$"
 _LANGS = lambda c: f"list_distinct(list_transform(coalesce({c}, []), lambda x: coalesce(nullif(regexp_extract(x, '{_ID}', 1), ''), '?')))"
-_PREP = "CASE lower(trim(canonical_prep)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.CONTRACTIONS.items()) + " ELSE lower(trim(canonical_prep)) END"
+_PREP = "CASE canonical_prep " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.CONTRACTIONS.items()) + " ELSE canonical_prep END"
 _LEMMA = "coalesce(nullif(corrected_head_lemma, ''), machine_head_lemma, '')"
 #: The issues of segments with their ids, as the SQL of their counts has them.
 _ISSUES = corpus.ORACLE["qc_issues"].split(") SELECT issue, count(*)")[0].replace("i AS (SELECT unnest(", "i AS (SELECT id, unnest(") + ")"
