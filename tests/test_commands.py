@@ -39,7 +39,7 @@ def test_existing_output_is_kept(spark, sf_dir, tmp_path):
 
 
 def test_extraction(spark, tmp_path):
-    from glossoloom.plans.cleaning import PHRASES
+    from test_operators import PHRASES
 
     (tmp_path / "in.conllu").write_text("\n\n".join(t for _, t in PHRASES) + "\n\n")
     assert go(spark, "extract", "--parsed", tmp_path / "in.conllu", "--form", "uncontracted", "--out", tmp_path / "t") == 0

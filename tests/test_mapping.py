@@ -45,11 +45,11 @@ def test_scores_of_given_pairs(spark):
         ("d3", 1, "von", "vom Turm", "Turm", "against", "wall", "wall", "NOUN", "against the wall", None),
     ]
     df = spark.createDataFrame(pairs, "dp string, cand int, de_prep string, de_surface string, de_lemma string, prep_surface string, head_surface string, head_lemma string, head_upos string, span_text string, confidence double")
-    got = mapping.best_candidates(mapping.score_candidates(df, "en"), ["dp"]).collect()
+    got = M.best_candidates(M.score_candidates(df, "en"), ["dp"]).collect()
     assert {(r.dp, r.cand, r.score, r["rank"], r.status) for r in got} == {("d1", 1, 6.0, 1, "matched"), ("d1", 2, 3.0, 2, "candidate"), ("d2", 1, 12.0, 1, "matched"), ("d2", 2, 2.0, 2, "candidate"), ("d3", 1, 2.0, 1, "candidate")}
 
 
 def test_phrases_without_a_parse(spark):
     words = spark.sql("SELECT array('He', 'stood', 'at', 'the', 'gate', 'with', 'Merlo', 'in') AS w, CAST(array() AS array<string>) AS e, CAST(NULL AS array<string>) AS n")
-    row = words.select(*[mapping.spaced_phrases(F.col(c), "en").alias(c) for c in "wen"]).collect()[0]
+    row = words.select(*[M.spaced_phrases(F.col(c), "en").alias(c) for c in "wen"]).collect()[0]
     assert [(p.prep_surface, p.head_lemma, p.head_upos, p.span_text) for p in row.w] == [("at", "gate", "NOUN", "at the gate"), ("with", "merlo", "PROPN", "with Merlo")] and row.e == [] and row.n is None
