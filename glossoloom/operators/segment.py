@@ -1,4 +1,4 @@
-"""Sentences with deterministic ids by the corpus' own rules; see the llm subpackage for learned boundaries."""
+"""Sentences with deterministic ids by the fixed rules of a corpus."""
 
 from __future__ import annotations
 
