@@ -276,10 +276,12 @@ def grow_blocks(plane: Plane, main: list[Cell], taken: list[Cell]) -> list[tuple
     def judge(s: int, t: int):
         if (s, t) in done or rest_s[s] < REST * plane.total_s[s] or rest_t[t] < REST * plane.total_t[t]:
             return None  # nothing of weight is left to explain
+        if s not in partners_s and t not in partners_t:
+            return None  # a block grows from a chain
         weight, rows, cols = plane.match(s, t)
         share = weight / min(rest_s[s], rest_t[t])
         off = abs(plane.ys[t] - float(np.interp(plane.xs[s], line_x, line_y)))
-        near = off <= NEAR * plane.unit and (s in partners_s or t in partners_t) or any(abs(x - s) <= 2 for x in partners_t.get(t, ())) or any(abs(x - t) <= 2 for x in partners_s.get(s, ()))
+        near = off <= NEAR * plane.unit or any(abs(x - s) <= 2 for x in partners_t.get(t, ())) or any(abs(x - t) <= 2 for x in partners_s.get(s, ()))
         if len(rows) < 3 or share < (PART if near else FAR_PART):
             return None
         return share - 0.5 * off + 0.1 * near, rows, cols, float(share)
