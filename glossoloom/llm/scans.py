@@ -37,8 +37,8 @@ CERTAIN, PRIOR, STRANGE, HERE = 1.0, 0.35, 0.5, 0.05
 GRANTED, FEW = (0.5, 1.5), 100
 #: Size and window of the skip-gram vectors, and the words that one partition trains on.
 DIMENSIONS, WINDOW, TRAINED = 16, 3, 250_000
-#: Bits of the filter of linked words.
-BITS = 1 << 22
+#: Bits of the filter of linked words, and the words that are handled at once.
+BITS, AT_ONCE = 1 << 22, 50_000
 #: A line or phrase on so many pages of a book is a running title; one that nothing else tells is taken to have so many words.
 TITLE_PAGES, TITLE_WORDS = 2, 3
 #: A word counts by numbers when it stands beside one so often and in this part of its occurrences. A capital in the midst of a
@@ -549,6 +549,16 @@ def list_bounds(lists: pa.ListArray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
 
 
+def slices(batch: pa.RecordBatch, words: pa.ListArray):
+    """Parts of a batch of at most AT_ONCE words, or of one text, so that what is made of every word stays small."""
+    bounds = list_bounds(words)
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(bounds, bounds[start] + AT_ONCE, "right")) - 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def word_contexts(texts: DataFrame, vectors: Vectors, wanted: np.ndarray) -> DataFrame:
     """Contexts, the mean vectors of the words around: summed up by word (``at`` null), and of every occurrence of a word
     whose bit in ``wanted`` is set: (rec_table, rec_id, page, ord, at, lang, word, n, context)."""
@@ -557,7 +567,7 @@ def word_contexts(texts: DataFrame, vectors: Vectors, wanted: np.ndarray) -> Dat
 
     def run(batches):
         vectors, bits = shared.value
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, whole.column(5))):
             words, langs = b.column(5), b.column(4)
             bounds = list_bounds(words)
             n = np.diff(bounds)

@@ -149,6 +149,14 @@ def test_misread_rare_words_in_a_large_corpus(spark):
     assert {(r.rec_id, r.word, r.correct) for r in N.correct(texts).collect()} == {(f"{v[0]}000", w, v) for v, w in names.items()}
 
 
+def test_slices_hold_every_text():
+    import pyarrow as pa
+
+    words = pa.array([["a"] * n for n in (3, 0, N.AT_ONCE + 5, 1, 2, N.AT_ONCE, 0, 7)])
+    parts = [x.num_rows for x in N.slices(pa.RecordBatch.from_arrays([words], ["words"]), words)]
+    assert sum(parts) == 8 and parts == [2, 1, 2, 2, 1] and list(N.slices(pa.RecordBatch.from_arrays([words[:0]], ["words"]), words[:0])) == []
+
+
 def test_reflow(spark, scanned):
     texts = [r.text for r in N.reflow(scanned, N.correct(scanned)).filter("book = 'aa'").orderBy("paragraph").collect()]
     whole = "\n".join(texts)
