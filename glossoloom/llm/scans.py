@@ -32,7 +32,7 @@ RARITY = 0.1
 #: A correction needs CERTAIN: the score of the edit, PRIOR for each power of ten by which the word is rarer than the linked
 #: word, less STRANGE times the logarithm of how far the word's contexts are from those of the linked word, in units of what
 #: chance explains. Of several words the context at hand decides with weight HERE.
-CERTAIN, PRIOR, STRANGE, HERE = 1.0, 0.35, 0.5, 0.05
+CERTAIN, PRIOR, STRANGE, HERE = 0.7, 0.35, 0.5, 0.05
 #: Links that are taken for granted: of an edit as misreading, of an edit as words that are merely alike, and of all edits of a kind.
 GRANTED, FEW = (0.5, 1.5), 100
 #: Size and window of the skip-gram vectors, and the words that one partition trains on.
