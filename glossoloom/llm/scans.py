@@ -57,6 +57,7 @@ _CHAPTER = re.compile(r"\s*·\s*(?:[^\W\d_]{3,9}|第)\s*\d+\s*章?\s*$")
 _NUMBER_LINE = re.compile(rf"^[\s\x80-\x9f]*(?:[-–—·\[(]\s*)?(?:Seite|Page|第)?\s*(\d{{1,4}}|{_ROMAN})\s*页?(?:\s*[-–—·\])])?[\s\x80-\x9f]*$")
 _DECORATED = re.compile(r"[\x80-\x9f]\s*(\d{1,4})\s*[\x80-\x9f]|\[(\d{1,4})\]|[—–-]\s(\d{1,4})\s[—–-]|·\s*(\d{1,4})\s*·|(?<!\w)(?:Seite|Page)\s(\d{1,4})(?=\s|$)|第(\d{1,4})页")
 _BARE = re.compile(r"(?<![^ \t\n])[0-9]{1,4}(?![^ \t\n])")
+_DIGIT = re.compile(r"\d")
 #: Tokens; a line break is one of its own.
 _TOKEN = re.compile(r"[^ \t\n]+|\n")
 _SPACED = re.compile(r"(?<!\w)(?:[A-ZÄÖÜ]\s+){3,}[A-ZÄÖÜ](?!\w)")
@@ -125,6 +126,8 @@ def title_core(line: str) -> tuple[str, int | None, bool] | None:
 
 def numbers_in(text: str, counted: set[int]) -> list[tuple[int, int, int, bool]]:
     """(start, end, number, decorated) of what may be page numbers: decorated ones, and bare ones that no neighbour counts by."""
+    if not _DIGIT.search(text):
+        return []
     out = [(m.start(), m.end(), int(next(g for g in m.groups() if g)), True) for m in _DECORATED.finditer(text)]
     bare = [(m.start(), m.end(), int(m.group()), False) for m in _BARE.finditer(text)]
     return out + [x for x in bare if not counted or len(_TOKEN.findall(text, 0, x[0])) not in counted]
@@ -162,13 +165,19 @@ class Book:
         return key in self.titles or any(misread(key, t) for t in self.titles)
 
     @cached_property
-    def patterns(self) -> list[re.Pattern]:
+    def patterns(self) -> tuple[re.Pattern, ...]:
         """Known titles as they may stand inside other text; all-capital and spaced forms are found without being known."""
-        out = []
-        for form in {h for h in self.heads.values() if len(h) >= 4}:
-            words = [re.escape(w) for w in form.split()]
-            out.append(re.compile(r"(?<![\w„“»‘「])" + r"\s+".join(words) + r"(?!\w)") if len(words) > 1 else re.compile(re.escape(form)))
-        return out
+        return _title_patterns(tuple(sorted({h for h in self.heads.values() if len(h) >= 4})))
+
+
+@lru_cache(256)
+def _title_patterns(forms: tuple[str, ...]) -> tuple[re.Pattern, ...]:
+    """One pattern for titles of several words and one for the others, longer titles first; the chapters of a book share them."""
+    longest = sorted(forms, key=lambda f: (-len(f), f))
+    several = [r"\s+".join(map(re.escape, f.split())) for f in longest if len(f.split()) > 1]
+    single = [re.escape(f) for f in longest if len(f.split()) == 1]
+    out = [rf"(?<![\w„“»‘「])(?:{'|'.join(several)})(?!\w)"] if several else []
+    return tuple(re.compile(p) for p in [*out, *(["|".join(single)] if single else [])])
 
 
 class Record:
@@ -282,6 +291,7 @@ def _inside(t: str, a: int, b: int) -> bool:
 
 
 _BREAK = re.compile(rf"({_LETTER}+)-[ \t]*\n[ \t]*({_LETTER}+)")
+_ENDS_BROKEN = re.compile(rf"({_LETTER}+)-\s*$")
 _LEFT_BROKEN = re.compile(rf"({_LETTER}+)-\s+({_LETTER}+)")
 
 
@@ -307,8 +317,9 @@ def _join(r: Record, after: Record | None, table: str, compounds: set[str]) -> N
         r.hyphen = True
         return left + right
 
-    t = (_BREAK if table == "block" else _LEFT_BROKEN).sub(heal, t)
-    end = re.search(rf"({_LETTER}+)-\s*$", t)
+    if "-" in t:
+        t = (_BREAK if table == "block" else _LEFT_BROKEN).sub(heal, t)
+    end = _ENDS_BROKEN.search(t) if t.rstrip().endswith("-") else None
     if end:
         following = re.match(rf"\s*({_LETTER}+)", "\n".join(after.body)) if after else None
         right = following.group(1) if following else ""
