@@ -9,6 +9,7 @@ from ..functions import columns as C
 from ..functions import lexicons as X
 from ..operators import align, audit, candidates, checks, clean, context, eligibility, mapping
 from ..session import read_table, ship
+from . import cleaning
 from .cleaning import NOTE_SIZES, WS, _blocks, paragraphs_of
 
 #: Vectors stand for sentences; a scope is a run of 500 vector ids of one label, so it keeps its size as vectors grow.
@@ -415,6 +416,9 @@ f AS (SELECT *, coalesce(list_contains(CASE de_prep {" ".join(f"WHEN '{k}' THEN
   trim(de_lemma) <> '' AND (contains(lower(trim(de_lemma)), lower(head)) OR contains(lower(head), lower(trim(de_lemma)))) AS s3, coalesce(confidence > {X.CONFIDENCE_BONUS["en"]}, false) AS s5 FROM j),
 scored AS (SELECT *, CAST(s1 AS INT) * 3.0::DOUBLE + CAST(s2 AS INT) * 5.0::DOUBLE + CAST(s3 AS INT) * 2.0::DOUBLE + 2.0::DOUBLE + CAST(s5 AS INT) * 1.0::DOUBLE AS score FROM f)"""
 
+#: Notes of blocks as the SQL of span_notes finds them, with their chapter and the number of markers.
+_NOTED = cleaning.ORACLE["span_notes"].split("\nSELECT block_id")[0].removeprefix("WITH ").replace("SELECT block_id, text, lines,", "SELECT block_id, book, lang, chapter, text, lines,")
+
 ORACLE = {
     "cosine_pairs": f"WITH {_PAIRS} SELECT scope, src_id, tgt_id, round(score, {PRECISION}) AS score FROM pairs",
     "ratio_margin": f"""WITH {_PAIRS}, f AS (SELECT scope, src_id, avg(score) AS m FROM (SELECT *, row_number() OVER (PARTITION BY scope, src_id ORDER BY score DESC, tgt_id) AS r FROM pairs) WHERE r <= 4 GROUP BY ALL),
@@ -470,6 +474,10 @@ SELECT key, array_to_string(list_filter(missing, lambda x: x IS NOT NULL), ',')
 y AS (SELECT *, lag(CASE WHEN ok THEN place END) OVER (PARTITION BY b, chapter ORDER BY loaded_at, id) AS q FROM x),
 i AS (SELECT unnest([CASE WHEN k > 1 THEN 'duplicate_id' END, CASE WHEN n = 0 THEN 'empty_text' END, CASE WHEN n > 0 AND n < 3 THEN 'short_fragment' END, CASE WHEN length(text) > 1000 THEN 'abnormally_long' END, CASE WHEN NOT ok THEN 'malformed_id' END,
   CASE WHEN ok AND ch <> chapter THEN 'mixed_chapter' END, CASE WHEN ok AND place < q THEN 'non_monotonic_id' END]) AS issue FROM y) SELECT issue, count(*) AS n FROM i WHERE issue IS NOT NULL GROUP BY issue""",
+    "source_counts": f"""WITH {_ORDER}, {_NOTED}, s AS (SELECT book, lang, chapter, count(*) AS segments, sum(length(text)) AS chars FROM ordered GROUP BY ALL),
+m AS (SELECT book, lang, chapter, sum(len(list_filter(ts, lambda x: x.note AND x.text <> ''))) AS notes, sum(coalesce(list_sum(list_transform(ls, lambda x: x.n - len(x.rest))), 0)) AS markers FROM told GROUP BY ALL)
+SELECT coalesce(s.book, m.book) AS book, coalesce(s.lang, m.lang) AS lang, coalesce(s.chapter, m.chapter) AS chapter, coalesce(segments, 0) AS segments, coalesce(chars, 0) AS segments_chars, coalesce(notes, 0) AS notes, coalesce(markers, 0) AS markers
+FROM s FULL JOIN m ON s.book = m.book AND s.lang = m.lang AND s.chapter = m.chapter""",
     "page_gaps": r"""WITH p AS (SELECT DISTINCT nullif(regexp_extract(id, '^([a-z0-9]+_[a-z]+_ch\d{2})_', 1), '') AS scope, unnest(source_pages) AS page FROM segments), l AS (SELECT scope, page AS "before", lead(page) OVER (PARTITION BY scope ORDER BY page) AS "after" FROM p) SELECT * FROM l WHERE "after" - "before" > 1""",
     "id_impact": """WITH f AS (SELECT id, arg_min({'l': loaded_at, 't': coalesce(text, ''), 'd': deleted_at}, (loaded_at, text, deleted_at)) AS x FROM (SELECT DISTINCT id, loaded_at, text, deleted_at FROM segments) GROUP BY id), o AS (SELECT id, x.t AS a FROM f WHERE x.l < '2023-07-01'), n AS (SELECT id, x.t AS b FROM f WHERE x.d IS NULL)
 SELECT CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'removed' WHEN a = b THEN 'kept' ELSE 'changed' END AS impact, count(*) AS n FROM o FULL JOIN n USING (id) GROUP BY ALL""",
