@@ -132,6 +132,24 @@ def run_impact(spark, a):
     save(audit.id_impact(load(spark, a.old), load(spark, a.new)), a.out, a.force_output)
 
 
+def run_manifest(spark, a):
+    """Manifest of a whole set of extraction tables; one that is not whole is an error and writes nothing."""
+    ship(spark)
+    chapters = range(1, a.chapters + 1)
+    hits = files.read_extractions(spark, a.folder, chapters, a.book).groupBy("chapter", "form").agg(F.count(F.lit(1)).alias("n"))
+    grid = spark.range(1, a.chapters + 1).select(F.col("id").cast("int").alias("chapter"), F.explode(F.array(F.lit("contracted"), F.lit("uncontracted"))).alias("form"))
+    jobs = grid.join(hits, ["chapter", "form"], "left").select("chapter", "form", F.when(F.col("n") > 0, "ok").otherwise("zero_hits_ok").alias("status"), F.coalesce("n", F.lit(0)).alias("row_count"), F.lit(None).cast("string").alias("error"))
+    sinks.write_jsonl(sinks.manifest_rows(jobs), a.out, a.force_output)
+
+
+def run_store(spark, a):
+    """Segments as a store partitioned by language and chapter; malformed ids are an error."""
+    rows = load(spark, a.segments)
+    parts = C.segment_parts("id")
+    checks.enforce(rows.filter(parts["lang"].isNull()).select(F.lit("malformed_id").alias("rule"), F.col("id").alias("key")))
+    sinks.write_store(rows.drop("chapter").withColumns({"lang": parts["lang"], "chapter": parts["chapter"]}), a.out, overwrite=a.force_output)
+
+
 #: Command, function, and its options: (name, keyword arguments).
 COMMANDS = {
     "clean": (run_clean, [("blocks", {}), ("header", {"action": "append", "default": []}), ("min-confidence", {"type": float, "default": 0.4}), ("marker-size", {"type": float}), ("note-size", {"type": float, "default": 11.0})]),
@@ -148,6 +166,8 @@ COMMANDS = {
     "score": (run_score, [("pairs", {}), ("side", {"choices": ["en", "zh"], "default": "en"})]),
     "qc": (run_qc, [("segments", {})]),
     "orphans": (run_orphans, [("folder", {})]),
+    "manifest": (run_manifest, [("folder", {}), ("book", {}), ("chapters", {"type": int, "default": 17})]),
+    "store": (run_store, [("segments", {})]),
     "id-impact": (run_impact, [("old", {}), ("new", {})]),
 }
 

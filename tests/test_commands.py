@@ -48,6 +48,25 @@ def test_extraction(spark, tmp_path):
     assert go(spark, "normalize-mwt", "--parsed", tmp_path / "in.conllu", "--out", tmp_path / "n") == 0
 
 
+def test_manifest_and_store(spark, tmp_path):
+    from glossoloom.sources import files
+
+    folder = tmp_path / "x"
+    folder.mkdir()
+    for form, rows in (("contracted", 2), ("uncontracted", 0)):
+        (folder / f"bk_de_ch01_{form}.tsv").write_text("\t".join(files.EXTRACTION) + "\n" + ("\t".join(["x"] * 14) + "\n") * rows)
+    args = ["manifest", "--folder", folder, "--book", "bk", "--out", tmp_path / "m"]
+    assert go(spark, *args) == 2 and not (tmp_path / "m").exists()
+    assert go(spark, *args, "--chapters", 1) == 0
+    assert {(r.chapter, r.form, r.status, r.row_count) for r in spark.read.json(str(tmp_path / "m")).collect()} == {(1, "contracted", "ok", 2), (1, "uncontracted", "zero_hits_ok", 0)}
+    rows = [("aa_de_ch01_p0001_s001", 1, "x"), ("aa_en_ch02_p0001_s001", 2, "y")]
+    spark.createDataFrame(rows, "id string, chapter int, text string").write.parquet(str(tmp_path / "s"))
+    assert go(spark, "store", "--segments", tmp_path / "s", "--out", tmp_path / "t") == 0
+    assert (tmp_path / "t" / "lang=de" / "chapter=1").is_dir() and spark.read.parquet(str(tmp_path / "t")).filter("lang = 'en' AND chapter = 2").count() == 1
+    spark.createDataFrame([("bad", 1, "x")], "id string, chapter int, text string").write.parquet(str(tmp_path / "b"))
+    assert go(spark, "store", "--segments", tmp_path / "b", "--out", tmp_path / "u") == 2
+
+
 def test_returned_csv(spark, tmp_path, capsys):
     row = {c: "" for c in ANNOTATION_COLUMNS} | {"id": "a", "chapter": "1", "row_hash": "h", "de_valid": "include"}
     df = spark.createDataFrame([tuple(row[c] for c in ANNOTATION_COLUMNS)], ", ".join(f"{c} string" for c in ANNOTATION_COLUMNS))
