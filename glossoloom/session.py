@@ -89,7 +89,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
         _written[app] = []
         atexit.register(_clear_quietly, spark)
     _written[app].append(path)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
