@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -10,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..functions import lexicons as X
+from ..functions import matching
 from ..session import spread
 
 
@@ -105,38 +108,34 @@ def chapter_differences(chapters: DataFrame, least: int = 20) -> DataFrame:
 
 def best_local_ratio(haystack: str, needle: str, window: int = 300) -> float:
     """Best ratio of the beginning of ``needle`` against windows of ``haystack`` that overlap by two thirds; stops above 0.95."""
-    from difflib import SequenceMatcher
-
-    best = 0.0
-    for i in range(0, max(1, len(haystack) - window + 1), max(1, window // 3)) if needle else ():
-        best = max(best, SequenceMatcher(None, haystack[i : i + window], needle[:window], autojunk=False).ratio())
-        if best > 0.95:
-            break
-    return best
+    return matching.best_window(haystack, needle[:window], window, max(1, window // 3), 0.95)
 
 
 def chapter_regions(chapters: DataFrame, least: int = 20) -> DataFrame:
     """Regions of at least ``least`` characters that the new stream has and the old one lacks, from (key, old, raw, new).
 
     Each region is looked for in the old stream and in the raw text that was cleaned into it: (key, op, at, new_text,
-    ratio_old, ratio_raw, verdict). One task per chapter; null streams count as empty.
+    ratio_old, ratio_raw, verdict). Chapters are spread over all tasks; null streams count as empty.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        from difflib import SequenceMatcher
-
-        out = []
-        for r in pdf.itertuples():
-            old, raw, new = r.old or "", r.raw or "", r.new or ""
-            for op, _, _, k, m in SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
-                if op in ("insert", "replace") and m - k >= least:
-                    clean, scan = best_local_ratio(old, new[k:m]), best_local_ratio(raw, new[k:m])
-                    verdict = "in_clean" if clean >= 0.8 else "dropped_in_cleaning" if scan >= 0.8 else "degraded_in_raw" if scan >= 0.55 else "absent"
-                    out.append((r.key, op, k, new[k:m], clean, scan, verdict))
-        return pd.DataFrame(out, columns=["key", "op", "at", "new_text", "ratio_old", "ratio_raw", "verdict"])
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            out = []
+            for r in pdf.itertuples():
+                old, raw, new = r.old or "", r.raw or "", r.new or ""
+                known: dict[str, tuple[float, float]] = {}  # regions recur within a chapter, as running titles do
+                for op, _, _, k, m in matching.differences(old, new):
+                    if op in ("insert", "replace") and m - k >= least:
+                        text = new[k:m]
+                        if text not in known:
+                            known[text] = best_local_ratio(old, text), best_local_ratio(raw, text)
+                        clean, scan = known[text]
+                        verdict = "in_clean" if clean >= 0.8 else "dropped_in_cleaning" if scan >= 0.8 else "degraded_in_raw" if scan >= 0.55 else "absent"
+                        out.append((r.key, op, k, text, clean, scan, verdict))
+            yield pd.DataFrame(out, columns=["key", "op", "at", "new_text", "ratio_old", "ratio_raw", "verdict"])
 
     schema = "key string, op string, at int, new_text string, ratio_old double, ratio_raw double, verdict string"
-    return spread(chapters.select("key", "old", "raw", "new"), "key").groupBy("key").applyInPandas(run, schema)
+    return spread(chapters.select("key", "old", "raw", "new"), "key").mapInPandas(run, schema)
 
 
 def runs_of_rows(dark: DataFrame, by: list[str], least: int = 8) -> DataFrame:

@@ -245,6 +245,45 @@ def test_regions(spark):
     assert [(r.op, r.verdict) for r in audit.chapter_regions(moved).collect()] == [("insert", "dropped_in_cleaning")]
 
 
+def test_regions_of_a_long_chapter_in_time(spark):
+    import random
+    import time
+
+    draw = random.Random(7)
+    word = lambda n: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    body, lost, gone = word(90_000), word(60).upper(), word(40).upper()
+    new = body[:20_000] + lost + body[20_000:50_000] + gone + body[50_000:]
+    df = spark.createDataFrame([("c", body, body + "." * 240 + lost + "." * 240, new)], "key string, old string, raw string, new string")
+    began = time.monotonic()
+    got = {(r.op, r.at, r.new_text): (r.ratio_old, r.ratio_raw) for r in audit.chapter_regions(df).collect()}
+    assert time.monotonic() - began < 20  # in quadratic time 60 000 characters took 22 s
+    assert list(got) == [("insert", 20_000, lost), ("insert", 50_060, gone)]
+    assert got["insert", 20_000, lost][1] == 2 * 60 / 360
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "ab", "der alte Ofen", "ein Satz, der wiederkehrt; ", "xyzxyzxyzxyzxyzxyzxyz", "冷炉子", "😀"]), max_size=30), st.lists(st.integers(0, 40), max_size=6), st.integers(1, 40))
+def test_matching_is_that_of_difflib(parts, moves, n):
+    from difflib import SequenceMatcher
+
+    from glossoloom.functions import matching
+
+    a = "".join(parts)
+    for k in moves:
+        parts = parts[k : k + 5] + parts[:k] + parts[k + 3 :]
+    b = "".join(parts)
+    same = lambda x, y: SequenceMatcher(None, x, y, autojunk=False)
+    assert list(matching.differences(a, b)) == [x for x in same(a, b).get_opcodes() if x[0] != "equal"]
+    assert a == b or list(matching.differences(a, "")) == [x for x in same(a, "").get_opcodes() if x[0] != "equal"]
+    for needle in {b[n : n + 25], b[:n], b}:
+        best = 0.0
+        for i in range(0, max(1, len(a) - n + 1), max(1, n // 3)) if needle else ():
+            best = max(best, same(a[i : i + n], needle[:n]).ratio())
+            if best > 0.95:
+                break
+        assert audit.best_local_ratio(a, needle, n) == best
+
+
 def test_source_counts(spark, sf_dir):
     from glossoloom.plans import corpus
     from glossoloom.session import read_table
