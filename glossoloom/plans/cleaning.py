@@ -31,11 +31,14 @@ def normalize_block(spark, d):
     return _blocks(spark, d).select("block_id", C.normalize_block("text").alias("norm"))
 
 
-def _classified(spark, d):
-    blocks = _blocks(spark, d)
+def classified(blocks):
     return clean.mark_titles(clean.classify_blocks(blocks), clean.running_titles(blocks))
 
 
+def _classified(spark, d):
+    return classified(_blocks(spark, d))
+
+
 def block_reasons(spark, d):
     """FLT-01..10, WIN-06, AGG-10: why blocks leave the body; the running titles of each book are learned from its pages."""
     rows = _classified(spark, d)
