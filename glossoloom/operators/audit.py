@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 from ..functions import columns as C
 from ..functions import lexicons as X
 from ..functions import matching
-from ..session import spread
 
 
 def quality_issues(segments: DataFrame, short: int = 3, long: int = 1000) -> DataFrame:
@@ -115,7 +114,7 @@ def chapter_regions(chapters: DataFrame, least: int = 20) -> DataFrame:
     """Regions of at least ``least`` characters that the new stream has and the old one lacks, from (key, old, raw, new).
 
     Each region is looked for in the old stream and in the raw text that was cleaned into it: (key, op, at, new_text,
-    ratio_old, ratio_raw, verdict). Chapters are spread over all tasks; null streams count as empty.
+    ratio_old, ratio_raw, verdict). Chapters stay in the partitions they come in; null streams count as empty.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,7 +134,7 @@ def chapter_regions(chapters: DataFrame, least: int = 20) -> DataFrame:
             yield pd.DataFrame(out, columns=["key", "op", "at", "new_text", "ratio_old", "ratio_raw", "verdict"])
 
     schema = "key string, op string, at int, new_text string, ratio_old double, ratio_raw double, verdict string"
-    return spread(chapters.select("key", "old", "raw", "new"), "key").mapInPandas(run, schema)
+    return chapters.select("key", "old", "raw", "new").mapInPandas(run, schema)
 
 
 def runs_of_rows(dark: DataFrame, by: list[str], least: int = 8) -> DataFrame:

@@ -134,7 +134,8 @@ def assemble_paragraphs(blocks: DataFrame, opening_quotes: dict[str, str] | None
     order = W.partitionBy(*CHAPTER).orderBy("page", "block_idx", "block_id")
     stripped = C.strip(text)
     rows = blocks.withColumn("_indent3000", F.col(text).startswith("　")).withColumn("_t", stripped).filter(F.length("_t") > 0)
-    rows = rows.join(page_thresholds(blocks), [*CHAPTER, "page"], "left")
+    pages = F.map_from_entries(F.collect_list(F.struct("page", "threshold")))  # by chapter, as the windows go, so texts are shuffled once
+    rows = rows.join(page_thresholds(blocks).filter("page IS NOT NULL").groupBy(*CHAPTER).agg(pages.alias("_pages")), CHAPTER, "left").withColumn("threshold", F.try_element_at("_pages", F.col("page"))).drop("_pages")
     before = F.lag("_t").over(order)
     x0 = F.get("bbox", F.lit(0))
     indented = F.col("_indent3000") | F.when(F.col("threshold").isNotNull() & valid_box(), x0 > F.col("threshold")).otherwise(F.col(text).startswith("    "))

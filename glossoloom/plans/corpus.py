@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import lexicons as X
 from ..operators import align, audit, candidates, checks, clean, context, eligibility, mapping
-from ..session import materialize, read_table, ship
+from ..session import materialize, read_table, ship, spread
 from . import cleaning
-from .cleaning import NOTE_SIZES, OPENING, WS, _blocks, classified
+from .cleaning import NOTE_SIZES, OPENING, WS, _blocks
 
 #: Vectors stand for sentences; a scope is a run of 500 vector ids of one label, so it keeps its size as vectors grow.
 SCOPE = "concat(label, '_', vec_id div 500)"
@@ -330,15 +330,19 @@ def source_counts(spark, d):
 def chapter_regions(spark, d):
     """PRC-20, FLT-33: regions of the scanned blocks of a chapter that its cleaned paragraphs lack."""
     key, place = ["book", "lang", "chapter"], ["page", "block_idx", "block_id"]
-    blocks = materialize(_blocks(spark, d).select(*key, *place, "text", "bbox", "confidence", "engine"), "region-blocks")  # read four times
-    kept = materialize(classified(blocks).filter("reason IS NULL").select(*key, *place, "norm", "bbox"), "region-kept")  # read twice
+    blocks = materialize(_blocks(spark, d).select(*key, *place, "text", "bbox", "confidence", "engine"), "region-blocks")  # read three times
+    one_line = ~F.coalesce(C.strip("text").contains("\n"), F.lit(True))  # only such blocks can be titles
+    rows = clean.classify_blocks(blocks).select(*key, *place, "norm", "bbox", "reason", F.when(one_line, F.col("text")).alias("text"))
+    kept = materialize(rows, "region-classified").filter("reason IS NULL")  # filtered before it is written, norm would be made for each test
+    lines = clean.mark_titles(kept.filter("text IS NOT NULL"), clean.running_titles(blocks)).filter("reason IS NULL")
+    body = kept.filter("text IS NULL").unionByName(materialize(lines, "region-lines")).select(*key, *place, "norm", "bbox")  # read twice
 
     def stream(rows, order):
         parts = F.array_sort(F.collect_list(F.struct(*order, F.coalesce("text", F.lit("")).alias("text"))))
         return rows.groupBy(*key).agg(audit.stream_form(F.array_join(F.transform(parts, lambda x: x["text"]), "")).alias("stream"))
 
-    raw = stream(blocks, place).withColumnRenamed("stream", "raw")
-    old = stream(clean.assemble_paragraphs(kept, OPENING), ["paragraph"]).withColumnRenamed("stream", "old")
+    raw = stream(spread(blocks.select(*key, *place, "text"), *key), place).withColumnRenamed("stream", "raw")
+    old = stream(clean.assemble_paragraphs(body, OPENING), ["paragraph"]).withColumnRenamed("stream", "old")
     chapters = raw.join(old, key, "left").select(F.format_string("%s_%s_ch%02d", *key).alias("key"), "old", "raw", F.col("raw").alias("new"))
     return audit.chapter_regions(chapters).withColumns({c: F.round(c, 3) for c in ("ratio_old", "ratio_raw")})
 
